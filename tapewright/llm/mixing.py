@@ -110,12 +110,13 @@ def permuted(df: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     In each round every number has a partner (a keyed reflection), and a keyed bit of the larger of the two decides
     whether they swap; both see the same bit, so each round is a permutation, and so are all together.
     """
-    for r in range(rounds):
-        key = F.pmod(F.xxhash64(F.lit(SEED), F.lit(r), "source_no", "turn"), F.col("blocks"))
-        df = df.withColumn("_p", F.pmod(key - F.col("block"), F.col("blocks")))
-        swap = F.xxhash64(F.lit(r), F.lit(SEED), "source_no", "turn", F.greatest("block", "_p")).bitwiseAND(F.lit(1)) == 1
-        df = df.withColumn("block", F.when(swap, F.col("_p")).otherwise(F.col("block"))).drop("_p")
-    return df
+    def step(now: Column, r: Column) -> Column:
+        partner = F.pmod(F.pmod(F.xxhash64(F.lit(SEED), r, "source_no", "turn"), F.col("blocks")) - now, F.col("blocks"))
+        swap = F.xxhash64(r, F.lit(SEED), "source_no", "turn", F.greatest(now, partner)).bitwiseAND(F.lit(1)) == 1
+        return F.when(swap, partner).otherwise(now)
+
+    # a fold: rounds written one after another would repeat the expression of each in the next
+    return df.withColumn("block", F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), F.col("block"), step))
 
 
 def pieces(places: DataFrame, block: int = BLOCK) -> DataFrame:

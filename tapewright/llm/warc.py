@@ -114,7 +114,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
                         if out is not None:
                             out.close()
                         name = f"{root}/part-{context.partitionId():05d}-{context.taskAttemptId()}-{number}.warc.gz"
-                        out, number, at = fs.open_output_stream(name), number + 1, 0
+                        out, number, at = fs.open_output_stream(name, compression=None), number + 1, 0
                     member = gzip_member(record_bytes(page, url, (html or "").encode(), refers, revisit))
                     out.write(member)
                     places.append((key, name, at, len(member)))
@@ -151,13 +151,13 @@ def build_index(captures: DataFrame, lines: int = BLOCK_LINES) -> tuple[str, lis
         for b in batches:
             if b.num_rows and out is None:
                 name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}"
-                out = fs.open_output_stream(f"{root}/{name}.cdx")
+                out = fs.open_output_stream(f"{root}/{name}.cdx", compression=None)
             waiting += [f"{k}\t{f}\t{o}\t{n}" for k, f, o, n in zip(*(b.column(c).to_pylist() for c in ("key", "file", "offset", "length")), strict=True)]
             flush(lines)
         if out is not None:
             flush(1)
             out.close()
-            with fs.open_output_stream(f"{root}/{name}.dir") as f:
+            with fs.open_output_stream(f"{root}/{name}.dir", compression=None) as f:
                 f.write("\n".join(directory).encode())
             yield pa.RecordBatch.from_arrays([pa.array([directory[0].split("\t")[0]]), pa.array([name])], ["first", "part"])
 
