@@ -10,6 +10,11 @@ Documents are first collapsed to distinct fingerprints, so exact copies never pa
 its groups, not all its pairs. A bucket above BUCKET_ROWS is dealt again by two equal bytes of its other 32 bits (four
 bytes, at most two of them differ), which leaves at most 2 ** 16 fingerprints in any bucket.
 
+near_duplicate_classes serves similarities that few differing bits cannot express (a Jaccard similarity of 0.8 on shingles of five
+words leaves about 10 of 64 bits different, so no segment need be equal). There candidates meet on bands of least shingle
+hashes; the pigeonring chains with a budget of WIDE_TAU bits prune them before the full Hamming check, and a sketch of
+SKETCH least hashes decides. keep_one leaves one document of each class.
+
 Null text counts as empty, and empty texts have fingerprint 0 and link like any other. Repeated rows and rows with a
 null doc_id keep their own result row; a component of rows with null ids only has a null component_id. An empty table
 gives an empty result. Columns other than doc_id and text are ignored.
@@ -26,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import slices, stored, utf8_rows
+from tapewright.llm.common import slices, splitmix, stored, utf8_rows
+from tapewright.llm.substring import rolling, word_hashes
 
 TAU = 2
 SEGMENTS = 4
@@ -35,7 +41,12 @@ SHINGLE = 3
 BUCKET_ROWS = 20_000
 #: Rows of a bucket compared in one block.
 BLOCK = 1024
+#: Least hashes in a sketch (one byte each is kept), bands that candidates meet on, and least hashes in a band.
+SKETCH, BANDS, BAND = 128, 16, 4
+#: Bits that fingerprints of texts with a similarity of 0.8 differ in, four standard deviations above the mean.
+WIDE_TAU = 22
 
+_MULTIPLIERS = splitmix(np.arange(7000, 7000 + SKETCH, dtype=np.uint64)) | np.uint64(1)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -198,3 +209,122 @@ def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     # written out, so that the join below has a plain exchange on either side and a hot fingerprint can be split
     ids = stored(labelled.join(least, "root").select("fp", "component_id"), "simhash-ids")
     return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def sketch(words: np.ndarray, size: int) -> tuple[int, bytes, np.ndarray]:
+    """Fingerprint, least-hash bytes and bands of a sequence of word hashes; fewer words than size count as one shingle."""
+    hashes = np.unique(rolling(words, min(size, len(words)), 0x9E3779B97F4A7C15))
+    octets = hashes.view(np.uint8).reshape(-1, 8)
+    counts = np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BITS for i in range(8)])
+    fp = int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):  # small enough for the cache
+        part = hashes[at : at + 512, None] * _MULTIPLIERS[None, :]
+        np.minimum(least, (part ^ (part >> np.uint64(29))).min(axis=0), out=least)
+    least = splitmix(least)
+    bands = least[: BANDS * BAND].reshape(BANDS, BAND)
+    keys = splitmix(np.arange(BANDS, dtype=np.uint64))
+    for i in range(BAND):
+        keys = splitmix(keys ^ bands[:, i])
+    return fp, least.astype(np.uint8).tobytes(), keys
+
+
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, content (hash of the lower-cased words), fp, sig, bands of each row of docs that has a word."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "content", "fp", "sig", "bands"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for b in slices(batches, "text"):
+                at, rows = [], []
+                for i, text in enumerate(utf8_rows(b.column("text"))):
+                    words = word_hashes(text.lower())
+                    if len(words):
+                        content = xxhash.xxh3_64_intdigest(words.tobytes(), SEED)
+                        at.append(i)
+                        rows.append((content, *sketch(words, size)))
+                signed = [pa.array(np.array([r[j] for r in rows], np.uint64).view(np.int64)) for j in (0, 1)]
+                bands = pa.array([r[3].view(np.int64) for r in rows], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *signed, pa.array([r[2] for r in rows], pa.binary()), bands], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, content long, fp long, sig binary, bands array<long>")
+
+
+def sketch_links(ids: np.ndarray, fps: np.ndarray, sigs: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links of one bucket: a search from each row over those not yet reached, so a group costs its size and not its pairs."""
+    least = similarity + (1 - similarity) / 256  # different hashes share a byte now and then
+    waiting, out = np.arange(len(ids)), []
+    while len(waiting) > 1:
+        frontier, waiting = [int(waiting[0])], waiting[1:]
+        while frontier and len(waiting):
+            i = frontier.pop()
+            x = fps[waiting] ^ fps[i]
+            near = np.flatnonzero(ring_close(x, WIDE_TAU))
+            near = near[np.bitwise_count(x[near]) <= WIDE_TAU]
+            near = near[(sigs[waiting[near]] == sigs[i]).mean(axis=1) >= least]
+            out += [(int(ids[i]), int(ids[j])) for j in waiting[near]]
+            frontier += waiting[near].tolist()
+            waiting = np.delete(waiting, near)
+    return out
+
+
+def near_duplicate_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, content, keeper of each distinct (doc_id, content) of docs in a class of two or more; keeper: its smallest doc_id.
+
+    Exact copies are collapsed first; only texts that share a band with another text are compared. A band that more than
+    BUCKET_ROWS texts share is dealt into parts, and the bucket's first text goes to each of them.
+    """
+    known = stored(sketches(docs.where("doc_id is not null"), size), "near-sketches")
+    ids = known.select("doc_id", "content").distinct()
+    texts = ids.groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    texts = stored(texts, "near-texts")
+    keys = known.join(texts.select("content", F.col("first").alias("doc_id")), ["content", "doc_id"], "left_semi").select("content", F.explode("bands").alias("band")).distinct()
+    shared = keys.groupBy("band").agg(F.count("*").alias("n"), F.min("content").alias("head")).where("n > 1")
+    shared = stored(shared, "near-shared")
+    parts = F.ceil(F.col("n") / BUCKET_ROWS)
+    met = keys.join(shared, "band").select("content", "band", F.explode(F.when(F.col("content") == F.col("head"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("content"), parts)))).alias("part"))
+    met = stored(met, "near-met")
+    marks = known.join(met.select("content").distinct(), "content", "left_semi").dropDuplicates(["content"]).select("content", "fp", "sig")
+    dealt = met.join(stored(marks, "near-marks"), "content").repartition("band", "part").sortWithinPartitions("band", "part", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def group(b: pa.Table) -> list[tuple[int, int]]:
+            sigs = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+            return sketch_links(b["content"].to_numpy(), b["fp"].to_numpy().view(np.uint64), sigs, similarity)
+
+        rest = None  # the rows of the bucket that the next batch may continue
+        for b in batches:
+            rest = pa.table(b) if rest is None else pa.concat_tables([rest, pa.table(b)])
+            k = np.stack([rest["band"].to_numpy(), rest["part"].to_numpy()])
+            edges = np.concatenate([[0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1])
+            found = {x for s, e in zip(edges[:-1], edges[1:], strict=True) if e - s > 1 for x in group(rest.slice(s, e - s))}
+            rest = rest.slice(edges[-1])
+            yield pairs(found)
+        if rest is not None and rest.num_rows > 1:
+            yield pairs(set(group(rest)))
+
+    def pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
+        e = np.array(sorted(found), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+
+    edges = dealt.select("content", "band", "part", "fp", "sig").mapInArrow(run, "a long, b long").distinct()
+    roots = components(edges)
+    classed = texts.join(roots, texts.content == roots.node, "left").select("content", "first", "n", F.coalesce("root", "content").alias("root"))
+    least = classed.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("n").alias("members")).where("members > 1")
+    return ids.join(stored(classed.join(least, "root").select("content", "keeper"), "near-classes"), "content").select("doc_id", "content", "keeper")
+
+
+def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each near-duplicate class, the one with the smallest doc_id; of rows that share it one stays.
+
+    Rows with a null doc_id and texts without a word are no copies of anything and stay.
+    """
+    columns = docs.columns
+    classes = near_duplicate_classes(docs, size, similarity)
+    losers = stored(classes.where("doc_id <> keeper").select(F.col("doc_id").alias("_id")).distinct(), "near-losers")
+    left = docs.join(losers, docs.doc_id == F.col("_id"), "left_anti")
+    again = stored(left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "near-again")
+    once = left.join(again, left.doc_id == F.col("_id"), "left_anti")
+    many = left.join(again, left.doc_id == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(many).select(*columns)
