@@ -4,8 +4,8 @@ A linear model first predicts the language family; one-versus-one linear support
 languages within it. Features are hashed character n-grams (1 to 4 letters, words padded by a space) of the whole lower-cased
 text; a model's value is the mean of its weights over a text's n-grams, so texts of any length are scored in one pass.
 
-Training takes a bounded sample: TRAIN_ROWS rows of each language at most (those with the smallest hash of doc_id), of
-LANGUAGES languages at most (the most frequent), so its size never follows the corpus. Everything else covers all rows.
+Training takes a bounded sample: TRAIN_ROWS rows in all, dealt evenly to LANGUAGES languages at most (the most frequent), of each those
+with the smallest hash of doc_id; so its size never follows the corpus. Everything else covers all rows.
 
 A text that is null or has no letters is 'und' with score 0. Rows with null or odd lang are only left out of training.
 Repeated rows and null ids are predicted like any other. Where nothing can be learned (an empty table), every text is
@@ -31,9 +31,9 @@ FAMILIES = {
     "romance": ["ca", "es", "fr", "gl", "it", "oc", "pt", "ro"],
     "slavic": ["be", "bg", "bs", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"],
 }
-TRAIN_ROWS = 400
+TRAIN_ROWS = 1000
 LANGUAGES = 64
-BUCKETS = 1 << 14
+BUCKETS = 1 << 13
 ORDERS = (1, 2, 3, 4)
 EPOCHS = 12
 #: Texts are long enough for one training row to be cut into parts, which teaches the scale of short texts.
@@ -90,21 +90,21 @@ def _counts(g: np.ndarray) -> np.ndarray:
     return np.bincount(g, minlength=BUCKETS).astype(np.float32) / len(g)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = EPOCHS, reg: float = 1e-4) -> np.ndarray:
-    """A linear support vector machine (hinge loss, averaged subgradient steps in a fixed order); y is -1 or 1."""
+def fit_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, rounds: int = EPOCHS, reg: float = 1e-4) -> np.ndarray:
+    """A linear support vector machine on the given rows of x (hinge loss, averaged subgradient steps in a fixed order); y is -1 or 1."""
     order = np.random.default_rng(7)
-    w, total, t = np.zeros(x.shape[1], np.float64), np.zeros(x.shape[1], np.float64), 0
-    scale = 1.0 / max(1e-12, float(np.mean(np.sum(x * x, axis=1))))
-    weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
+    w, total, t = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float64), 0
+    scale = 1.0 / max(1e-12, float(np.mean([x[r] @ x[r] for r in rows])))
+    weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))).astype(np.float32)
     for _ in range(rounds):
         for batch in np.array_split(order.permutation(len(y)), max(1, len(y) // 32)):
             t += 1
             step = scale / np.sqrt(t)
-            margin = y[batch] * (x[batch] @ w)
-            hit = batch[margin < 1]
+            own = x[rows[batch]]
+            hit = y[batch] * (own @ w) < 1
             w *= 1 - min(0.5, step * reg)
-            if len(hit):
-                w += step * ((y[hit] * weight[hit]) @ x[hit]) / len(batch)
+            if hit.any():
+                w += np.float32(step / len(batch)) * ((y[batch] * weight[batch])[hit] @ own[hit])
             total += w
     return (total / max(1, t)).astype(np.float32)
 
@@ -145,19 +145,22 @@ class Model:
 
 def fit(rows: list[tuple[str, str]]) -> Model:
     """A model of (text, lang) rows."""
-    feats, names = [], []
+    parts, names = [], []
     for text, lang in rows:
         for part in (text, text[:PART], text[len(text) // 2 :][:PART]) if len(text) > 2 * PART else (text,):
             if (g := grams(part)) is not None:
-                feats.append(_counts(g))
+                parts.append(_counts(g))
                 names.append(lang)
     langs = sorted(set(names))
     if not langs:
         return Model([], [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    x = np.stack(feats)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
-    x *= idf
-    x = np.concatenate([x, np.full((len(x), 1), float(np.sqrt(np.mean(np.sum(x * x, axis=1)))), np.float32)], axis=1)
+    x = np.empty((len(parts), BUCKETS + 1), np.float32)
+    for i in range(len(parts)):
+        x[i, :-1], parts[i] = parts[i], None
+    met = np.count_nonzero(x[:, :-1], axis=0)
+    idf = np.log((1 + len(x)) / (1 + met)).astype(np.float32) + 1
+    x[:, :-1] *= idf
+    x[:, -1] = np.sqrt(np.mean([r @ r for r in x[:, :-1]]))
     own, fams = np.array(names), np.array([family_of(n) for n in names])
     pairs, columns = [], []
     jobs = [("family", fams, sorted(set(fams)))] + [("lang", own, [n for n in langs if family_of(n) == f]) for f in sorted(set(fams))]
@@ -165,7 +168,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
         for a, b in combinations(members, 2):
             pick = np.flatnonzero((label == a) | (label == b))
             pairs.append((f"{kind}:{a}", f"{kind}:{b}"))
-            columns.append(fit_svm(x[pick], np.where(label[pick] == a, 1.0, -1.0)))
+            columns.append(fit_svm(x, pick, np.where(label[pick] == a, 1.0, -1.0).astype(np.float32)))
     if not columns:
         return Model(langs, [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     w = np.stack(columns, axis=1)
@@ -179,10 +182,11 @@ def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, st
     common = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     if not common:
         return []
+    rows = max(1, rows // len(common))
     mixed = F.xxhash64(F.col("doc_id").cast("string"))
     w = Window.partitionBy("lang").orderBy(mixed, "doc_id")
     chosen = usable.where(F.col("lang").isin(common)).select("lang", "doc_id").withColumn("n", F.row_number().over(w)).where(F.col("n") <= rows).select("doc_id").distinct()
-    # at most rows * LANGUAGES ids
+    # at most TRAIN_ROWS ids
     picked = usable.where(F.col("lang").isin(common)).select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
     sample = picked.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.*")
     return [(r["text"], r["lang"]) for r in sample.orderBy(mixed, "doc_id").collect()]
