@@ -97,8 +97,9 @@ def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, cap: int =
     counts = cells.join(drawn, ["shard", "source_no"], "left").select("shard", "source_no", "blocks", (F.col("base") + F.coalesce("more", F.lit(0))).alias("n"))
     by_shard = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("first", F.coalesce(F.sum("n").over(by_shard), F.lit(0))).where("n > 0")
-    # a source's shards are spread over tasks before they become slots
-    dealt = counts.repartition("source_no", "shard").withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+    # a source's shards are spread over tasks before they become slots; a stated number of partitions is not coalesced
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counts.repartition(tasks, "source_no", "shard").withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     dealt = dealt.where(F.col("slot") < cap * F.col("blocks"))
     dealt = dealt.select("shard", "source_no", "slot", "blocks", F.expr("slot div blocks").alias("turn"), (F.col("slot") % F.col("blocks")).alias("block"))
     return permuted(dealt).drop("blocks")
@@ -148,10 +149,15 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """
     columns = docs.columns
     places, sources = placed(docs)
-    chosen = slots(sources).select("source_no", "block", "turn")
+    # written out: the planner would take the slots' size from the few rows that they come from, and broadcast them
+    chosen = stored(slots(sources).select("source_no", "block", "turn"), "mix-slots")
     runs = pieces(places).join(chosen, ["source_no", "block"]).groupBy("source_no", "at", "turn").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("_runs"), F.sum(F.col("high") - F.col("low")).alias("_n"))
     named = places.where("size > 0").join(runs, ["source_no", "at"]).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("size").alias("_size"), "_runs", "_n")
-    texts = docs.withColumn("_h", text_hash()).dropDuplicates(["doc_id", "_h"])
+    texts = docs.withColumn("_h", text_hash())
+    again = stored(places.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")), "mix-again")
+    if again.limit(1).count():  # repeated rows are places of their own, so one text serves them
+        same = texts.doc_id.eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t"))
+        texts = texts.join(again, same, "left_anti").unionByName(texts.join(again, same, "left_semi").dropDuplicates(["doc_id", "_h"]))
     out = texts.join(named, texts.doc_id.eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
     words = F.regexp_extract_all("text", F.lit(f"({WORD_PATTERN})"), F.lit(1))
     cut = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice("_w", (r["low"] + 1).cast("int"), (r["high"] - r["low"]).cast("int")))), " ")
