@@ -33,7 +33,8 @@ def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     mix = F.conv(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 6), 16, 10).cast("int")
     captures = pages.select("page_id", "url", F.date_add(F.to_date(F.lit("2023-01-01")), mix % 900).alias("fetch_day"))
-    return urlfilter.evaluate(captures, urlfilter.sample_list(pages))
+    out = urlfilter.evaluate(captures, urlfilter.sample_list(pages))
+    return out.withColumns({c: F.col(c).cast("string") for c in ("fetch_day", "valid_from")})
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,4 +39,47 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coales
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-SQL = {"op2_maxscore": OP2, "op4_rlz": OP4}
+OP5 = r"""
+WITH pages_ AS (
+  SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:]+)', 2)), '') AS host,
+         DATE '2023-01-01' + CAST(('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 6))::INT % 900 AS INT) AS fetch_day
+  FROM pages
+), names AS (
+  SELECT DISTINCT domain FROM (SELECT host AS domain FROM pages_ WHERE host IS NOT NULL
+    UNION ALL SELECT regexp_replace(host, '^[^.]+\.', '') FROM pages_ WHERE host IS NOT NULL)
+), mixed AS (
+  SELECT domain, i, list_transform(range(4), lambda k: ('0x' || substr(md5(domain), CAST(1 + 4 * k AS INT), 4))::INT) AS d
+  FROM names, unnest(range(3)) AS t(i)
+), entries AS (
+  SELECT domain, DATE '2023-01-01' + CAST(d[i + 1] % 730 AS INT) AS day, CAST((d[4] + i) % 3 + 1 AS INT) AS rank
+  FROM mixed WHERE d[4] % 4 >= i
+), daily AS (
+  SELECT domain, day, min(rank) AS rank FROM entries GROUP BY domain, day
+), spans AS (
+  SELECT domain, ['block', 'allow', 'remove'][rank] AS action, day AS valid_from, lead(day) OVER (PARTITION BY domain ORDER BY day) AS valid_to FROM daily
+), asked AS (
+  SELECT DISTINCT host, fetch_day, depth, array_to_string(string_split(host, '.')[depth:], '.') AS domain
+  FROM pages_, unnest(range(1, len(string_split(host, '.')) + 1)) AS t(depth) WHERE host IS NOT NULL
+), active AS (
+  SELECT a.host, a.fetch_day, a.domain, action, valid_from, row_number() OVER (PARTITION BY a.host, a.fetch_day ORDER BY depth) AS r
+  FROM asked a JOIN spans s ON a.domain = s.domain AND action <> 'remove' AND a.fetch_day >= valid_from AND (valid_to IS NULL OR a.fetch_day < valid_to)
+)
+SELECT p.page_id, p.host, CAST(p.fetch_day AS VARCHAR) AS fetch_day, a.domain, a.action, CAST(a.valid_from AS VARCHAR) AS valid_from
+FROM pages_ p LEFT JOIN active a ON p.host = a.host AND p.fetch_day = a.fetch_day AND r = 1
+"""
+
+OP6 = """
+WITH own AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS digest FROM pages
+), firsts AS (
+  SELECT digest, max(page_id) AS first_id FROM own GROUP BY digest
+)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(8), lambda k: array_to_string(list_transform([3, 2, 1, 0],
+         lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(digest, CAST(1 + 5 * k AS INT), 5))::INT >> (5 * j)) & 31 AS INT) + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM own JOIN firsts USING (digest)
+"""
+
+SQL = {"op2_maxscore": OP2, "op4_rlz": OP4, "op5_urlfilter": OP5, "op6_warc": OP6}
