@@ -136,7 +136,8 @@ def pieces(places: DataFrame, block: int = BLOCK) -> DataFrame:
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of each row of docs."""
     places, sources = placed(docs)
-    times = slots(sources).groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    # written out: the planner would take the slots' size from the few rows that they come from, and broadcast them
+    times = stored(slots(sources).groupBy("source_no", "block").agg(F.count("*").alias("times")), "mix-times")
     taken = pieces(places).join(times, ["source_no", "block"]).groupBy("source_no", "at").agg(F.sum((F.col("high") - F.col("low")) * F.col("times")).alias("taken"))
     out = places.join(taken, ["source_no", "at"], "left").join(sources.select("source_no", "source_size", "target"), "source_no")
     return out.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"))
