@@ -155,15 +155,13 @@ _OPS = """ops AS (
          CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE CAST(o_orderkey % 5 * 50 + 100 AS DOUBLE) END AS margin,
          CAST(o_orderkey % 10 + 1 AS DOUBLE) AS leverage,
          CAST(o_orderkey % 50 + 100 AS DOUBLE)
-           + CASE WHEN (o_orderkey % 2 = 0) = (o_orderkey % 11 = 0) THEN 5 ELSE -5 END AS stop_loss,
+           + CASE WHEN (o_orderkey % 2 = 0) <> (o_orderkey % 11 = 0) THEN -5 ELSE 5 END AS stop_loss,
          CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE (o_totalprice - 250000) / 1000 END AS final_pnl,
          ['take_profit', 'stop_loss', 'manual', 'time_expired', 'contest_expired', 'other_reason'][o_orderkey % 6 + 1] AS close_reason,
          ['plan_success', 'plan_failure', 'ambiguous_same_candle', 'expired_mark_to_market', 'unresolved', 'none'][o_orderkey % 6 + 1] AS plan_result,
          CASE o_orderstatus WHEN 'F' THEN 'CLOSED' WHEN 'O' THEN 'OPEN' ELSE 'PENDING_ENTRY' END AS status, o_orderdate AS closed_at,
          ['lev' || o_orderkey % 4, 'day' || o_orderkey % 7, 'lev' || o_orderkey % 3] AS signals
   FROM orders)"""
-# an odd key's stop lies above its entry; one in eleven lies on the wrong side
-_OPS = _OPS.replace("CASE WHEN (o_orderkey % 2 = 0) = (o_orderkey % 11 = 0) THEN 5 ELSE -5 END", "CASE WHEN (o_orderkey % 2 = 0) <> (o_orderkey % 11 = 0) THEN -5 ELSE 5 END")
 _ECON = (
     _OPS
     + """, tested AS (
@@ -571,12 +569,10 @@ def first_passage_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def competing_risk_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-passage curves of hourly plans moved by a little evidence for the target (tested against a recursion in numpy)."""
-    bars = hourly(spark, sf_dir)
+    """First-passage curves of each day's last plans, moved by a little evidence for the target (tested without evidence against the plain curve)."""
     rows = first_passage(spark, sf_dir).where("at_ms % 86400000 = 86399999").select("plan_id", "side", "sigma")
     up = F.when(F.col("side") == "long", F.ln(F.lit(1.5))).otherwise(-F.ln(F.lit(0.9)))
     down = F.when(F.col("side") == "long", -F.ln(F.lit(0.9))).otherwise(F.ln(F.lit(1.5)))
-    del bars
     return rounded(rows.select("plan_id", probability.competing_risks(up, down, F.col("sigma"), F.lit(0.2), F.lit(-0.1), 6).alias("p")).select("plan_id", "p.*"))
 
 

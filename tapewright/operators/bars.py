@@ -11,14 +11,14 @@ from tapewright.functions.scalars import bucket_start
 
 def rollup_trades(trades: DataFrame, size_ms: int) -> DataFrame:
     """OHLCV bars of trades (symbol, ts_ms, trade_id, price, qty, maker): one hash aggregation with map-side combine."""
-    first, last = F.struct("ts_ms", "trade_id"), F.struct("ts_ms", "trade_id")
+    order = F.struct("ts_ms", "trade_id")
     return (
         trades.groupBy("symbol", bucket_start(F.col("ts_ms"), size_ms).alias("open_ms"))
         .agg(
-            F.min_by("price", first).alias("open"),
+            F.min_by("price", order).alias("open"),
             F.max("price").alias("high"),
             F.min("price").alias("low"),
-            F.max_by("price", last).alias("close"),
+            F.max_by("price", order).alias("close"),
             F.sum("qty").alias("volume"),
             F.sum(F.col("price") * F.col("qty")).alias("quote_volume"),
             F.sum(F.when(~F.col("maker"), F.col("price") * F.col("qty")).otherwise(0.0)).alias("taker_buy_quote"),
