@@ -161,6 +161,10 @@ def mix_documents(docs: DataFrame) -> DataFrame:
         texts = texts.join(again, same, "left_anti").unionByName(texts.join(again, same, "left_semi").dropDuplicates(["doc_id", "_h"]))
     out = texts.join(named, texts.doc_id.eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
     words = F.regexp_extract_all("text", F.lit(f"({WORD_PATTERN})"), F.lit(1))
-    cut = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice("_w", (r["low"] + 1).cast("int"), (r["high"] - r["low"]).cast("int")))), " ")
-    out = out.withColumn("_w", F.when(F.col("_n") < F.col("_size"), words))
+
+    def taken(w: Column) -> Column:
+        return F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(w, (r["low"] + 1).cast("int"), (r["high"] - r["low"]).cast("int")))), " ")
+
+    # the words are an outer function's variable: as a column they would be folded into the inner one and split anew for each run
+    cut = F.element_at(F.transform(F.array(words), taken), 1)
     return out.withColumn("text", F.when(F.col("_n") < F.col("_size"), cut).otherwise(F.col("text"))).select(*columns)
