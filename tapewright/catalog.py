@@ -238,6 +238,29 @@ def merged_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.merge_ranges(spans, ["user_id"], "from_ms", "to_ms", 60_000)
 
 
+@query(
+    f"""WITH {_BARS}, w AS (SELECT unnest(['1h', '24h', '7d']) AS "window", unnest([3600000, 86400000, 604800000]) AS ms), moved AS (
+  SELECT a.open_ms, "window", CASE WHEN b.close = 0 THEN 0 ELSE (a.close - b.close) / b.close * 100 END AS x FROM bars a, w JOIN bars b ON b.symbol = a.symbol AND b.open_ms = a.open_ms - w.ms)
+SELECT open_ms, "window", count(*) AS n, round(count(*) FILTER (x > 0) / count(*) * 100, 6) AS advancers_pct, round(median(x), 6) AS median_change_pct,
+       round(count(*) FILTER (abs(x) >= 5) / count(*) * 100, 6) AS strong_pct FROM moved GROUP BY open_ms, "window\""""
+)
+def market_breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(B.market_breadth(hourly(spark, sf_dir), {"1h": HOUR, "24h": DAY, "7d": 7 * DAY}))
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey AS book_id, sum(CASE WHEN l_linenumber % 2 = 1 THEN p * l_quantity ELSE 0 END) AS bid_notional, sum(CASE WHEN l_linenumber % 2 = 1 THEN 0 ELSE p * l_quantity END) AS ask_notional,
+       coalesce(max(p) FILTER (l_linenumber % 2 = 1), 0) AS best_bid, coalesce(min(p) FILTER (l_linenumber % 2 = 0), 0) AS best_ask FROM (SELECT *, l_extendedprice / l_quantity AS p FROM lineitem) GROUP BY l_orderkey)
+SELECT book_id, round(bid_notional, 6) AS bid_notional, round(ask_notional, 6) AS ask_notional, round(best_bid, 6) AS best_bid, round(best_ask, 6) AS best_ask,
+       round(CASE WHEN bid_notional + ask_notional <> 0 THEN (bid_notional - ask_notional) / (bid_notional + ask_notional) ELSE 0 END, 6) AS imbalance,
+       round(CASE WHEN best_bid <> 0 AND best_ask <> 0 THEN (best_ask - best_bid) / ((best_bid + best_ask) / 2) * 100 ELSE 0 END, 6) AS spread_pct FROM s"""
+)
+def book_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's lines as a book: odd lines bid, even lines ask."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rounded(B.book_summary(lines.select(F.col("l_orderkey").alias("book_id"), (F.col("l_linenumber") % 2 == 1).alias("bid"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("qty")), "book_id"))
+
+
 # ---- indicators
 
 

@@ -82,3 +82,34 @@ def trade_flow(trades: DataFrame, keys: list[str]) -> DataFrame:
     worth = F.col("price") * F.col("qty")
     out = trades.groupBy(*keys).agg(F.sum(F.when(~F.col("maker"), worth).otherwise(0.0)).alias("buy"), F.sum(F.when(F.col("maker"), worth).otherwise(0.0)).alias("sell"), F.count("*").alias("n_trades"))
     return out.select(*keys, "n_trades", "buy", "sell", (F.col("buy") - F.col("sell")).alias("delta"), F.when(F.col("buy") + F.col("sell") > 0, F.col("buy") / (F.col("buy") + F.col("sell"))).otherwise(0.0).alias("buy_ratio"))
+
+
+def market_breadth(bars: DataFrame, windows: dict[str, int], strong: float = 5.0) -> DataFrame:
+    """Per bar time and window: symbols with a bar a window earlier, the percentage that rose, the median change, the percentage of strong moves.
+
+    Changes are percentages of the earlier close; the earlier bar is met by an equi-join on symbol and time, so gaps give no change.
+    """
+    asked = bars.select("symbol", "open_ms", "close", F.explode(F.array(*[F.struct(F.lit(n).alias("window"), F.lit(ms).cast("long").alias("ms")) for n, ms in windows.items()])).alias("w"))
+    asked = asked.select("symbol", "open_ms", "close", "w.window", (F.col("open_ms") - F.col("w.ms")).alias("_then"))
+    earlier = bars.select(F.col("symbol").alias("_s"), F.col("open_ms").alias("_o"), F.col("close").alias("_c"))
+    moved = asked.join(earlier, (F.col("symbol") == F.col("_s")) & (F.col("_then") == F.col("_o"))).withColumn("_x", F.when(F.col("_c") == 0, 0.0).otherwise((F.col("close") - F.col("_c")) / F.col("_c") * 100))
+    return moved.groupBy("open_ms", "window").agg(
+        F.count("*").alias("n"),
+        (F.count_if(F.col("_x") > 0) / F.count("*") * 100).alias("advancers_pct"),
+        F.median("_x").alias("median_change_pct"),
+        (F.count_if(F.abs("_x") >= strong) / F.count("*") * 100).alias("strong_pct"),
+    )
+
+
+def book_summary(levels: DataFrame, key: str) -> DataFrame:
+    """Per book (levels: key, bid, price, qty): notional of either side, their imbalance, best prices (0: none) and spread in percent of the middle."""
+    bid, worth = F.col("bid"), F.col("price") * F.col("qty")
+    out = levels.groupBy(key).agg(
+        F.sum(F.when(bid, worth).otherwise(0.0)).alias("bid_notional"),
+        F.sum(F.when(bid, 0.0).otherwise(worth)).alias("ask_notional"),
+        F.coalesce(F.max(F.when(bid, F.col("price"))), F.lit(0.0)).alias("best_bid"),
+        F.coalesce(F.min(F.when(~bid, F.col("price"))), F.lit(0.0)).alias("best_ask"),
+    )
+    total, middle = F.col("bid_notional") + F.col("ask_notional"), (F.col("best_bid") + F.col("best_ask")) / 2
+    both = (F.col("best_bid") != 0) & (F.col("best_ask") != 0)
+    return out.withColumn("imbalance", F.when(total != 0, (F.col("bid_notional") - F.col("ask_notional")) / total).otherwise(0.0)).withColumn("spread_pct", F.when(both, (F.col("best_ask") - F.col("best_bid")) / middle * 100).otherwise(0.0))
