@@ -251,14 +251,16 @@ def market_breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH s AS (SELECT l_orderkey AS book_id, sum(CASE WHEN l_linenumber % 2 = 1 THEN p * l_quantity ELSE 0 END) AS bid_notional, sum(CASE WHEN l_linenumber % 2 = 1 THEN 0 ELSE p * l_quantity END) AS ask_notional,
        coalesce(max(p) FILTER (l_linenumber % 2 = 1), 0) AS best_bid, coalesce(min(p) FILTER (l_linenumber % 2 = 0), 0) AS best_ask FROM (SELECT *, l_extendedprice / l_quantity AS p FROM lineitem) GROUP BY l_orderkey)
-SELECT book_id, round(bid_notional, 6) AS bid_notional, round(ask_notional, 6) AS ask_notional, round(best_bid, 6) AS best_bid, round(best_ask, 6) AS best_ask,
+SELECT book_id, round(bid_notional, 6) AS bid_notional, round(ask_notional, 6) AS ask_notional, round(best_bid + 1e-9::DOUBLE, 6) AS best_bid, round(best_ask + 1e-9::DOUBLE, 6) AS best_ask,
        round(CASE WHEN bid_notional + ask_notional <> 0 THEN (bid_notional - ask_notional) / (bid_notional + ask_notional) ELSE 0 END, 6) AS imbalance,
        round(CASE WHEN best_bid <> 0 AND best_ask <> 0 THEN (best_ask - best_bid) / ((best_bid + best_ask) / 2) * 100 ELSE 0 END, 6) AS spread_pct FROM s"""
 )
 def book_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's lines as a book: odd lines bid, even lines ask."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rounded(B.book_summary(lines.select(F.col("l_orderkey").alias("book_id"), (F.col("l_linenumber") % 2 == 1).alias("bid"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("qty")), "book_id"))
+    out = B.book_summary(lines.select(F.col("l_orderkey").alias("book_id"), (F.col("l_linenumber") % 2 == 1).alias("bid"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("qty")), "book_id")
+    # a nudge keeps quotients that end in 5 from rounding either way
+    return rounded(out.withColumns({c: F.col(c) + 1e-9 for c in ("best_bid", "best_ask")}))
 
 
 # ---- indicators
