@@ -12,8 +12,9 @@ bytes, at most two of them differ), which leaves at most 2 ** 16 fingerprints in
 
 near_duplicate_classes serves similarities that few differing bits cannot express (a Jaccard similarity of 0.8 on shingles of five
 words leaves about 10 of 64 bits different, so no segment need be equal). There candidates meet on bands of least shingle
-hashes; the pigeonring chains with a budget of WIDE_TAU bits prune them before the full Hamming check, and a sketch of
-SKETCH least hashes decides. keep_one leaves one document of each class.
+hashes; the pigeonring chains with a budget of WIDE_TAU bits, the full Hamming check and a sketch of SKETCH least hashes with
+a margin of several deviations prune them, and the exact similarity of the sets of shingles decides. keep_one leaves one
+document of each class.
 
 Null text counts as empty, and empty texts have fingerprint 0 and link like any other. Repeated rows and rows with a
 null doc_id keep their own result row; a component of rows with null ids only has a null component_id. An empty table
@@ -28,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.llm.common import slices, splitmix, stored, utf8_rows
@@ -45,6 +46,8 @@ BLOCK = 1024
 SKETCH, BANDS, BAND = 128, 16, 4
 #: Bits that fingerprints of texts with a similarity of 0.8 differ in, four standard deviations above the mean.
 WIDE_TAU = 22
+#: Shingles of a loose class compared in one task (8 bytes each).
+CLASS_SHINGLES = 8_000_000
 
 _MULTIPLIERS = splitmix(np.arange(7000, 7000 + SKETCH, dtype=np.uint64)) | np.uint64(1)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -211,9 +214,18 @@ def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingles(words: np.ndarray, size: int) -> np.ndarray:
+    """Sorted distinct hashes of every size consecutive words; fewer words than size count as one shingle."""
+    return np.unique(rolling(words, min(size, len(words)), 0x9E3779B97F4A7C15))
+
+
+def content_hash(words: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(words.tobytes(), SEED)
+
+
 def sketch(words: np.ndarray, size: int) -> tuple[int, bytes, np.ndarray]:
-    """Fingerprint, least-hash bytes and bands of a sequence of word hashes; fewer words than size count as one shingle."""
-    hashes = np.unique(rolling(words, min(size, len(words)), 0x9E3779B97F4A7C15))
+    """Fingerprint, least-hash bytes and bands of a sequence of word hashes."""
+    hashes = shingles(words, size)
     octets = hashes.view(np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BITS for i in range(8)])
     fp = int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
@@ -241,9 +253,8 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 for i, text in enumerate(utf8_rows(b.column("text"))):
                     words = word_hashes(text.lower())
                     if len(words):
-                        content = xxhash.xxh3_64_intdigest(words.tobytes(), SEED)
                         at.append(i)
-                        rows.append((content, *sketch(words, size)))
+                        rows.append((content_hash(words), *sketch(words, size)))
                 signed = [pa.array(np.array([r[j] for r in rows], np.uint64).view(np.int64)) for j in (0, 1)]
                 bands = pa.array([r[3].view(np.int64) for r in rows], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *signed, pa.array([r[2] for r in rows], pa.binary()), bands], names)
@@ -251,64 +262,136 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, content long, fp long, sig binary, bands array<long>")
 
 
-def sketch_links(ids: np.ndarray, fps: np.ndarray, sigs: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Links of one bucket: a search from each row over those not yet reached, so a group costs its size and not its pairs."""
-    least = similarity + (1 - similarity) / 256  # different hashes share a byte now and then
+def estimate_floor(similarity: float) -> float:
+    """The share of equal sketch bytes below which a pair is dropped: 4.25 standard deviations under the similarity (0.65 at 0.8)."""
+    low = similarity - 4.25 * (similarity * (1 - similarity) / SKETCH) ** 0.5
+    return low + (1 - low) / 256  # different hashes share a byte now and then
+
+
+def group_links(group: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """Links of one group: a search from each row over those not yet reached, so a class costs its size and not its pairs.
+
+    Fingerprints and sketches only prune. Where the group has shingles, their exact similarity decides.
+    """
+    ids, fps = group["content"].to_numpy(), group["fp"].to_numpy().view(np.uint64)
+    sigs = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+    floor, exact = estimate_floor(similarity), "shingles" in group.column_names
+    if exact:
+        sets = group["shingles"].to_pylist()
+        sizes = np.array([len(x) // 8 for x in sets])
+        starts = np.cumsum(sizes) - sizes
+        values, codes = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+        mark = np.zeros(len(values), bool)
+        del sets, values
+
+    def jaccard(i: int, rows: np.ndarray) -> np.ndarray:
+        mine = codes[starts[i] : starts[i] + sizes[i]]
+        mark[mine] = True
+        n = sizes[rows]
+        before = np.cumsum(n) - n
+        common = np.add.reduceat(mark[codes[np.arange(n.sum()) + np.repeat(starts[rows] - before, n)]], before, dtype=np.int64)
+        mark[mine] = False
+        return common / (sizes[i] + n - common)
+
     waiting, out = np.arange(len(ids)), []
     while len(waiting) > 1:
         frontier, waiting = [int(waiting[0])], waiting[1:]
         while frontier and len(waiting):
             i = frontier.pop()
             x = fps[waiting] ^ fps[i]
-            near = np.flatnonzero(ring_close(x, WIDE_TAU))
-            near = near[np.bitwise_count(x[near]) <= WIDE_TAU]
-            near = near[(sigs[waiting[near]] == sigs[i]).mean(axis=1) >= least]
+            near = np.flatnonzero(np.bitwise_count(x) <= WIDE_TAU)
+            near = near[ring_close(x[near], WIDE_TAU)]
+            near = near[(sigs[waiting[near]] == sigs[i]).mean(axis=1) >= floor]
+            if exact and len(near):
+                near = np.concatenate([part[jaccard(i, waiting[part]) >= similarity] for part in np.split(near, range(BLOCK, len(near), BLOCK))])
             out += [(int(ids[i]), int(ids[j])) for j in waiting[near]]
             frontier += waiting[near].tolist()
             waiting = np.delete(waiting, near)
     return out
 
 
-def near_duplicate_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, content, keeper of each distinct (doc_id, content) of docs in a class of two or more; keeper: its smallest doc_id.
-
-    Exact copies are collapsed first; only texts that share a band with another text are compared. A band that more than
-    BUCKET_ROWS texts share is dealt into parts, and the bucket's first text goes to each of them.
-    """
-    known = stored(sketches(docs.where("doc_id is not null"), size), "near-sketches")
-    ids = known.select("doc_id", "content").distinct()
-    texts = ids.groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    texts = stored(texts, "near-texts")
-    keys = known.join(texts.select("content", F.col("first").alias("doc_id")), ["content", "doc_id"], "left_semi").select("content", F.explode("bands").alias("band")).distinct()
-    shared = keys.groupBy("band").agg(F.count("*").alias("n"), F.min("content").alias("head")).where("n > 1")
-    shared = stored(shared, "near-shared")
-    parts = F.ceil(F.col("n") / BUCKET_ROWS)
-    met = keys.join(shared, "band").select("content", "band", F.explode(F.when(F.col("content") == F.col("head"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("content"), parts)))).alias("part"))
-    met = stored(met, "near-met")
-    marks = known.join(met.select("content").distinct(), "content", "left_semi").dropDuplicates(["content"]).select("content", "fp", "sig")
-    dealt = met.join(stored(marks, "near-marks"), "content").repartition("band", "part").sortWithinPartitions("band", "part", "content")
+def links_by(dealt: DataFrame, key: str, similarity: float) -> DataFrame:
+    """Distinct links a, b of each group of rows with one key and part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def group(b: pa.Table) -> list[tuple[int, int]]:
-            sigs = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint8).reshape(-1, SKETCH)
-            return sketch_links(b["content"].to_numpy(), b["fp"].to_numpy().view(np.uint64), sigs, similarity)
-
-        rest = None  # the rows of the bucket that the next batch may continue
+        rest = None  # the rows of the group that the next batch may continue
         for b in batches:
             rest = pa.table(b) if rest is None else pa.concat_tables([rest, pa.table(b)])
-            k = np.stack([rest["band"].to_numpy(), rest["part"].to_numpy()])
+            k = np.stack([rest[key].to_numpy(), rest["part"].to_numpy()])
             edges = np.concatenate([[0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1])
-            found = {x for s, e in zip(edges[:-1], edges[1:], strict=True) if e - s > 1 for x in group(rest.slice(s, e - s))}
+            found = {x for s, e in zip(edges[:-1], edges[1:], strict=True) if e - s > 1 for x in group_links(rest.slice(s, e - s), similarity)}
             rest = rest.slice(edges[-1])
             yield pairs(found)
         if rest is not None and rest.num_rows > 1:
-            yield pairs(set(group(rest)))
+            yield pairs(set(group_links(rest, similarity)))
 
     def pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
         e = np.array(sorted(found), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
-    edges = dealt.select("content", "band", "part", "fp", "sig").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(key, "part").sortWithinPartitions(key, "part", "content").mapInArrow(run, "a long, b long").distinct()
+
+
+def _parts(n: Column, most: int) -> Column:
+    """Parts of which any two hold about most of n."""
+    return F.when(n <= most, F.lit(1).cast("long")).otherwise(F.ceil(n * 2 / most))
+
+
+def in_pairs(df: DataFrame, key: str) -> DataFrame:
+    """content, key, part: rows of df (content, key, parts) once for each pair of parts that theirs is in, so any two rows of a key meet."""
+    own, zero = F.pmod(F.xxhash64("content"), F.col("parts")), F.lit(0).cast("long")
+    others = F.when(F.col("parts") == 1, F.array(zero)).otherwise(F.filter(F.sequence(zero, F.col("parts") - 1), lambda q: q != own))
+    return df.select("content", key, F.explode(F.transform(others, lambda q: F.least(own, q) * F.col("parts") + F.greatest(own, q))).alias("part"))
+
+
+def shingle_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """content, class, n (distinct shingles) and shingles (their sorted hashes) of each row of members (content, first, class)."""
+    asked = docs.join(members.select(F.col("first").alias("doc_id"), "content", "class"), "doc_id").select("content", "class", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for b in slices(batches, "text"):
+                at, sets = [], []
+                for i, (text, content) in enumerate(zip(utf8_rows(b.column("text")), b.column("content").to_pylist(), strict=True)):
+                    words = word_hashes(text.lower())
+                    # rows of one doc_id may have different texts
+                    if len(words) and np.uint64(content_hash(words)).astype(np.int64) == content:
+                        at.append(i)
+                        sets.append(shingles(words, size))
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("content").take(take), b.column("class").take(take), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["content", "class", "n", "shingles"])
+
+    return asked.mapInArrow(run, "content long, class long, n long, shingles binary").dropDuplicates(["content"])
+
+
+def near_duplicate_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, content, keeper of each distinct (doc_id, content) of docs in a class of two or more; keeper: its smallest doc_id.
+
+    Exact copies are collapsed first; only texts that share a band with another text are compared. Texts that may be similar
+    by their sketches form loose classes, so that every link lies in one of these. Then each loose class is searched again by
+    the exact similarity of its shingle sets. A loose class too large for one task is cut into parts, and every two parts meet in
+    a task of their own. A band that more than BUCKET_ROWS texts share is dealt into parts, and the bucket's first text goes to each of them.
+    """
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    known = stored(sketches(docs, size), "near-sketches")
+    ids = known.select("doc_id", "content").distinct()
+    texts = ids.groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    texts = stored(texts, "near-texts")
+    keys = known.join(texts.select("content", F.col("first").alias("doc_id")), ["content", "doc_id"], "left_semi").select("content", F.explode("bands").alias("band")).distinct()
+    shared = keys.groupBy("band").agg(F.count("*").alias("n"), F.min("content").alias("head")).where("n > 1")
+    shared = stored(shared, "near-shared")
+    parts = F.ceil(F.col("n") / BUCKET_ROWS)
+    met = keys.join(shared, "band").select("content", "band", F.explode(F.when(F.col("content") == F.col("head"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("content"), parts)))).alias("part"))
+    met = stored(met, "near-met")
+    marks = stored(known.join(met.select("content").distinct(), "content", "left_semi").dropDuplicates(["content"]).select("content", "fp", "sig"), "near-marks")
+    loose = stored(components(links_by(met.join(marks, "content").select("content", "band", "part", "fp", "sig"), "band", similarity)), "near-loose")
+    placed = texts.join(loose, texts.content == loose.node, "left").select("content", "first", F.coalesce("root", "content").alias("class"))
+    members = placed.join(loose.select(F.col("root").alias("class")).distinct(), "class", "left_semi")
+    sets = stored(shingle_sets(docs, members, size), "near-shingles")
+    classes = sets.groupBy("class").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles_in"))
+    parts = F.greatest(_parts(F.col("texts"), BUCKET_ROWS), F.least("texts", _parts(F.col("shingles_in"), CLASS_SHINGLES)))
+    dealt = in_pairs(sets.select("content", "class").join(classes, "class").select("content", "class", parts.alias("parts")), "class")
+    edges = links_by(dealt.join(sets.select("content", "shingles"), "content").join(marks, "content").select("content", "class", "part", "fp", "sig", "shingles"), "class", similarity)
     roots = components(edges)
     classed = texts.join(roots, texts.content == roots.node, "left").select("content", "first", "n", F.coalesce("root", "content").alias("root"))
     least = classed.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("n").alias("members")).where("members > 1")

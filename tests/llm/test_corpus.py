@@ -7,6 +7,7 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 import pytest
 import xxhash
@@ -211,6 +212,41 @@ def test_near_duplicates_keep_one(spark, docs):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def keepers(df) -> dict[int, int]:
+    return {r["doc_id"]: r["keeper"] for r in simhash.near_duplicate_classes(df).collect()}
+
+
+def brute_keepers(rows) -> dict[int, int]:
+    """The smallest id of each class of rows whose sets of five-word shingles have a similarity of 0.8 or more."""
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in rows for w in [t.split()]}
+    least = {d: d for d in sets}
+
+    def find(d):
+        while least[d] != d:
+            d = least[d]
+        return d
+
+    for a, b in combinations(sorted(sets), 2):
+        common = len(sets[a] & sets[b])
+        if 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common) and find(a) != find(b):
+            least[max(find(a), find(b))] = min(find(a), find(b))
+    roots = {d: find(d) for d in sets}
+    return {d: r for d, r in roots.items() if sum(x == r for x in roots.values()) > 1}
+
+
+def test_similarity_is_exact_near_the_limit(spark):
+    # pairs, and chains of three, that share all but the first and last few words: similarities from 0.75 to 0.9, with 0.8 itself
+    rows = []
+    for n, length in enumerate(4 * (40, 300)):
+        top = range(2, 6) if length == 40 else range(16, 44, 2)
+        for shift in top:
+            words = [f"n{n}s{shift}w{i}" for i in range(length + 2 * shift)]
+            rows += [(len(rows) + i, " ".join(words[i * shift : i * shift + length])) for i in range(2 + n % 4 // 2)]
+    want = brute_keepers(rows)
+    assert 20 < len(want) < len(rows) - 20
+    assert keepers(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
 def test_license_places_and_expressions(spark, docs):
     rows = [(1, "The MIT License and MIT-license; mit licensex"), (2, "GNU General Public License\nSPDX-License-Identifier: (GPL-2.0 WITH Classpath-exception-2.0) OR Apache-2.0 AND"), (3, None), (4, "ümit license"), (5, "MIT license"), (6, "mit license mit license")]
     got = {r["doc_id"]: r for r in license.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
