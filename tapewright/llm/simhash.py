@@ -369,8 +369,8 @@ def near_duplicate_classes(docs: DataFrame, size: int = 5, similarity: float = 0
 
     Exact copies are collapsed first; only texts that share a band with another text are compared. Texts that may be similar
     by their sketches form loose classes, so that every link lies in one of these. Then each loose class is searched again by
-    the exact similarity of its shingle sets. A loose class too large for one task is cut into parts, and every two parts meet in
-    a task of their own. A band that more than BUCKET_ROWS texts share is dealt into parts, and the bucket's first text goes to each of them.
+    the exact similarity of its shingle sets. A band or loose class too large for one task is
+    cut into parts, and every two parts meet in a task of their own.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     known = stored(sketches(docs, size), "near-sketches")
@@ -378,11 +378,8 @@ def near_duplicate_classes(docs: DataFrame, size: int = 5, similarity: float = 0
     texts = ids.groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     texts = stored(texts, "near-texts")
     keys = known.join(texts.select("content", F.col("first").alias("doc_id")), ["content", "doc_id"], "left_semi").select("content", F.explode("bands").alias("band")).distinct()
-    shared = keys.groupBy("band").agg(F.count("*").alias("n"), F.min("content").alias("head")).where("n > 1")
-    shared = stored(shared, "near-shared")
-    parts = F.ceil(F.col("n") / BUCKET_ROWS)
-    met = keys.join(shared, "band").select("content", "band", F.explode(F.when(F.col("content") == F.col("head"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("content"), parts)))).alias("part"))
-    met = stored(met, "near-met")
+    shared = stored(keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
+    met = stored(in_pairs(keys.join(shared, "band").select("content", "band", _parts(F.col("n"), BUCKET_ROWS).alias("parts")), "band"), "near-met")
     marks = stored(known.join(met.select("content").distinct(), "content", "left_semi").dropDuplicates(["content"]).select("content", "fp", "sig"), "near-marks")
     loose = stored(components(links_by(met.join(marks, "content").select("content", "band", "part", "fp", "sig"), "band", similarity)), "near-loose")
     placed = texts.join(loose, texts.content == loose.node, "left").select("content", "first", F.coalesce("root", "content").alias("class"))

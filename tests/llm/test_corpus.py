@@ -247,6 +247,17 @@ def test_similarity_is_exact_near_the_limit(spark):
     assert keepers(spark.createDataFrame(rows, "doc_id long, text string")) == want
 
 
+def test_every_text_of_a_hot_band_is_compared(spark, monkeypatch):
+    # pairs just above the limit in a family that is half alike: many pairs share no band but those of hundreds of texts
+    rows = []
+    for n in range(700):
+        own = [f"own{n}w{i}" for i in range(34)]
+        rows += [(len(rows) + k, " ".join([f"all{i}" for i in range(100)] + own + [f"pair{n}side{k}w{i}" for i in range(16)])) for k in range(2)]
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 8)
+    monkeypatch.setattr(simhash, "CLASS_SHINGLES", 20_000)
+    assert keepers(spark.createDataFrame(rows, "doc_id long, text string")) == brute_keepers(rows)
+
+
 def test_license_places_and_expressions(spark, docs):
     rows = [(1, "The MIT License and MIT-license; mit licensex"), (2, "GNU General Public License\nSPDX-License-Identifier: (GPL-2.0 WITH Classpath-exception-2.0) OR Apache-2.0 AND"), (3, None), (4, "ümit license"), (5, "MIT license"), (6, "mit license mit license")]
     got = {r["doc_id"]: r for r in license.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
