@@ -35,6 +35,8 @@ WINDOW = 50
 GRAM = 10
 #: Windows in a block at most (blocks of long repetitions are cut).
 BLOCK = 256
+#: Words of more bytes have a digest of their own, as the polynomial takes tens of bytes of memory for each byte.
+GIANT = 1 << 16
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -64,9 +66,13 @@ def word_hashes(text: bytes) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
     sizes = ends - starts
-    if sizes.max() > 1 << 16:  # rare giant words: their own hash each
-        return np.array([int.from_bytes(hashlib.blake2b(text[s:e], digest_size=8).digest(), "little") for s, e in zip(starts, ends, strict=True)], np.uint64) if len(starts) < 64 else _hash_words(b, inside, starts, ends, sizes)
-    return _hash_words(b, inside, starts, ends, sizes)
+    giant = sizes > GIANT
+    if not giant.any():
+        return _hash_words(b, inside, starts, ends, sizes)
+    out = np.empty(len(starts), np.uint64)
+    out[giant] = [int.from_bytes(hashlib.blake2b(text[i:j], digest_size=8).digest(), "little") for i, j in zip(starts[giant], ends[giant], strict=True)]
+    out[~giant] = word_hashes(b" ".join(text[i:j] for i, j in zip(starts[~giant], ends[~giant], strict=True)))
+    return out
 
 
 def _hash_words(b: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:

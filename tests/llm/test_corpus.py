@@ -258,6 +258,15 @@ def test_every_text_of_a_hot_band_is_compared(spark, monkeypatch):
     assert keepers(spark.createDataFrame(rows, "doc_id long, text string")) == brute_keepers(rows)
 
 
+def test_giant_words_hash_like_any_other(spark):
+    # a window of 52 words shared by texts of 55 and 200 words, with and without a word over 65536 bytes
+    window, giant = [f"win{i}" for i in range(52)], "x" * 70_000
+    rows = [(1, [*window, *(f"a{i}" for i in range(148))]), (2, [giant, *window, "b", "c"]), (3, [*(f"d{i}" for i in range(146)), giant, *window, "e"]), (4, [*window[:30], giant, *window[30:], "f"]), (5, [*(f"g{i}" for i in range(90)), *window[:30], giant, *window[30:]])]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = sorted((False, r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.removal_report(df).collect())
+    assert [g[3] for g in got] == [0, 52, 53, 0, 53] and got == brute_spans(df.collect())
+
+
 def test_license_places_and_expressions(spark, docs):
     rows = [(1, "The MIT License and MIT-license; mit licensex"), (2, "GNU General Public License\nSPDX-License-Identifier: (GPL-2.0 WITH Classpath-exception-2.0) OR Apache-2.0 AND"), (3, None), (4, "ümit license"), (5, "MIT license"), (6, "mit license mit license")]
     got = {r["doc_id"]: r for r in license.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
