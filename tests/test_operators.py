@@ -9,6 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tapewright import catalog
 from tapewright.functions import probability, scalars
 from tapewright.operators import bars, outcomes, reports, statistics
 from tapewright.sources import market
@@ -39,6 +40,35 @@ def test_competing_risks_without_evidence_keep_the_baseline(spark):
     assert more["p_tp"] > base["p_tp"] and abs(sum(more) - 1) < 1e-9
 
 
+def test_competing_risk_query_against_a_recursion(spark):
+    def barrier(up, down, s):
+        if s == 0:
+            return 0.0, 0.0, 1.0
+        width = up + down
+        decay = math.pi**2 / 2 * s * s / width**2
+        parts = [(n, math.sin(n * math.pi * down / width) * math.exp(-decay * n * n) / n) for n in range(1, max(8, math.ceil(math.sqrt(31 / decay))) + 1)]
+        tp = down / width - 2 / math.pi * sum(x if n % 2 else -x for n, x in parts)
+        sl = up / width - 2 / math.pi * sum(x for _, x in parts)
+        tp, sl = (min(1.0, max(0.0, x)) for x in (tp, sl))
+        return tp, sl, min(1.0, max(0.0, 1 - tp - sl))
+
+    def recursion(side, sigma):
+        up, down = (math.log(1.5), -math.log(0.9)) if side == "long" else (-math.log(0.9), math.log(1.5))
+        grid, tp, sl, alive = [barrier(up, down, sigma * math.sqrt(i / 24)) for i in range(25)], 0.0, 0.0, 1.0
+        for before, after in zip(grid[:-1], grid[1:], strict=True):
+            h = [(after[k] - before[k]) / before[2] if before[2] > 1e-10 else 0.0 for k in (0, 1)]
+            w = [max(h[0], 0.0) * math.exp(0.2), max(h[1], 0.0) * math.exp(-0.1), max(1 - sum(h), 0.0)]
+            tp, sl, alive = tp + alive * w[0] / sum(w), sl + alive * w[1] / sum(w), alive * w[2] / sum(w)
+        return tp, sl, alive
+
+    sf = "/root/testdata/sf0.001"
+    plans = {r["plan_id"]: r for r in catalog.first_passage(spark, sf).select("plan_id", "side", "sigma").collect()}
+    got = {r["plan_id"]: (r["p_tp"], r["p_sl"], r["p_expiry"]) for r in catalog.competing_risk_probabilities(spark, sf).collect()}
+    assert len(plans) > 24 and got.keys() == plans.keys()
+    for k, r in plans.items():
+        assert got[k] == pytest.approx(recursion(r["side"], r["sigma"]), abs=2e-6)
+
+
 @pytest.mark.parametrize(("side", "levels", "label", "mfe", "mae"), [("long", [(105, 98), (111, 97), (112, 99)], "take_profit", 12.0, -3.0), ("short", [(103, 96), (106, 89), (105, 97)], "ambiguous", 11.0, -6.0)])
 def test_first_touch(spark, side, levels, label, mfe, mae):
     rows = [("s", i * MINUTE, float(h), float(lo), 100.0, (i + 1) * MINUTE - 1) for i, (h, lo) in enumerate(levels)]
