@@ -46,6 +46,16 @@ def text_hash(text: Column | str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
+def row_but_text(docs: DataFrame) -> Column:
+    """All columns of docs but text as one struct, row, so that no name of theirs meets an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]).alias("row")
+
+
+def row_columns(columns: list[str]) -> list[Column]:
+    """The columns of that name again, from row and text."""
+    return [(F.col("text") if c.lower() == "text" else F.col("row").getField(c)).alias(c) for c in columns]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each slice holds about most_bytes of one text column; a longer row stands alone."""
     for batch in batches:
