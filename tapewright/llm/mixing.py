@@ -2,13 +2,16 @@
 
 Sources in code-point order (null last) have the weights WEIGHTS, repeating. They share all words by weight, up to
 CAP times a source's own words; what lies above is shared by weight again. Each source's documents form a stream of words
-that is cut into blocks of BLOCK words. Output shards of SHARD slots get a source count each: the whole part of the
-expectation, and a multinomial draw of the remaining slots by the fractional parts. A source's k-th slot is
-mapped to a block by a pseudorandom permutation of its block numbers (swap-or-not rounds, another permutation for each pass over the source),
-and blocks are joined by number.
+that is cut into blocks of BLOCK words. Output shards of SHARD slots get their counts of the sources by a multinomial draw:
+every slot draws a source by its share of all blocks asked for. Draws leave a source some slots above or below what
+its target asks for, so the totals are settled at the end: slots above it are left empty, and missing ones follow in a closing shard.
+A source's k-th slot is mapped to a block by a pseudorandom permutation of its block numbers (swap-or-not rounds, another
+permutation for each pass over the source), and blocks are joined by number.
 
-Everything follows from hashes of the data and the seed, so reruns agree. Prefix sums run in two levels over hash buckets of
-documents, so a source with most of the rows is spread over tasks; the per-source tables have a row for each source and shard only.
+Everything follows from hashes of the data and the seed, so reruns agree. Prefix sums run in three levels over hash buckets of
+documents and groups of buckets, so a source with most of the rows is spread over tasks; rows that repeat are placed as one and
+told apart afterwards. The per-source tables have a row for each source, or for each source and shard; a task holds
+one shard's draws, one source's shards, or the list of sources.
 
 Null text has no words: size 0, taken 0. Null sources form one source. Repeated rows and null ids are documents of their own.
 A source without words has target 0. An empty table gives an empty result.
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapewright.llm.common import WORD_PATTERN, stored, text_hash
+from tapewright.llm.common import WORD_PATTERN, row_but_text, row_columns, stored, text_hash
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -30,8 +33,8 @@ BLOCK = 32
 SHARD = 65_536
 ROUNDS = 12
 SEED = 20
-#: Documents in a bucket of the prefix sums, on average.
-BUCKET_DOCS = 4096
+#: Documents in a bucket of the prefix sums, on average, and buckets in a group.
+BUCKET_DOCS, GROUP_BUCKETS = 512, 512
 
 
 def word_count(text: Column) -> Column:
@@ -60,47 +63,71 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 
 def placed(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The documents with their place in their source's stream, and the sources with their targets."""
-    sized = stored(docs.select("doc_id", "source", text_hash().alias("th"), word_count(F.col("text")).alias("size")), "mix-sized")
-    sources = stored(source_targets(sized), "mix-sources")
+    rows = docs.select("doc_id", "source", text_hash().alias("th"), word_count(F.col("text")).alias("size"))
+    sized = stored(rows.groupBy("doc_id", "source", "th", "size").agg(F.count("*").alias("copies")), "mix-sized")
+    sources = stored(source_targets(sized.select("source", (F.col("size") * F.col("copies")).alias("size"))), "mix-sources")
     buckets = max(1, math.ceil(sized.count() / BUCKET_DOCS))
     numbered = sized.join(sources.select(F.col("source").alias("_s"), "source_no"), sized.source.eqNullSafe(F.col("_s"))).drop("_s")
-    numbered = numbered.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "th", F.lit(SEED)), F.lit(buckets)))
-    sums = numbered.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
-    ahead = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source_no", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
-    within = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "th").rowsBetween(Window.unboundedPreceding, -1)
-    out = numbered.withColumn("run", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["source_no", "bucket"])
-    return stored(out.select("doc_id", "th", "size", "source_no", (F.col("base") + F.col("run")).alias("at")), "mix-placed"), sources
+    numbered = numbered.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "th", F.lit(SEED)), F.lit(buckets))).withColumn("group", F.expr(f"bucket div {GROUP_BUCKETS}"))
+    words = F.col("size") * F.col("copies")
 
+    def ahead(key: list[str], order: list[str], what: Column) -> Column:
+        return F.coalesce(F.sum(what).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, cap: int = CAP) -> DataFrame:
-    """shard, source_no, slot (the source's running number), turn (pass over the source) and block of every output slot."""
-    everything = Window.partitionBy(F.lit(1))
+    sums = stored(numbered.groupBy("source_no", "group", "bucket").agg(F.sum(words).alias("words")), "mix-sums")
+    groups = sums.groupBy("source_no", "group").agg(F.sum("words").alias("words")).select("source_no", "group", ahead(["source_no"], ["group"], F.col("words")).alias("base"))
+    starts = sums.withColumn("run", ahead(["source_no", "group"], ["bucket"], F.col("words"))).join(groups, ["source_no", "group"])
+    starts = stored(starts.select("source_no", "bucket", (F.col("base") + F.col("run")).alias("base")), "mix-starts")
+    out = numbered.withColumn("run", ahead(["source_no", "bucket"], ["doc_id", "th"], words)).join(starts, ["source_no", "bucket"])
+    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
+    placed_rows = out.select("doc_id", "th", "size", "source_no", (F.col("base") + F.col("run")).alias("at"), copy)
+    return stored(placed_rows.select("doc_id", "th", "size", "source_no", (F.col("at") + F.col("copy") * F.col("size")).alias("at")), "mix-placed"), sources
+
+
+def quotas(sources: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int]:
+    """source_no, blocks, quota, low of each source with words, and the sum of all quotas.
+
+    quota is the number of blocks that a source's target asks for, at most CAP times the blocks it has; low is the
+    sum of the quotas of the sources before.
+    """
     live = sources.where("source_size > 0").select("source_no", F.ceil(F.col("source_size") / block).alias("blocks"), (F.col("target") / F.col("source_size")).alias("rate"))
-    live = live.withColumn("quota", F.col("rate") * F.col("blocks"))
-    live = live.withColumn("all", F.greatest(F.lit(1), F.round(F.sum("quota").over(everything)).cast("long"))).withColumn("p", F.col("quota") / F.sum("quota").over(everything))
-    last = F.floor((F.col("all") - 1) / shard)
-    cells = live.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("room", F.least(F.lit(shard), F.col("all") - F.col("shard") * shard))
-    expected = F.col("room") * F.col("p")
-    cells = cells.withColumn("base", F.floor(expected)).withColumn("part", expected - F.floor(expected))
-    # multinomial draws of the slots left over: where a draw falls among the running sums of the fractions
-    by_source = Window.partitionBy("shard").orderBy("source_no")
-    cells = stored(cells.withColumn("low", F.coalesce(F.sum("part").over(by_source.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))), "mix-cells")
-    left = cells.groupBy("shard").agg((F.first("room") - F.sum("base")).alias("left"), F.sum("part").alias("width")).where("left > 0")
-    draw = left.withColumn("d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("left"))))
-    unit = F.pmod(F.xxhash64(F.lit(SEED), "shard", "d"), F.lit(1 << 40)) / float(1 << 40)
-    marks = draw.select("shard", F.lit(None).cast("int").alias("source_no"), (unit * F.col("width")).alias("x"), F.lit(1).alias("kind"))
-    marks = marks.unionByName(cells.where("part > 0").select("shard", "source_no", F.col("low").alias("x"), F.lit(0).alias("kind")))
-    walk = Window.partitionBy("shard").orderBy("x", "kind", "source_no")
-    fell = marks.withColumn("hit", F.last("source_no", ignorenulls=True).over(walk.rowsBetween(Window.unboundedPreceding, 0))).where("kind = 1")
-    drawn = fell.groupBy("shard", F.col("hit").alias("source_no")).agg(F.count("*").alias("more"))
-    counts = cells.join(drawn, ["shard", "source_no"], "left").select("shard", "source_no", "blocks", (F.col("base") + F.coalesce("more", F.lit(0))).alias("n"))
+    live = live.select("source_no", "blocks", F.round(F.col("rate") * F.col("blocks")).cast("long").alias("quota"))
+    before = Window.partitionBy(F.lit(1)).orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
+    live = stored(live.withColumn("low", F.coalesce(F.sum("quota").over(before), F.lit(0))), "mix-quotas")
+    return live, live.agg(F.sum("quota")).first()[0] or 0
+
+
+def shard_counts(live: DataFrame, total: int, shard: int = SHARD) -> DataFrame:
+    """shard, source_no, n: a multinomial draw of the slots of each shard, by the sources' shares of all blocks asked for.
+
+    Every slot draws a number below the sum of all quotas and falls to the source whose range of numbers holds it.
+    """
+    spark = live.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(max(1, total)))
+    draws = spark.range(0, total, 1, tasks).select(F.expr(f"id div {shard}").alias("shard"), number.alias("x"), F.lit(None).cast("int").alias("source_no"))
+    bounds = live.where("quota > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, total - 1) // shard))).alias("shard"), F.col("low").alias("x"), "source_no")
+    walk = Window.partitionBy("shard").orderBy("x", F.col("source_no").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hits = draws.unionByName(bounds).withColumn("hit", F.last("source_no", ignorenulls=True).over(walk)).where("source_no is null")
+    return hits.groupBy("shard", F.col("hit").alias("source_no")).agg(F.count("*").alias("n"))
+
+
+def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """shard, source_no, slot (the source's running number), turn (pass over the source) and block of every output slot."""
+    live, total = quotas(sources, block)
+    counts = stored(shard_counts(live, total, shard), "mix-counts")
     by_shard = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("first", F.coalesce(F.sum("n").over(by_shard), F.lit(0))).where("n > 0")
-    # a source's shards are spread over tasks before they become slots; a stated number of partitions is not coalesced
+    counts = counts.withColumn("first", F.coalesce(F.sum("n").over(by_shard), F.lit(0)))
+    drawn = counts.join(live, "source_no").select("shard", "source_no", "blocks", "first", F.least(F.col("n"), F.col("quota") - F.col("first")).alias("n"))
+    had = counts.groupBy("source_no").agg(F.sum("n").alias("had"))
+    # what the draws fall short of a source's quota makes up a closing shard
+    short = live.join(had, "source_no", "left").withColumn("first", F.coalesce("had", F.lit(0)))
+    closing = short.select(F.lit(-(-total // shard)).cast("long").alias("shard"), "source_no", "blocks", "first", (F.col("quota") - F.col("first")).alias("n"))
+    parts = drawn.unionByName(closing).where("n > 0")
+    # stretches of a shard's length at most, spread over tasks before they become slots; a stated number of partitions is not coalesced
+    parts = parts.withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {shard}")))).withColumn("at", F.col("first") + F.col("cut") * shard)
     tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = counts.repartition(tasks, "source_no", "shard").withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
-    dealt = dealt.where(F.col("slot") < cap * F.col("blocks"))
+    dealt = parts.repartition(tasks, "source_no", "shard", "cut").withColumn("slot", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + shard, F.col("first") + F.col("n")) - 1)))
     dealt = dealt.select("shard", "source_no", "slot", "blocks", F.expr("slot div blocks").alias("turn"), (F.col("slot") % F.col("blocks")).alias("block"))
     return permuted(dealt).drop("blocks")
 
@@ -146,25 +173,26 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mixed corpus with docs' columns: a row for each document and pass that took words of it, with the words taken.
 
-    A text that is taken whole stays as it is; of others the taken words are joined by spaces.
+    A text that is taken whole stays as it is; of others the taken words are joined by spaces. Of rows with one doc_id, source and
+    text, one gives the other columns.
     """
-    columns = docs.columns
     places, sources = placed(docs)
     # written out: the planner would take the slots' size from the few rows that they come from, and broadcast them
     chosen = stored(slots(sources).select("source_no", "block", "turn"), "mix-slots")
-    runs = pieces(places).join(chosen, ["source_no", "block"]).groupBy("source_no", "at", "turn").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("_runs"), F.sum(F.col("high") - F.col("low")).alias("_n"))
-    named = places.where("size > 0").join(runs, ["source_no", "at"]).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("size").alias("_size"), "_runs", "_n")
-    texts = docs.withColumn("_h", text_hash())
-    again = stored(places.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")), "mix-again")
+    runs = pieces(places).join(chosen, ["source_no", "block"]).groupBy("source_no", "at", "turn").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("runs"), F.sum(F.col("high") - F.col("low")).alias("n"))
+    named = places.where("size > 0").join(runs, ["source_no", "at"]).select("doc_id", "th", "source_no", "size", "runs", "n")
+    texts = docs.select(row_but_text(docs), "text", F.col("doc_id").alias("id"), text_hash().alias("hash"), F.col("source").alias("named"))
+    texts = texts.join(sources.select("source", F.col("source_no").alias("no")), texts.named.eqNullSafe(F.col("source"))).select("row", "text", "id", "hash", "no")
+    again = stored(places.groupBy("doc_id", "th", "source_no").count().where("count > 1").select("doc_id", "th", "source_no"), "mix-again")
     if again.limit(1).count():  # repeated rows are places of their own, so one text serves them
-        same = texts.doc_id.eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t"))
-        texts = texts.join(again, same, "left_anti").unionByName(texts.join(again, same, "left_semi").dropDuplicates(["doc_id", "_h"]))
-    out = texts.join(named, texts.doc_id.eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
+        same = texts.id.eqNullSafe(again.doc_id) & (texts.hash == again.th) & (texts.no == again.source_no)
+        texts = texts.join(again, same, "left_anti").unionByName(texts.join(again, same, "left_semi").dropDuplicates(["id", "hash", "no"]))
+    out = texts.join(named, texts.id.eqNullSafe(named.doc_id) & (texts.hash == named.th) & (texts.no == named.source_no))
     words = F.regexp_extract_all("text", F.lit(f"({WORD_PATTERN})"), F.lit(1))
 
     def taken(w: Column) -> Column:
-        return F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(w, (r["low"] + 1).cast("int"), (r["high"] - r["low"]).cast("int")))), " ")
+        return F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(w, (r["low"] + 1).cast("int"), (r["high"] - r["low"]).cast("int")))), " ")
 
     # the words are an outer function's variable: as a column they would be folded into the inner one and split anew for each run
     cut = F.element_at(F.transform(F.array(words), taken), 1)
-    return out.withColumn("text", F.when(F.col("_n") < F.col("_size"), cut).otherwise(F.col("text"))).select(*columns)
+    return out.select("row", F.when(F.col("n") < F.col("size"), cut).otherwise(F.col("text")).alias("text")).select(*row_columns(docs.columns))
