@@ -3,7 +3,8 @@
 One pass of an Aho-Corasick automaton over the words of a text (ASCII lower case, joined by single spaces) finds the
 base phrases and the further notice phrases. Identifier tags are found by the same automaton over the lower-cased
 text; the expression after a tag is parsed with AND / OR / WITH precedences (WITH binds closest, then AND, then OR) and
-gives the labels it names.
+gives the labels it names. The parsed expressions are then evaluated: permissive says whether the labels of PERMISSIVE meet all of a
+text's expressions (null: it has none).
 
 Null text counts as empty: no words, no labels, score 0. Repeated rows keep one result each; an empty table gives an
 empty result; columns other than doc_id and text are ignored.
@@ -15,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -45,24 +47,30 @@ NOTICE_PHRASES = {
 TAGS = ("spdx-license-identifier:", "license-expression:")
 #: Identifier prefixes and the label of their family, longest first.
 FAMILIES = (
-    ("agpl", "agpl"),
+    ("unlicense", "unlicense"),
     ("apache", "apache"),
+    ("cc-by", "cc-by"),
+    ("agpl", "agpl"),
+    ("lgpl", "lgpl"),
     ("bsd", "bsd"),
     ("bsl", "bsl"),
-    ("cc-by", "cc-by"),
     ("cc0", "cc0"),
     ("epl", "epl"),
     ("gpl", "gpl"),
     ("isc", "isc"),
-    ("lgpl", "lgpl"),
     ("mit", "mit"),
     ("mpl", "mpl"),
-    ("unlicense", "unlicense"),
 )
+#: Labels whose texts may be used; an expression is permissive if they meet it.
+PERMISSIVE = frozenset(("apache", "bsd", "bsl", "cc-by", "cc0", "isc", "mit", "unlicense"))
+#: Exceptions that allow use with works under other terms.
+LINKING = frozenset(("autoconf-exception-2.0", "autoconf-exception-3.0", "bison-exception-2.2", "classpath-exception-2.0", "font-exception-2.0", "gcc-exception-3.1", "llvm-exception"))
 
 #: Every byte that no word holds becomes a space, A-Z become a-z; bytes of 128 and over stay.
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
+#: What may follow a prefix: nothing, a version or a further part.
+_REST = re.compile(r"v?\d|[-.+]|$")
 _TOKEN = re.compile(rb"[ \t]*([()]|[a-z0-9][a-z0-9.+-]*)")
 
 
@@ -112,18 +120,19 @@ def parse_expression(tokens: list[str]) -> tuple | None:
     return out[0] if len(out) == 1 and not operand else None
 
 
-def satisfied(tree: tuple | str, allowed: set[str]) -> bool:
-    """Whether an expression can be met with the allowed labels; an exception (WITH) only adds permissions."""
+def satisfied(tree: tuple | str, allowed: frozenset[str] | set[str] = PERMISSIVE) -> bool:
+    """Whether an expression can be met with the allowed labels: OR by either side, AND by both, WITH by its licence or a linking exception."""
     if isinstance(tree, str):
         return family(tree) in allowed
     op, left, right = tree
     if op == "with":
-        return satisfied(left, allowed)
+        return satisfied(left, allowed) or right in LINKING
     return (any if op == "or" else all)(satisfied(x, allowed) for x in (left, right))
 
 
 def family(identifier: str) -> str:
-    return next((label for prefix, label in FAMILIES if identifier.startswith(prefix)), identifier.rstrip("+"))
+    """The label of an identifier: its family's, or itself where it has none."""
+    return next((label for prefix, label in FAMILIES if identifier.startswith(prefix) and _REST.match(identifier, len(prefix))), identifier.rstrip("+"))
 
 
 def identifiers(tree: tuple | str) -> list[str]:
@@ -180,22 +189,25 @@ class Scanner:
     def scan(self, text: bytes) -> tuple:
         words = text.translate(_FOLD).split()
         joined = b" " + b" ".join(words) + b" "
+        starts: np.ndarray | None = None  # of the words, once there is a hit
         base: list[tuple[int, str]] = []
         labels: set[str] = set()
         evidence = 0
         for end, (length, label, is_base) in self.phrases.iter(joined.decode("latin-1")):
-            start = end - length  # of the phrase's first letter
             if is_base:
-                base.append((joined.count(b" ", 0, start) - 1, label))
+                if starts is None:
+                    starts = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32) + 1
+                base.append((int(np.searchsorted(starts, end - length)), label))  # the phrase's first letter
             else:
                 evidence += 1
             labels.add(label)
-        expressions = []
+        expressions, met = [], []
         lower = text.lower()
         for end, _ in self.tags.iter(lower.decode("latin-1")):
             said, tree = expression_after(lower, end + 1)
             if tree is not None:
                 expressions.append(said)
+                met.append(satisfied(tree))
                 labels.update(family(x) for x in identifiers(tree))
                 evidence += 2
         base_labels = {x for _, x in base}
@@ -209,18 +221,19 @@ class Scanner:
             ",".join(sorted(labels)),
             weight / (weight + 1.0),
             expressions,
+            all(met) if met else None,
         )
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """Licence evidence of each row of docs: counts and places of base phrases, labels, expressions and a score."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>"
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string())]
+    schema = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, permissive boolean"
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
-        names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions"]
+        names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions", "permissive"]
         for b in slices(batches, "text", 16_000_000):
             rows = [scanner.scan(x) for x in utf8_rows(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names)

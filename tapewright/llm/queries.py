@@ -50,7 +50,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license.scan_licenses(table(spark, sf_dir, "documents")).drop("expressions")
+    """Licence evidence of every document, with the number of its expressions and whether permissive terms meet them."""
+    return license.scan_licenses(table(spark, sf_dir, "documents")).withColumn("expressions", F.size("expressions"))
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
