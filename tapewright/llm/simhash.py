@@ -31,8 +31,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tapewright.llm.common import slices, splitmix, stored, utf8_rows
+from tapewright.llm.common import WORD_PATTERN, row_but_text, row_columns, slices, splitmix, stored, utf8_rows
 from tapewright.llm.substring import rolling, word_hashes
 
 TAU = 2
@@ -46,6 +47,8 @@ BLOCK = 1024
 SKETCH, BANDS, BAND = 128, 16, 4
 #: Bits that fingerprints of texts with a similarity of 0.8 differ in, four standard deviations above the mean.
 WIDE_TAU = 22
+#: Rounds after which components give up; they grow with the logarithm of the longest chain.
+ROUNDS = 60
 #: Shingles of a loose class compared in one task (8 bytes each).
 CLASS_SHINGLES = 8_000_000
 
@@ -106,12 +109,10 @@ def bucket_links(fps: np.ndarray, tau: int = TAU) -> list[tuple[int, int]]:
         left = fps[a : a + BLOCK]
         for b in range(a, n, BLOCK):
             x = left[:, None] ^ fps[None, b : b + BLOCK]
-            i, j = np.nonzero(np.bitwise_count(x) <= 2 * tau)  # cheap first cut; the ring test prunes, then the exact one
+            i, j = np.nonzero(ring_close(x, tau))
             keep = i + a < j + b
             i, j = i[keep], j[keep]
             x = x[i, j]
-            ring = ring_close(x)
-            i, j, x = i[ring], j[ring], x[ring]
             close = np.bitwise_count(x) <= tau
             for p, q in zip(i[close] + a, j[close] + b, strict=True):
                 p, q = root(int(p)), root(int(q))
@@ -180,26 +181,27 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root of every node of an edge list a, b: star contraction until no edge changes.
 
     Alternates large-star and small-star steps; each step is two shuffles, its result is written to the shared
-    folder, and the number of steps grows with the logarithm of the longest chain.
+    folder, and the number of steps grows with the logarithm of the longest chain. The least neighbours are written out
+    before they meet the edges, so that the join has a plain exchange on either side and a hub's edges can be split.
     """
     edges = stored(edges.where("a <> b"), "components")
     last = None
-    for _ in range(60):
+    for _ in range(ROUNDS):
         if last is None and not edges.limit(1).count():
-            break
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components-low")
         # large star: link every larger neighbour to the least of the neighbourhood
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = stored(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "components-large")
         # small star: link smaller neighbours and the node itself to the least of them
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        down = stored(large.groupBy("a").agg(F.min("b").alias("m")), "components-down")
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         edges = stored(small, "components")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
-            break
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         last = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError(f"components are not done after {ROUNDS} rounds")
 
 
 def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -364,23 +366,25 @@ def shingle_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     return asked.mapInArrow(run, "content long, class long, n long, shingles binary").dropDuplicates(["content"])
 
 
-def near_duplicate_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, content, keeper of each distinct (doc_id, content) of docs in a class of two or more; keeper: its smallest doc_id.
+def classed_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """The doc_id and content of every row of docs that has both, and content, first (smallest doc_id), keeper, keeper_content, members
+    of every text: its class's text with the smallest doc_id, and the class's number of (doc_id, content).
 
-    Exact copies are collapsed first; only texts that share a band with another text are compared. Texts that may be similar
-    by their sketches form loose classes, so that every link lies in one of these. Then each loose class is searched again by
-    the exact similarity of its shingle sets. A band or loose class too large for one task is
+    Exact copies are collapsed first, and everything after has one row for each text; only texts that share a band with another text are
+    compared. Texts that may be similar by their sketches form loose classes, so that every link lies in one of these. Then each
+    loose class is searched again by the exact similarity of its shingle sets. A band or loose class too large for one task is
     cut into parts, and every two parts meet in a task of their own.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     known = stored(sketches(docs, size), "near-sketches")
     ids = known.select("doc_id", "content").distinct()
-    texts = ids.groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    texts = stored(texts, "near-texts")
-    keys = known.join(texts.select("content", F.col("first").alias("doc_id")), ["content", "doc_id"], "left_semi").select("content", F.explode("bands").alias("band")).distinct()
+    texts = stored(ids.groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "near-texts")
+    # one row of each text; both columns are hashed, so copies of one text are dealt out
+    single = stored(known.join(texts.select("content", F.col("first").alias("doc_id")), ["content", "doc_id"], "left_semi").dropDuplicates(["content", "doc_id"]), "near-single")
+    keys = single.select("content", F.explode("bands").alias("band")).distinct()
     shared = stored(keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
     met = stored(in_pairs(keys.join(shared, "band").select("content", "band", _parts(F.col("n"), BUCKET_ROWS).alias("parts")), "band"), "near-met")
-    marks = stored(known.join(met.select("content").distinct(), "content", "left_semi").dropDuplicates(["content"]).select("content", "fp", "sig"), "near-marks")
+    marks = stored(single.join(met.select("content").distinct(), "content", "left_semi").select("content", "fp", "sig"), "near-marks")
     loose = stored(components(links_by(met.join(marks, "content").select("content", "band", "part", "fp", "sig"), "band", similarity)), "near-loose")
     placed = texts.join(loose, texts.content == loose.node, "left").select("content", "first", F.coalesce("root", "content").alias("class"))
     members = placed.join(loose.select(F.col("root").alias("class")).distinct(), "class", "left_semi")
@@ -391,20 +395,46 @@ def near_duplicate_classes(docs: DataFrame, size: int = 5, similarity: float = 0
     edges = links_by(dealt.join(sets.select("content", "shingles"), "content").join(marks, "content").select("content", "class", "part", "fp", "sig", "shingles"), "class", similarity)
     roots = components(edges)
     classed = texts.join(roots, texts.content == roots.node, "left").select("content", "first", "n", F.coalesce("root", "content").alias("root"))
-    least = classed.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("n").alias("members")).where("members > 1")
-    return ids.join(stored(classed.join(least, "root").select("content", "keeper"), "near-classes"), "content").select("doc_id", "content", "keeper")
+    least = classed.groupBy("root").agg(F.min(F.struct("first", "content")).alias("k"), F.sum("n").alias("members"))
+    named = classed.join(least, "root").select("content", "first", F.col("k.first").alias("keeper"), F.col("k.content").alias("keeper_content"), "members")
+    return ids, stored(named, "near-classes")
+
+
+def near_duplicate_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, content, keeper of each distinct (doc_id, content) of docs in a class of two or more; keeper: its smallest doc_id."""
+    ids, texts = classed_texts(docs, size, similarity)
+    # read from files on both sides, so that a text with very many copies can be split
+    return stored(ids, "near-ids").join(texts.where("members > 1").select("content", "keeper"), "content").select("doc_id", "content", "keeper")
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document of each near-duplicate class, the one with the smallest doc_id; of rows that share it one stays.
+    """docs with one document of each near-duplicate class, the one with the smallest doc_id (then the smallest hash of its words).
 
-    Rows with a null doc_id and texts without a word are no copies of anything and stay.
+    Texts are told apart by doc_id and content (the lower-cased words), so different texts under one doc_id are judged one by one, and of rows
+    that share both one stays. Rows with a null doc_id and texts without a word are no copies of anything and stay.
+    An empty table gives an empty result; other columns are passed on.
     """
-    columns = docs.columns
-    classes = near_duplicate_classes(docs, size, similarity)
-    losers = stored(classes.where("doc_id <> keeper").select(F.col("doc_id").alias("_id")).distinct(), "near-losers")
-    left = docs.join(losers, docs.doc_id == F.col("_id"), "left_anti")
-    again = stored(left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "near-again")
-    once = left.join(again, left.doc_id == F.col("_id"), "left_anti")
-    many = left.join(again, left.doc_id == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(many).select(*columns)
+    _, texts = classed_texts(docs, size, similarity)
+    keep = stored(texts.where("content = keeper_content").select(F.col("first").alias("doc_id"), "content"), "near-keep")
+    judged = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False))
+    rows = docs.select(row_but_text(docs), F.col("doc_id").alias("id"), "text", judged.alias("judged"))
+    again = stored(rows.where("judged").groupBy("id").count().where("count > 1").select("id"), "near-again")
+    kept = rows.where("judged").join(keep.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+    if again.limit(1).count():
+        # only ids with several rows need their contents hashed
+        many = with_content(rows.where("judged").join(again, "id", "left_semi").select("row", "text", "id"))
+        many = many.join(keep.withColumnRenamed("doc_id", "id"), ["id", "content"], "left_semi").dropDuplicates(["id", "content"])
+        kept = kept.join(again, "id", "left_anti").select("row", "text").unionByName(many.select("row", "text"))
+    return rows.where("not judged").select("row", "text").unionByName(kept.select("row", "text")).select(*row_columns(docs.columns))
+
+
+def with_content(rows: DataFrame) -> DataFrame:
+    """rows (row, text, id; with a word each) with content, the hash of the lower-cased words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for b in slices(batches, "text"):
+                hashes = np.array([content_hash(word_hashes(x.lower())) for x in utf8_rows(b.column("text"))], np.uint64)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hashes.view(np.int64))], [*b.schema.names, "content"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("content", LongType())]))
