@@ -1,11 +1,13 @@
 """Language identification by hierarchical discrimination.
 
-A linear model first predicts the language family; one-versus-one linear support vector machines then separate the
-languages within it. Features are hashed character n-grams (1 to 4 letters, words padded by a space) of the whole lower-cased
+Linear models, one for each language family against the rest, first predict the family; one-versus-one linear support vector
+machines then separate the languages within it. Features are hashed character n-grams (1 to 4 letters, words padded by a space) of the whole lower-cased
 text; a model's value is the mean of its weights over a text's n-grams, so texts of any length are scored in one pass.
 
-Training takes a bounded sample: TRAIN_ROWS rows in all, dealt evenly to LANGUAGES languages at most (the most frequent), of each those
-with the smallest hash of doc_id; so its size never follows the corpus. Everything else covers all rows.
+Training takes a bounded sample: TRAIN_ROWS rows in all, dealt evenly to all languages (one row each where there are more), of each those
+with the smallest hash of doc_id; so its size never follows the corpus. Their n-grams are counted in tasks, so the driver gets
+counts of at most 3 * BUCKETS buckets a row, however long the texts. Everything else covers all rows. Listed families bound the number of language
+pairs, and an unlisted language is one more family, so a model has a column for each family and some 140 for pairs.
 
 A text that is null or has no letters is 'und' with score 0. Rows with null or odd lang are only left out of training.
 Repeated rows and null ids are predicted like any other. Where nothing can be learned (an empty table), every text is
@@ -14,6 +16,7 @@ Repeated rows and null ids are predicted like any other. Where nothing can be le
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tapewright.llm.common import slices
@@ -32,7 +36,6 @@ FAMILIES = {
     "slavic": ["be", "bg", "bs", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"],
 }
 TRAIN_ROWS = 1000
-LANGUAGES = 64
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3, 4)
 EPOCHS = 12
@@ -86,10 +89,16 @@ def _letters(codes: np.ndarray) -> np.ndarray:
 _TABLE = np.array([chr(i).isalpha() for i in range(0x10000)])
 
 
-def _counts(g: np.ndarray) -> np.ndarray:
+def _share(g: np.ndarray) -> np.ndarray:
     return np.bincount(g, minlength=BUCKETS).astype(np.float32) / len(g)
 
 
+def _parts(text: str) -> list[bytes]:
+    """Shares of a training text's n-grams, as float32 bytes: of the whole, and of two parts of a long one."""
+    parts = (text, text[:PART], text[len(text) // 2 :][:PART]) if len(text) > 2 * PART else (text,)
+    return [zlib.compress(_share(g).tobytes(), 1) for p in parts if (g := grams(p)) is not None]
+
+
 def fit_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, rounds: int = EPOCHS, reg: float = 1e-4) -> np.ndarray:
     """A linear support vector machine on the given rows of x (hinge loss, averaged subgradient steps in a fixed order); y is -1 or 1."""
     order = np.random.default_rng(7)
@@ -110,21 +119,28 @@ def fit_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, rounds: int = EPOCHS
 
 
 class Model:
-    """Weights by n-gram bucket, one column for each classifier: family pairs first, then language pairs."""
+    """Weights by n-gram bucket, one column for each classifier: families against the rest first, then language pairs."""
 
-    def __init__(self, langs: list[str], pairs: list[tuple[str, str]], weights: np.ndarray, bias: np.ndarray) -> None:
-        self.langs, self.pairs, self.weights, self.bias = langs, pairs, weights, bias
+    def __init__(self, langs: list[str], columns: list[tuple[str, str]], weights: np.ndarray, bias: np.ndarray) -> None:
+        self.langs, self.weights, self.bias = langs, weights, bias
         self.families = sorted({family_of(x) for x in langs})
         self.members = {f: [x for x in langs if family_of(x) == f] for f in self.families}
-        self.at = {p: i for i, p in enumerate(pairs)}
+        self.at = {c: i for i, c in enumerate(columns)}
 
-    def vote(self, names: list[str], values: np.ndarray, kind: str) -> tuple[str, float]:
+    def family(self, values: np.ndarray) -> tuple[str, float]:
+        """The family with the largest margin, and how far it leads, as 0 to 1."""
+        if len(self.families) == 1:
+            return self.families[0], 1.0
+        margins = sorted(((float(values[self.at[f, ""]]), f) for f in self.families), reverse=True)
+        return margins[0][1], float(1 / (1 + np.exp(-np.clip(2 * (margins[0][0] - margins[1][0]), -40, 40))))
+
+    def language(self, names: list[str], values: np.ndarray) -> tuple[str, float]:
         """The winner of one-versus-one votes (ties: the larger sum of margins) and its weakest margin as 0 to 1."""
         if len(names) == 1:
             return names[0], 1.0
         votes, margins, least = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0), dict.fromkeys(names, 1.0)
         for a, b in combinations(names, 2):
-            v = float(values[self.at[f"{kind}:{a}", f"{kind}:{b}"]])
+            v = float(values[self.at[a, b]])
             votes[a if v >= 0 else b] += 1
             p = 1 / (1 + np.exp(-np.clip(4 * v, -40, 40)))
             for name, own, sign in ((a, p, v), (b, 1 - p, -v)):
@@ -133,63 +149,74 @@ class Model:
         best = max(names, key=lambda n: (votes[n], margins[n], n))
         return best, least[best]
 
+    def values(self, g: np.ndarray) -> np.ndarray:
+        """The mean weights of a text's n-grams; memory does not follow the text's length."""
+        if not self.at:
+            return np.zeros(0)
+        if len(g) < BUCKETS:
+            return self.weights[g].mean(axis=0, dtype=np.float64) + self.bias
+        return np.bincount(g, minlength=BUCKETS) @ self.weights / len(g) + self.bias
+
     def predict(self, text: str | None) -> tuple[str, float]:
         g = grams(text) if text and self.langs else None
         if g is None:
             return "und", 0.0
-        values = self.weights[g].sum(axis=0, dtype=np.float64) / len(g) + self.bias if len(self.pairs) else np.zeros(0)
-        fam, sure = self.vote(self.families, values, "family")
-        lang, own = self.vote(self.members[fam], values, "lang")
+        values = self.values(g)
+        fam, sure = self.family(values)
+        lang, own = self.language(self.members[fam], values)
         return lang, float(min(1.0, max(0.0, sure * own)))
 
 
-def fit(rows: list[tuple[str, str]]) -> Model:
-    """A model of (text, lang) rows."""
-    parts, names = [], []
-    for text, lang in rows:
-        for part in (text, text[:PART], text[len(text) // 2 :][:PART]) if len(text) > 2 * PART else (text,):
-            if (g := grams(part)) is not None:
-                parts.append(_counts(g))
-                names.append(lang)
+def fit(rows: list[tuple[bytes, str]]) -> Model:
+    """A model of (shares of n-grams, lang) rows."""
+    names = [lang for _, lang in rows]
     langs = sorted(set(names))
     if not langs:
         return Model([], [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    x = np.empty((len(parts), BUCKETS + 1), np.float32)
-    for i in range(len(parts)):
-        x[i, :-1], parts[i] = parts[i], None
+    x = np.empty((len(rows), BUCKETS + 1), np.float32)
+    for i, (share, _) in enumerate(rows):
+        x[i, :-1] = np.frombuffer(zlib.decompress(share), np.float32)
     met = np.count_nonzero(x[:, :-1], axis=0)
     idf = np.log((1 + len(x)) / (1 + met)).astype(np.float32) + 1
     x[:, :-1] *= idf
     x[:, -1] = np.sqrt(np.mean([r @ r for r in x[:, :-1]]))
     own, fams = np.array(names), np.array([family_of(n) for n in names])
-    pairs, columns = [], []
-    jobs = [("family", fams, sorted(set(fams)))] + [("lang", own, [n for n in langs if family_of(n) == f]) for f in sorted(set(fams))]
-    for kind, label, members in jobs:
-        for a, b in combinations(members, 2):
-            pick = np.flatnonzero((label == a) | (label == b))
-            pairs.append((f"{kind}:{a}", f"{kind}:{b}"))
-            columns.append(fit_svm(x, pick, np.where(label[pick] == a, 1.0, -1.0).astype(np.float32)))
+    families = sorted(set(fams))
+    columns, weights = [], []
+    for f in families if len(families) > 1 else ():
+        columns.append((f, ""))
+        weights.append(fit_svm(x, np.arange(len(x)), np.where(fams == f, 1.0, -1.0).astype(np.float32)))
+    for f in families:
+        for a, b in combinations([n for n in langs if family_of(n) == f], 2):
+            pick = np.flatnonzero((own == a) | (own == b))
+            columns.append((a, b))
+            weights.append(fit_svm(x, pick, np.where(own[pick] == a, 1.0, -1.0).astype(np.float32)))
     if not columns:
         return Model(langs, [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    w = np.stack(columns, axis=1)
-    return Model(langs, pairs, (w[:-1] * idf[:, None]).astype(np.float32), w[-1].astype(np.float64) * float(x[0, -1]))
+    w = np.stack(weights, axis=1)
+    return Model(langs, columns, (w[:-1] * idf[:, None]).astype(np.float32), w[-1].astype(np.float64) * float(x[0, -1]))
 
 
-def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, str]]:
-    """The bounded sample: ids are chosen without their texts, then only the chosen texts are read."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[bytes, str]]:
+    """The bounded sample, as shares of n-grams: ids are chosen without their texts, then only the chosen texts are read."""
+    usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     usable = usable.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    common = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not common:
-        return []
-    rows = max(1, rows // len(common))
+    rows = max(1, rows // max(1, usable.select("lang").distinct().count()))
     mixed = F.xxhash64(F.col("doc_id").cast("string"))
     w = Window.partitionBy("lang").orderBy(mixed, "doc_id")
-    chosen = usable.where(F.col("lang").isin(common)).select("lang", "doc_id").withColumn("n", F.row_number().over(w)).where(F.col("n") <= rows).select("doc_id").distinct()
-    # at most TRAIN_ROWS ids
-    picked = usable.where(F.col("lang").isin(common)).select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+    chosen = usable.select("lang", "doc_id").withColumn("n", F.row_number().over(w)).where(F.col("n") <= rows).select("doc_id").distinct()
+    # at most TRAIN_ROWS ids, or one for each language
+    picked = usable.join(F.broadcast(chosen), "doc_id", "left_semi")
     sample = picked.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.*")
-    return [(r["text"], r["lang"]) for r in sample.orderBy(mixed, "doc_id").collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            found = [(d, lang, i, p) for d, lang, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True) for i, p in enumerate(_parts(text))]
+            columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((b.column("doc_id").type, pa.string(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "part", "share"])
+
+    counted = sample.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, part int, share binary")
+    return [(bytes(r["share"]), r["lang"]) for r in counted.orderBy(mixed, "doc_id", "part").collect()]
 
 
 def predict_languages(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -205,8 +232,8 @@ def predict_languages(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score appended (columns of these names in docs are replaced)."""
     docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights for each pair of at most LANGUAGES languages
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights for each family and pair of languages in one
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -215,4 +242,4 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
             columns = [*b.columns, pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, schema)
