@@ -10,7 +10,7 @@ Vectors are dealt into shards by a hash of vec_id and queries into blocks; each
 QUERY_ROWS queries on average, so memory is bounded and no cell holds all of either side. Every cell is exact, so is the merge.
 
 Vectors that are null, or hold a null or non-finite component, take no part. Shorter vectors count as padded with 0.
-Exactly repeated rows count once; a query never meets rows of its own vec_id; rows with a null vec_id take no part. Of
+Repeated rows are candidates of their own; a query never meets rows of its own vec_id; rows with a null vec_id take no part. Of
 several query rows with one vec_id the one with the smallest vector is taken. Ties go to the smaller vec_id. An empty
 table gives an empty result.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SHARD_ROWS = 8192
-QUERY_ROWS = 2048
+QUERY_ROWS = 16_384
 
 
 def usable(vector: Column) -> Column:
@@ -49,16 +49,10 @@ class Shard:
         for i, v in enumerate(vectors):
             x[i, : len(v)] = v
         rows = np.lexsort([*x.T[::-1], ids]) if dims else np.argsort(ids)
-        ids, x = ids[rows], x[rows]
-        fresh = np.ones(len(ids), bool)
-        if len(ids) > 1:
-            fresh[1:] = (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(axis=1)
-        self.ids, x = ids[fresh], x[fresh]
-        most = int(np.abs(x).max(initial=0))
-        self.most = most
-        # doubles hold these sums exactly below 2 ** 53; beyond, Python's integers do
-        self.exact = most < 1 << 23
-        self.x = np.ascontiguousarray(x.T).astype(np.float64 if self.exact else object)
+        self.ids, x = ids[rows], x[rows]
+        self.most = max(map(abs, (int(x.max(initial=0)), int(x.min(initial=0)))))
+        # doubles hold sums exactly below 2 ** 53; beyond, Python's integers do
+        self.x = np.ascontiguousarray(x.T).astype(np.float64 if self.most < 1 << 53 else object)
         self.high = self.x.max(axis=1) if len(self.ids) and dims else np.zeros(dims)
         self.low = self.x.min(axis=1) if len(self.ids) and dims else np.zeros(dims)
 
@@ -69,7 +63,7 @@ class Shard:
         dims = self.x.shape[0]
         q = np.zeros(dims, object)
         q[: min(dims, len(query))] = [int(c) for c in query[:dims]]
-        exact = self.exact and max((abs(int(c)) for c in query), default=0) < 1 << 23
+        exact = dims * self.most * max((abs(int(c)) for c in query), default=0) < 1 << 53
         q = q.astype(np.float64) if exact else q
         x = self.x if exact else self.x.astype(object)
         bound = np.maximum(np.maximum(q * self.high, q * self.low), 0)
@@ -100,8 +94,7 @@ class Shard:
                 if met.all():
                     break
             rows = np.flatnonzero(met & others)
-        score = q[essential] @ x[essential] if split else np.zeros(len(self.ids), x.dtype)
-        score = score[rows]
+        score = q[essential] @ (x[essential] if len(rows) == len(self.ids) else x[np.ix_(essential, rows)]) if split else np.zeros(len(rows), x.dtype)
         for at in range(split, len(order), 4):
             if threshold is not None:
                 live = score + rest[at] >= threshold

@@ -9,8 +9,7 @@ WITH good AS (
 ), scored AS (
   SELECT q.vec_id AS query_id, d.vec_id,
          CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * d.v[i])) AS BIGINT) AS score
-  FROM good q JOIN good d ON d.vec_id <> q.vec_id
-  WHERE q.vec_id % 50 = 0
+  FROM (SELECT vec_id, min(v) AS v FROM good WHERE vec_id % 50 = 0 GROUP BY vec_id) q JOIN good d ON d.vec_id <> q.vec_id
 ), ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
