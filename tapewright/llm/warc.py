@@ -218,21 +218,34 @@ class IndexReader:
 
 
 def lookup(keys: DataFrame, uri: str, parts: list[tuple[str, str]]) -> DataFrame:
-    """The captures of every distinct key: key, page_id, payload_bytes, payload_digest, record_type, refers_to, payload."""
-    schema = "key string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    """The captures of every distinct key: key, page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Keys are resolved to places in their own order, so that each index block is read once; then the places are read in the order of the
+    archives, so that each file is opened by few tasks.
+    """
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = IndexReader(uri, parts)
+        for b in batches:
+            rows = [(key, *place) for key in b.column("key").to_pylist() for place in reader.find(key)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], ["key", "file", "offset", "length"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = IndexReader(uri, [])
         for b in batches:
             rows = []
-            for key in b.column("key").to_pylist():
-                for place in reader.find(key):
-                    r = parse_record(reader.record(*place))
-                    rows.append((key, r["page_id"], r["size"], r["digest"], r["kind"], r["refers_to"]))
+            for key, *place in zip(*(b.column(c).to_pylist() for c in ("key", "file", "offset", "length")), strict=True):
+                r = parse_record(reader.record(*place))
+                rows.append((key, r["page_id"], r["size"], r["digest"], r["kind"], r["refers_to"]))
             types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], ["key", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, schema)
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    places = stored(ordered.mapInArrow(resolve, "key string, file string, offset long, length long"), "warc-places")
+    # a stated number of partitions is not coalesced: the rows are small, the records behind them are not
+    by_file = places.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
+    return by_file.mapInArrow(read, "key string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_report(pages: DataFrame) -> DataFrame:
