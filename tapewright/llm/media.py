@@ -33,8 +33,8 @@ REACH = 32
 LEAST, MOST = 1024, 16_384
 #: A cut is made where this many bits of the hash are zero.
 CUT_BITS = 12
-#: Rows of shared-chunk lists up to which they are broadcast (about 100 bytes each).
-BROADCAST_ROWS = 100_000
+#: Bytes of shared-chunk lists, as counted, up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 #: References to one shared chunk that meet it in one copy.
 REFERENCES = 2000
 
@@ -146,7 +146,7 @@ def ingest(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     refs = stored(refs, "chunk-refs")
     lists = refs.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "seq", "own", "n_refs").distinct().groupBy("_id", "_th").agg(F.collect_list(F.struct("seq", "own", "n_refs")).alias("shared"))
     lists = stored(lists, "chunk-lists")
-    if lists.count() <= BROADCAST_ROWS:
+    if (lists.agg(F.sum(F.size("shared") * 40 + 64)).first()[0] or 0) <= BROADCAST_BYTES:
         lists = F.broadcast(lists)
     known = docs.join(lists, docs.doc_id.eqNullSafe(F.col("_id")) & (docs.th == F.col("_th")), "left").select("doc_id", "th", "text", "shared")
     store = work_dir(spark, "media-store")
@@ -215,8 +215,10 @@ def read_media(rows: DataFrame, chunks: DataFrame, refs: DataFrame) -> DataFrame
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for j in range(0, batch.num_rows, 256):
-                b = batch.slice(j, 256)
+            ends = np.append(batch.column("size").to_numpy().cumsum() // 4_000_000, -1)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(ends)) + 1])
+            for j, k in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                b = batch.slice(j, k - j)
                 at, out = [], []
                 for i, parts in enumerate(b.column("parts").to_pylist()):
                     fetched = {p["seq"]: p["data"] for p in parts if p["seq"] >= 0}
@@ -234,7 +236,7 @@ def read_media(rows: DataFrame, chunks: DataFrame, refs: DataFrame) -> DataFrame
     wanted = refs.select("doc_id", "th", "seq", "digest", "n_refs").distinct().withColumn("salt", F.pmod(F.xxhash64("th", "doc_id"), copies)).drop("n_refs")
     fetched = wanted.join(many, ["digest", "salt"]).select("doc_id", "th", F.struct("seq", F.lit(None).cast("binary").alias("recipe"), "data").alias("p"))
     own = rows.where("n_shared > 0").select("doc_id", "th", F.struct(F.lit(-1).alias("seq"), "recipe", "data").alias("p"))
-    whole = own.unionByName(fetched).groupBy("doc_id", "th").agg(F.collect_list("p").alias("parts")).select("doc_id", "parts")
+    whole = own.unionByName(fetched).groupBy("doc_id", "th").agg(F.collect_list("p").alias("parts"), F.sum(F.length("p.data")).alias("size")).select("doc_id", "parts", "size")
     return direct.unionByName(whole.mapInArrow(assembled, schema))
 
 
