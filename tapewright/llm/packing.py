@@ -5,12 +5,15 @@ packing group the open bin takes, of the examples that fit in every dimension, t
 demand and the bin's remaining room (both in units of the limits), until none fits.
 
 Groups hold GROUP_ROWS examples on average, dealt by a hash of their ids, so no task sees all examples, and the waste of
-a last bin is one part in hundreds. The result depends on the data alone: within a group examples are ordered by demand
+a last bin is one part in hundreds. Examples that repeat are counted first and dealt by their number as well, so copies
+without ids spread over the groups too. The result depends on the data alone: within a group examples are ordered by demand
 and id.
 
 Documents are cut into pieces first: whole sequences from the start, and one remainder to be packed with others. The cut
 places are known when a document is tokenised, so only lengths and checksums are shuffled, never texts or ids.
 
+Conversations are packed whole or in pieces as well; there only the ids of answers bear loss, and a sequence is limited in those too.
+
 Null text counts as empty: a document of the closing id alone. Rows with a null doc_id and exactly repeated rows are
 packed one by one. An empty table gives an empty result; other columns are ignored.
 """
@@ -30,12 +33,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tapewright.llm.common import slices, stored
 
 SEQUENCE = 1024
 MAX_SEGMENTS = 64
 END_ID = 0
+#: Roles whose tokens bear loss in conversations, and the most of such tokens in a sequence.
+LOSS_ROLES = ("assistant",)
+MAX_LOSS = 768
 GROUP_ROWS = 4096
 _SPECIAL = "<|endoftext|>"
 #: Fixed value: the split pattern of the byte-level vocabulary on texts whose white space is single.
@@ -145,9 +152,10 @@ def pack(examples: DataFrame, order: list[str], limits: dict[str, int], group_ro
     of examples.
     """
     groups = max(1, math.ceil(examples.count() / group_rows))
-    key = F.pmod(F.xxhash64(*order), F.lit(groups)).cast("int")
+    key = F.pmod(F.xxhash64(*order, "_copy"), F.lit(groups)).cast("int")
     columns = examples.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in examples.schema.fields)
+    examples = examples.groupBy(*columns).agg(F.count("*").alias("_copies")).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
     most = np.array(list(limits.values()))
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
@@ -161,7 +169,7 @@ def pack(examples: DataFrame, order: list[str], limits: dict[str, int], group_ro
         df["offset"] = offset
         return df[[*columns, "sequence_id", "offset"]]
 
-    return examples.withColumn("_group", key).groupBy("_group").applyInPandas(run, f"{kinds}, sequence_id long, offset long")
+    return examples.select(*columns, key.alias("_group")).groupBy("_group").applyInPandas(run, f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, segments: int = MAX_SEGMENTS) -> DataFrame:
@@ -180,3 +188,40 @@ def pack_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, se
     demands = pieces.withColumn("segments", F.lit(1)).withColumn("loss_tokens", F.col("length") - 1)
     packed = pack(demands, ["doc_id", "start", "ids_crc32", "doc_tokens"], {"length": sequence, "segments": segments, "loss_tokens": sequence - 1})
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def conversation_pieces(turns: DataFrame, tokenizer: str, roles: tuple[str, ...] = LOSS_ROLES, sequence: int = SEQUENCE) -> DataFrame:
+    """conv_id, start, length, loss_tokens, conv_tokens of each piece of each conversation of turns (conv_id, turn, role, text).
+
+    A conversation is its turns' ids in order of turn, each with the closing id; those of roles bear loss. It is cut into whole sequences
+    from the start and one remainder.
+    """
+    turns = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(tokenizer)
+        for b in slices(batches, "text", 2_000_000):
+            n = pa.array([len(x) // 4 + 1 for x in tokens.encode(b.column("text").to_pylist())], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("conv_id", "turn", "role")), n], ["conv_id", "turn", "role", "n"])
+
+    kinds = ", ".join(f"{c} {turns.schema[c].dataType.simpleString()}" for c in ("conv_id", "turn", "role"))
+    counted = turns.mapInArrow(run, f"{kinds}, n long")
+    # a turn as a stretch of its conversation, then the part of it that lies in each piece
+    ahead = Window.partitionBy("conv_id").orderBy("turn", "role", "n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("at", F.coalesce(F.sum("n").over(ahead), F.lit(0).cast("long")))
+    cut = placed.withColumn("p", F.explode(F.sequence(F.expr(f"at div {sequence}"), F.expr(f"(at + n - 1) div {sequence}"))))
+    inside = F.least(F.col("at") + F.col("n"), (F.col("p") + 1) * sequence) - F.greatest(F.col("at"), F.col("p") * sequence)
+    loss = F.when(F.col("role").isin(*roles), inside).otherwise(F.lit(0))
+    pieces = cut.groupBy("conv_id", "p").agg(F.sum(inside).alias("length"), F.sum(loss).cast("long").alias("loss_tokens"))
+    total = F.sum("length").over(Window.partitionBy("conv_id"))
+    return pieces.select("conv_id", (F.col("p") * sequence).alias("start"), "length", "loss_tokens", total.alias("conv_tokens"))
+
+
+def pack_conversations(turns: DataFrame, tokenizer: str, sequence: int = SEQUENCE, segments: int = MAX_SEGMENTS, loss: int = MAX_LOSS) -> DataFrame:
+    """conversation_pieces in sequences of at most sequence tokens, segments pieces and loss loss-bearing tokens; sequence_id, offset.
+
+    A piece that alone bears more loss than allowed has a sequence of its own. Null conv_ids are one conversation; null text is an empty turn.
+    """
+    pieces = stored(conversation_pieces(turns, tokenizer, sequence=sequence), "pack-turns").withColumn("segments", F.lit(1))
+    packed = pack(pieces, ["conv_id", "start", "length", "loss_tokens", "conv_tokens"], {"length": sequence, "segments": segments, "loss_tokens": loss})
+    return packed.drop("segments")
