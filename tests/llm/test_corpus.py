@@ -7,10 +7,12 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
-from itertools import combinations
+from itertools import combinations, product
 
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tapewright.llm import langid, license, maxscore, media, mixing, packing, simhash, substring, urlfilter, warc
@@ -65,6 +67,13 @@ def test_maxscore_odd_vectors(spark):
     v = maxscore.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     out = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in maxscore.top_k(v, v.where("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect()]
     assert out == [(50, 1, 1, 256 * 768), (50, 2, 5, 256 * 768), (50, 3, 2, 256 * 256)]
+    # repeated candidates count each, and scores beyond 2 ** 53 are exact
+    twice = maxscore.quantised(spark.createDataFrame([(2, [2.0, 0.0]), (2, [2.0, 0.0]), (50, [1.0, 0.0])], "vec_id long, embedding array<double>"))
+    assert [r["vec_id"] for r in maxscore.top_k(twice, twice.where("vec_id = 50"), 5).collect()] == [2, 2]
+    big = [(1, [2.0**18] * 200 + [1.0]), (2, [2.0**18] * 200 + [2.0]), (50, [2.0**18] * 200 + [1 / 256])]
+    v = maxscore.quantised(spark.createDataFrame(big, "vec_id long, embedding array<double>"))
+    out = {r["vec_id"]: r["score"] for r in maxscore.top_k(v, v.where("vec_id = 50"), 5).collect()}
+    assert out == {1: 200 * 2**52 + 256, 2: 200 * 2**52 + 512}
     assert maxscore.top_k(v.limit(0), v.limit(0), 5).count() == 0
 
 
@@ -105,6 +114,69 @@ def test_fast_tokens_equal_the_tokenizer(spark, small):
     assert tokens.encode(texts) == tokens.whole(texts)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(), min_size=1, max_size=8), st.lists(st.sampled_from([" ", "\n", "  ", "\u00a0", "\u2028", "\x85", "\t", "'s", "'", "١٢", "e\u0301", "ǅ", "𝟘", "ⅷ", "½", "漢字", "\u200b", "😀\u200d", "\x1c", "\x1f"]), max_size=8))
+def test_fast_tokens_equal_the_tokenizer_on_odd_unicode(parts, odd):
+    import public_tokenizers
+
+    tokens = TOKENS.setdefault(0, packing.Tokens(public_tokenizers.path("byte_bpe_50k.json"))) if 0 not in TOKENS else TOKENS[0]
+    texts = ["".join(parts), " ".join(parts), "\n".join(parts), "".join(x for pair in zip(parts, odd, strict=False) for x in pair), " ".join([*odd, *parts])]
+    texts = [t for t in texts if not any(0xD800 <= ord(c) < 0xE000 for c in t)]
+    assert tokens.encode(texts) == tokens.whole(texts)
+
+
+TOKENS: dict = {}
+
+
+def test_every_character_has_the_tokenizers_ids():
+    import public_tokenizers
+
+    tokens = packing.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    chars = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b {c}1 {c}{c} .{c}" for c in chars]
+    assert tokens.encode(texts) == tokens.whole(texts)
+
+
+def test_little_padding(spark):
+    import public_tokenizers
+
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    used = packing.pack_documents(df, public_tokenizers.path("byte_bpe_50k.json")).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    padding = sum(1024 - r["n"] for r in used if r["n"] & (r["n"] - 1))
+    assert padding <= 0.02 * sum(r["n"] for r in used)
+
+
+def test_conversations_keep_all_three_limits(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    turns = turns.unionByName(spark.createDataFrame([(None, 0, "user", None), (10**6, 0, "assistant", "word " * 3000)], turns.schema))
+    tok, want = Tokenizer.from_file(path), defaultdict(lambda: [0, 0])
+    for r in turns.collect():
+        n = len(tok.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+        want[r["conv_id"]][0] += n
+        want[r["conv_id"]][1] += n * (r["role"] == "assistant")
+    got, bins = defaultdict(lambda: [0, 0]), defaultdict(list)
+    for r in packing.pack_conversations(turns, path, loss=300).collect():
+        got[r["conv_id"]][0] += r["length"]
+        got[r["conv_id"]][1] += r["loss_tokens"]
+        bins[r["sequence_id"]].append((r["length"], r["loss_tokens"]))
+    assert dict(got) == dict(want)
+    assert all(sum(n for n, _ in b) <= 1024 and len(b) <= packing.MAX_SEGMENTS and (sum(x for _, x in b) <= 300 or len(b) == 1) for b in bins.values())
+    # the limit binds: without it some sequences bear more
+    free = packing.pack_conversations(turns, path, loss=1024).groupBy("sequence_id").agg(F.sum("loss_tokens").alias("n"), F.count("*").alias("k")).where("n > 300 and k > 1")
+    assert free.count() > 0
+    assert packing.pack_conversations(turns.limit(0), path).count() == 0
+
+
+def test_copies_are_dealt_to_several_groups(spark):
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(7).cast("long").alias("n"))
+    out = packing.pack(rows, ["doc_id", "n"], {"n": 1024}, group_rows=100)
+    assert out.count() == 3000 and out.select(F.shiftright("sequence_id", 32)).distinct().count() > 20
+
+
 def brute_spans(rows, window=50):
     first = {}
     words = [(r["doc_id"], WORDS.findall(text_of(r))) for r in rows]
@@ -131,6 +203,60 @@ def test_substring_matches_brute_force(spark, docs, small):
     cleaned = substring.remove_spans(docs)
     assert cleaned.columns == docs.columns
     assert [r for r in cleaned.where("doc_id = 8").collect()][0]["text"] == "x y"
+    assert {r["doc_id"]: r["text"] for r in cleaned.where("doc_id < 4").collect()} == {0: None, 1: "", 2: "  \n\t ", 3: "one"}
+
+
+def test_factors_go_on_with_their_reference():
+    piece = lambda start, n, ref, at: {"start": start, "n": n, "ref": ref, "ref_start": at}
+    parse = substring.factors([piece(7, 3, 1, 5), piece(0, 4, 1, 10), piece(4, 2, 1, 14), piece(10, 1, 1, 8), piece(11, 1, 1, 30), piece(12, 2, 2, 31)])
+    assert parse == [(0, 6, 1, 10), (7, 4, 1, 5), (11, 1, 1, 30), (12, 2, 2, 31)]
+    words = [b"w%d" % i for i in range(700)]
+    cut = substring.cells(words, [(10, 500, 4, 200)], 50)
+    assert [(c["at"], c["stop"]) for c in cut] == [(200, 256), (256, 512), (512, 749)] and cut[0]["digest"] == substring._digest(words[10:66])
+
+
+def test_factors_are_checked_on_words(spark, small, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d"), (1, "e f"), (2, "a b")], "doc_id long, text string")
+    claim = lambda ref, at, *words: (ref, at, at + len(words), bytearray(substring._digest(list(words))))
+    schema = "ref long, at int, stop int, digest binary"
+    assert substring.proven(docs, spark.createDataFrame([claim(1, 1, b"b", b"c"), claim(1, 0, b"e"), claim(1, 1, b"b", b"c")], schema))
+    assert not substring.proven(docs, spark.createDataFrame([claim(1, 1, b"b", b"c"), claim(2, 1, b"c")], schema))
+    assert not substring.proven(docs, spark.createDataFrame([claim(9, 0, b"a")], schema))
+    # a refuted parse is made again with other hashes, and has the same result
+    want, judge, seen = sorted(substring.removal_report(small).collect()), substring.proven, []
+    monkeypatch.setattr(substring, "proven", lambda d, c: bool(seen.append(judge(d, c)) or len(seen) > 1))
+    assert sorted(substring.removal_report(small).collect()) == want and seen == [True, True]
+
+
+CLASH = ("row", "id", "hash", "th", "pieces", "cells", "cut", "spans", "named", "no", "runs", "size", "source_no", "again", "judged", "bands", "_h", "_id", "a.b")
+
+
+def test_clashing_columns_are_passed_on(spark, docs):
+    import corpus_pipeline
+
+    odd = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASH])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == (None if r["doc_id"] is None else f"{c}:{r['doc_id']}") for r in rows for c in CLASH), name
+        empty = stage(spark, odd.limit(0), SF)
+        assert empty.columns == odd.columns and empty.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).count() >= odd.count()
+
+
+def test_texts_of_megabytes(spark):
+    long = " ".join(f"w{i * 7919 % 99991}" for i in range(400_000))
+    df = spark.createDataFrame([(1, long, "en", "s"), (2, f"other {long}", "en", "s"), (3, "x" * 2_000_000, "de", "s"), (4, long, "en", None)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in substring.removal_report(df).collect()}
+    assert [(got[d]["n_words"], got[d]["n_removed"]) for d in (1, 2, 3, 4)] == [(400_000, 0), (400_001, 400_000), (1, 0), (400_000, 400_000)]
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [1, 3]
+    assert {r["doc_id"]: r["n_words"] for r in license.scan_licenses(df).collect()} == {1: 400_000, 2: 400_001, 3: 1, 4: 400_000}
+    assert {r["doc_id"]: r["n_bytes"] for r in media.media_report(df).collect()} == {r["doc_id"]: len(r["text"]) for r in df.collect()}
+    assert {r["lang_pred"] for r in langid.predict_languages(df).collect()} <= {"en", "de"}
+    assert {r["doc_id"]: r["size"] for r in mixing.mix_report(df).collect()} == {1: 400_000, 2: 400_001, 3: 1, 4: 400_000}
+    prints = {r["doc_id"]: int(r["fingerprint"], 16) for r in simhash.near_duplicate_groups(df).collect()}
+    assert prints == {r["doc_id"]: brute_simhash(text_of(r)) for r in df.collect()}
 
 
 def test_url_lists_hold_from_their_day(spark):
@@ -163,6 +289,10 @@ def test_language_held_out_accuracy(spark, docs):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.predict_languages(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len(out) > 100 and sum(r["lang_pred"] == r["lang"] for r in out) / len(out) >= 0.97
+    # many more languages than a model of pairs could hold, each learned
+    many = spark.range(900).select("id", (F.col("id") % 150).alias("k")).selectExpr("id as doc_id", "concat('x', k) as lang", "concat_ws(' ', transform(sequence(1, 30), i -> translate(md5(concat(k, '-', i % 9)), '0123456789', 'ghijklmnop'))) as text")
+    said = langid.predict_languages(many).join(many.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in said) / len(said) > 0.9
     odd = {r["doc_id"]: r for r in langid.predict_languages(docs).collect()}
     assert odd[0]["lang_pred"] == odd[1]["lang_pred"] == odd[13]["lang_pred"] == "und"
     assert langid.predict_languages(docs.limit(0)).count() == 0
@@ -201,6 +331,28 @@ def test_simhash_components_match_brute_force(spark, docs, small):
     assert simhash.near_duplicate_groups(docs.limit(0)).count() == 0
 
 
+def test_hot_buckets_are_dealt_again(spark, small, monkeypatch):
+    want = sorted((r["doc_id"], r["component_id"]) for r in simhash.near_duplicate_groups(small).collect())
+    assert len({c for _, c in want}) < len(want)
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 1)
+    assert sorted((r["doc_id"], r["component_id"]) for r in simhash.near_duplicate_groups(small).collect()) == want
+
+
+def test_components_fail_rather_than_stop_early(spark, monkeypatch):
+    chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {(r["node"], r["root"]) for r in simhash.components(chain).collect()} == {(i, 0) for i in range(1, 201)}
+    monkeypatch.setattr(simhash, "ROUNDS", 2)
+    with pytest.raises(RuntimeError):
+        simhash.components(chain)
+
+
+def test_texts_under_one_id_are_judged_one_by_one(spark):
+    a, b = [f"tok{i}" for i in range(100)], [f"other{i}" for i in range(100)]
+    rows = [(1, " ".join(a)), (2, " ".join([*a[:99], "z"])), (2, " ".join(b)), (2, " ".join(b)), (3, " ".join(b).upper()), (4, ""), (4, None), (4, " "), (None, " ".join(a))]
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"] or 0, (r["text"] or "")[:6]) for r in out)) == [(0, "tok0 t"), (1, "tok0 t"), (2, "other0"), (4, ""), (4, ""), (4, " ")]
+
+
 def test_near_duplicates_keep_one(spark, docs):
     base = [f"tok{i}" for i in range(200)]
     near = [*base[:100], "changed", *base[101:]]
@@ -279,6 +431,26 @@ def test_license_places_and_expressions(spark, docs):
     assert license.satisfied(tree, {"gpl", "bsd"}) and not license.satisfied(tree, {"bsd"})
     assert license.parse_expression(["or"]) is None and license.parse_expression(["(", "mit"]) is None
     assert license.scan_licenses(docs).count() == docs.count()
+    assert (got[2]["permissive"], got[1]["permissive"]) == (True, None)
+    assert [license.family(x) for x in ("mit", "mitigation", "gpl-2.0-only", "gplv3", "lgpl-2.1+", "cc-by-4.0", "cc-bysomething", "apache2")] == ["mit", "mitigation", "gpl", "gpl", "lgpl", "cc-by", "cc-bysomething", "apache"]
+    tags = {"GPL-3.0-only AND MIT": False, "GPL-2.0 WITH Classpath-exception-2.0": True, "GPL-2.0 WITH odd AND MIT": False, "(GPL-2.0 OR MIT) AND Apache-2.0": True, "GPL-2.0 OR MIT AND GPL-3.0": False}
+    said = license.scan_licenses(spark.createDataFrame([(i, f"SPDX-License-Identifier: {t}") for i, t in enumerate(tags)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["permissive"] for r in said} == dict(enumerate(tags.values()))
+    assert license.scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_base_phrases_match_brute_force(spark, docs, small):
+    mixed = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(product(["mit", "MIT-", "license", "apache", "general public", "é", "license."], repeat=4))], "doc_id long, text string")
+    pattern, phrases = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), {(b"mit", b"license"): "mit", (b"apache", b"license"): "apache", (b"general", b"public", b"license"): "gpl"}
+    for df in (docs.select("doc_id", "text"), small.select("doc_id", "text"), mixed):
+        want = []
+        for r in df.collect():
+            words = pattern.findall(text_of(r).lower())  # bytes.lower() changes A-Z only
+            places = [(i, label) for i in range(len(words)) for phrase, label in phrases.items() if tuple(words[i : i + len(phrase)]) == phrase]
+            at = [i for i, _ in places]
+            want.append((r["doc_id"], len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))))
+        got = license.scan_licenses(df).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
 def test_mix_meets_targets_and_reruns_agree(spark, docs):
@@ -303,6 +475,70 @@ def test_swaps_are_a_permutation(spark):
     assert sorted(r["block"] for r in mixing.permuted(df).collect()) == list(range(101))
 
 
+def brute_targets(sizes: list[int]) -> list[float]:
+    """Targets of sources in order, by raising the level until nothing is left to share."""
+    weights, target, left = [mixing.WEIGHTS[i % 3] for i in range(len(sizes))], [0.0] * len(sizes), float(sum(sizes))
+    while left > 1e-9 and (free := [i for i, s in enumerate(sizes) if target[i] < 3 * s - 1e-9]):
+        share = sum(weights[i] for i in free)
+        step = min(left / share, *((3 * sizes[i] - target[i]) / weights[i] for i in free))
+        for i in free:
+            target[i] += step * weights[i]
+        left -= step * share
+    return target
+
+
+def test_targets_match_brute_force(spark):
+    for sizes in ([100, 0, 5, 900, 7], [1] * 7, [10_000, 1, 1, 1], [3, 50, 2000, 40, 0, 0, 9000]):
+        rows = [(f"s{i}", n) for i, n in enumerate(sizes)]
+        got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(rows, "source string, size long")).collect()}
+        assert [got[f"s{i}"] for i in range(len(sizes))] == pytest.approx(brute_targets(sizes))
+
+
+def test_shards_are_drawn_and_totals_settled(spark):
+    sources = spark.createDataFrame([(f"s{i}", i + 1, n * 32, n * 32 * rate) for i, (n, rate) in enumerate([(4000, 1.0), (3000, 0.5), (500, 3.0), (8000, 0.25)])], "source string, source_no int, source_size long, target double")
+    live, total = mixing.quotas(sources)
+    assert {r["source_no"]: r["quota"] for r in live.collect()} == {1: 4000, 2: 1500, 3: 1500, 4: 2000} and total == 9000
+    counts = defaultdict(dict)
+    for r in mixing.shard_counts(live, total, 1000).collect():
+        counts[r["shard"]][r["source_no"]] = r["n"]
+    assert sorted(counts) == list(range(9)) and all(sum(c.values()) == 1000 for c in counts.values())
+    share = {1: 4 / 9, 2: 1 / 6, 3: 1 / 6, 4: 2 / 9}
+    off = [(counts[s][k] - 1000 * p) / (1000 * p * (1 - p)) ** 0.5 for s in counts for k, p in share.items()]
+    assert max(map(abs, off)) < 4 and 0.5 < sum(x * x for x in off) / len(off) < 1.7  # as wide as multinomial counts are
+    got = mixing.slots(sources, shard=1000).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["source_no"]].append((r["slot"], r["turn"], r["block"]))
+    assert {k: len(v) for k, v in by.items()} == {1: 4000, 2: 1500, 3: 1500, 4: 2000}
+    for k, n in ((1, 4000), (2, 3000), (3, 500), (4, 8000)):
+        assert sorted(x[0] for x in by[k]) == list(range(len(by[k])))
+        for turn in {x[1] for x in by[k]}:  # no block twice in one pass
+            blocks = [x[2] for x in by[k] if x[1] == turn]
+            assert len(set(blocks)) == len(blocks) and 0 <= min(blocks) and max(blocks) < n
+
+
+def test_taken_words_match_brute_force(spark, small):
+    df = small.unionByName(small.where("doc_id % 3 = 0")).unionByName(spark.createDataFrame([(None, "a b c", None, None, 5), (None, "a b c", None, None, 5), (1, None, None, "src0", 0)], small.schema))
+    places, sources = mixing.placed(df)
+    rows, streams = places.collect(), defaultdict(dict)
+    for r in rows:
+        for i in range(r["size"]):
+            assert streams[r["source_no"]].setdefault(r["at"] + i, r) is r  # every place of a stream has one word
+    assert all(set(x) == set(range(len(x))) for x in streams.values())
+    taken = defaultdict(int)
+    for r in mixing.slots(sources).collect():
+        for at in range(r["block"] * mixing.BLOCK, min((r["block"] + 1) * mixing.BLOCK, len(streams[r["source_no"]]))):
+            taken[id(streams[r["source_no"]][at])] += 1
+    want = sorted(((r["doc_id"] or -1), r["size"], taken[id(r)]) for r in rows)
+    assert sorted(((r["doc_id"] or -1), r["size"], r["taken"]) for r in mixing.mix_report(df).collect()) == want
+    mixed = mixing.mix_documents(df).collect()
+    assert sum(len(WORDS.findall(text_of(r))) for r in mixed) == sum(w[2] for w in want)
+    words = {r["doc_id"]: set() for r in df.collect()}
+    for r in df.collect():
+        words[r["doc_id"]].update(WORDS.findall(text_of(r)))
+    assert all(set(WORDS.findall(text_of(r))) <= words[r["doc_id"]] for r in mixed)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
