@@ -35,13 +35,14 @@ def query(sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import tapewright.rule_queries  # noqa: F401  (registers its queries here)
+    import tapewright.evidence_queries  # noqa: F401  (these register their queries here)
+    import tapewright.rule_queries  # noqa: F401
 
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    import tapewright.rule_queries  # noqa: F401
+    queries()
 
     return SQL
 

@@ -84,3 +84,70 @@ def competing_risks(up: Column, down: Column, sigma: Column, eta_tp: Column, eta
 
     out = let(curve, lambda grid: F.aggregate(F.sequence(F.lit(1), F.lit(intervals)), start, lambda acc, i: step(grid, acc, i)))
     return let(out, lambda o: F.struct(o["tp"].alias("p_tp"), o["sl"].alias("p_sl"), o["alive"].alias("p_expiry")))
+
+
+# ---- stages and trees
+
+
+def cumulative_stages(stages: Column) -> Column:
+    """Cumulative target, stop and survival after each of an array of conditional stages (tp, sl, none); survival takes up what rounding loses."""
+    start = F.array(F.struct(F.lit(0.0).alias("tp"), F.lit(0.0).alias("sl"), F.lit(1.0).alias("none")))
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        tp, sl = last["tp"] + last["none"] * s["tp"], last["sl"] + last["none"] * s["sl"]
+        return F.concat(acc, F.array(F.struct(tp.alias("tp"), sl.alias("sl"), (1 - tp - sl).alias("none"))))
+
+    return F.slice(F.aggregate(stages, start, step), F.lit(2), F.size(stages))
+
+
+def conditional_stages(curve: Column) -> Column:
+    """The conditional stages (tp, sl, none) of a cumulative curve; null once nothing survives."""
+
+    def one(i: Column) -> Column:
+        now = F.element_at(curve, i + 1)
+        part = lambda n: now[n] - F.when(i == 0, 0.0).otherwise(F.element_at(curve, F.greatest(i, F.lit(1)))[n])
+        alive = F.when(i == 0, 1.0).otherwise(F.element_at(curve, F.greatest(i, F.lit(1)))["none"])
+        return F.when(alive > 0, F.struct((part("tp") / alive).alias("tp"), (part("sl") / alive).alias("sl"), (now["none"] / alive).alias("none")))
+
+    return F.transform(F.sequence(F.lit(0), F.size(curve) - 1), one)
+
+
+def linear_predictor(coefficients: Column, features: Column) -> Column:
+    """Intercept plus the sum of coefficient times feature over maps; null where a feature is missing."""
+    terms = F.map_filter(coefficients, lambda k, v: k != "intercept")
+    total = F.aggregate(F.map_entries(terms), F.lit(0.0), lambda a, e: a + e["value"] * features[e["key"]])
+    return total + F.coalesce(coefficients["intercept"], F.lit(0.0))
+
+
+def contributions(coefficients: Column, features: Column, means: Column, scales: Column) -> Column:
+    """Each feature's part of the linear predictor: its coefficient times its standardised value."""
+    return F.map_filter(F.transform_values(coefficients, lambda k, c: c * (features[k] - means[k]) / F.nullif(scales[k], F.lit(0.0))), lambda k, v: v.isNotNull())
+
+
+def pooled(shared: Column, local: Column, n: Column, strength: float) -> Column:
+    """Coefficients pooled by n / (n + strength): the more local rows, the more local weight."""
+    weight = n / (n + strength)
+    return F.transform_values(shared, lambda k, v: weight * local[k] + (1 - weight) * v)
+
+
+def is_distribution(p: Column, keys: list[str], tolerance: float = 1e-9) -> Column:
+    """Whether a map has exactly these keys, no negative or null value, and the sum 1."""
+    named = F.array_sort(F.map_keys(p)) == F.array(*map(F.lit, sorted(keys)))
+    fair = F.forall(F.map_values(p), lambda v: v.isNotNull() & (v >= 0))
+    mass = F.aggregate(F.map_values(p), F.lit(0.0), lambda a, v: a + v)
+    return F.coalesce(named & fair & (F.abs(mass - 1) <= tolerance), F.lit(False))
+
+
+def activation_distance(side: Column, trigger: Column, price: Column, entry: Column, sigma: Column) -> Column:
+    """status and z of the way to a resting entry, in horizon deviations; a trigger that is met already is refused."""
+    met = F.when(trigger == "price_lte", price <= entry).when(trigger == "price_gte", price >= entry)
+    status = F.when(~((price > 0) & (entry > 0) & (sigma > 0)), "invalid_input").when(trigger.isNull(), "active_at_analysis").when(met, "pending_trigger_already_satisfied").otherwise("waiting_for_trigger")
+    z = F.when(status == "active_at_analysis", 0.0).when(status == "waiting_for_trigger", F.abs(F.ln(entry / price)) / sigma)
+    return F.struct(status.alias("status"), z.alias("z"))
+
+
+def nearest_period(periods: dict[str, int], horizon_s: Column) -> Column:
+    """The name of the period whose length has the least ratio to a horizon; of two alike the longer."""
+    far = [F.struct(F.round(F.abs(F.ln(horizon_s / seconds)), 12).alias("d"), F.lit(-seconds).alias("s"), F.lit(name).alias("name")) for name, seconds in periods.items()]
+    return F.array_min(F.array(*far))["name"]

@@ -128,3 +128,87 @@ def transition(status: Column, event: Column) -> Column:
     """The status after an event; null where the event is not allowed."""
     table = F.create_map(*[F.lit(x) for (a, b), c in TRANSITIONS.items() for x in (f"{a}/{b}", c)])
     return table[F.concat_ws("/", status, event)]
+
+
+# ---- times and texts
+
+
+def iso_of_millis(ms: Column) -> Column:
+    """ISO-8601 text in UTC; the session's time zone is expected to be UTC."""
+    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'")
+
+
+def minutes_between(start: Column, end: Column) -> Column:
+    return F.round((F.unix_micros(end) - F.unix_micros(start)) / 60_000_000, 2)
+
+
+def month_season(at: Column) -> Column:
+    """Code, first day and first day of the next month of a contest's season."""
+    first = F.trunc(at, "month")
+    return F.struct(F.date_format(at, "yyyy-MM").alias("code"), first.alias("starts"), F.add_months(first, 1).alias("ends"))
+
+
+def note_stamp(note: Column) -> Column:
+    """The time that a closing note names after the word vela; null without one that can be read."""
+    return parse_iso(F.nullif(F.regexp_extract(note, r"vela (\S+)", 1), F.lit("")))
+
+
+def ban_until(text: Column) -> Column:
+    """The epoch milliseconds that a ban message names."""
+    return F.nullif(F.regexp_extract(text, r"banned until (\d+)", 1), F.lit("")).cast("long")
+
+
+def level_name(ratio: Column) -> Column:
+    """A ratio with three decimals at most and no trailing zeros."""
+    return F.regexp_replace(F.format_string("%.3f", ratio), r"\.?0+$", "")
+
+
+def sampling_interval(horizon_s: Column, intervals: tuple[int, ...], least: int = 24) -> Column:
+    """The largest interval that divides a horizon into at least so many bars."""
+    fits = F.filter(F.array(*map(F.lit, intervals)), lambda i: (horizon_s % i == 0) & (horizon_s >= i * least))
+    return F.array_max(fits)
+
+
+def order_type(side: Column, trigger: Column) -> Column:
+    """Market without a trigger; a trigger that waits for a better price is a pullback, others follow a break."""
+    better = ((side == "long") & (trigger == "price_lte")) | ((side == "short") & (trigger == "price_gte"))
+    return F.when(trigger.isNull(), "market").when(better, "limit_pullback").when(side == "long", "stop_breakout").otherwise("stop_breakdown")
+
+
+def relative(a: Column, b: Column) -> Column:
+    """a in percent of b; 0 where b is 0."""
+    return F.when(b == 0, 0.0).otherwise(a / b * 100)
+
+
+# ---- JSON
+
+
+def json_field(raw: Column, path: str) -> Column:
+    """The text at a path of a JSON text; null where the text cannot be read or has nothing there."""
+    return F.get_json_object(raw, path)
+
+
+def preferred_number(raw: Column, path: str, other: Column) -> Column:
+    """A finite number at a path of a JSON text, else another column."""
+    return F.coalesce(safe_double(json_field(raw, path)), other)
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """Compact JSON with sorted keys."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def payload_digest(fields: dict[str, Column]) -> Column:
+    return F.sha2(canonical_json(fields), 256)
+
+
+def flat_numbers(raw: Column, paths: list[str]) -> Column:
+    """A map of the numbers at dotted paths of a JSON text; what is no number, or no finite one, has no entry."""
+    entries = F.array(*[F.struct(F.lit(p).alias("key"), F.get_json_object(raw, f"$.{p}").try_cast("double").alias("value")) for p in paths])
+    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull() & (F.abs(e["value"]) < float("inf"))))
+
+
+def image_type(content: Column) -> Column:
+    """The kind of an image by its first bytes; null for others."""
+    head = F.hex(F.substring(content, 1, 12))
+    return F.when(head.startswith("89504E470D0A1A0A"), "image/png").when(head.startswith("FFD8FF"), "image/jpeg").when(head.startswith("52494646") & head.endswith("57454250"), "image/webp")
