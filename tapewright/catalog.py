@@ -526,9 +526,10 @@ def signal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_OPS}, px AS (SELECT symbol, arg_max(entry, operation_id) AS price FROM ops WHERE symbol <> '5-LOW' GROUP BY symbol), m AS (
   SELECT user_id, sum(CASE WHEN status = 'CLOSED' THEN coalesce(final_pnl, 0) ELSE 0 END) AS realised,
          sum(CASE WHEN status = 'OPEN' AND price IS NOT NULL THEN (CASE WHEN side = 'long' THEN 1 ELSE -1 END) * margin * leverage * (price / entry - 1) ELSE 0 END) AS unrealised,
-         count(*) FILTER (status = 'CLOSED') AS n_closed, count(*) FILTER (status = 'OPEN') AS n_open FROM ops LEFT JOIN px USING (symbol) GROUP BY user_id), b AS (
-  SELECT c_custkey AS user_id, coalesce(realised, 0) AS realised, coalesce(unrealised, 0) AS unrealised, coalesce(n_closed, 0) AS n_closed, coalesce(n_open, 0) AS n_open FROM customer LEFT JOIN m ON c_custkey = m.user_id)
-SELECT user_id, round(realised, 5) AS realised, round(unrealised + 1e-9::DOUBLE, 5) AS unrealised, n_closed, n_open, round(10000 + realised + unrealised + 1e-9::DOUBLE, 5) AS equity FROM b"""
+         count(*) FILTER (status = 'CLOSED') AS n_closed, count(*) FILTER (status = 'OPEN') AS n_open,
+         count(*) FILTER (status = 'CLOSED' AND final_pnl > 0) AS wins, count(*) FILTER (status = 'CLOSED' AND final_pnl < 0) AS losses, sum(CASE WHEN status = 'OPEN' THEN margin ELSE 0 END) AS invested FROM ops LEFT JOIN px USING (symbol) GROUP BY user_id), b AS (
+  SELECT c_custkey AS user_id, coalesce(realised, 0) AS realised, coalesce(unrealised, 0) AS unrealised, coalesce(n_closed, 0) AS n_closed, coalesce(n_open, 0) AS n_open, coalesce(wins, 0) AS wins, coalesce(losses, 0) AS losses, coalesce(invested, 0)::DOUBLE AS invested FROM customer LEFT JOIN m ON c_custkey = m.user_id)
+SELECT user_id, round(realised, 5) AS realised, round(unrealised + 1e-9::DOUBLE, 5) AS unrealised, n_closed, n_open, wins, losses, invested, round(10000 + realised + unrealised + 1e-9::DOUBLE, 5) AS equity FROM b"""
 )
 def contest_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = operations(spark, sf_dir)

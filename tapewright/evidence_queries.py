@@ -142,8 +142,8 @@ def stage_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_O}, a AS (SELECT *, CAST(day AS TIMESTAMP) + to_seconds(k % 5000) AS t0, CAST(day AS TIMESTAMP) + to_seconds(k % 9000) AS t1, '{{"a":{{"b":' || (k % 90) || ',"c":"x' || (k % 3) || '"}},"d":' || CASE WHEN k % 4 = 0 THEN 'null' ELSE (k % 11)::VARCHAR END || '}}' AS raw FROM o)
-SELECT k, strftime(make_timestamp(1700000000000000 + k % 1000000 * 1001000), '%Y-%m-%dT%H:%M:%S.%g+00:00') AS iso, round(epoch_us(t1) / 60000000.0::DOUBLE - epoch_us(t0) / 60000000.0::DOUBLE, 2) AS minutes, strftime(day, '%Y-%m') AS season, CAST(date_trunc('month', day) AS DATE) AS starts,
-  CAST(date_trunc('month', day) + INTERVAL 1 MONTH AS DATE) AS ends, CASE WHEN k % 2 = 0 THEN 1600000000000 + k END AS banned, CASE WHEN k % 3 = 0 THEN epoch_ms(t0) END AS noted, list_max(list_filter([60, 180, 300, 900, 1800, 3600, 14400], lambda i: (k % 9 + 1) * 1800 % i = 0 AND (k % 9 + 1) * 1800 >= i * 24)) AS sampling,
+SELECT k, strftime(make_timestamp(1700000000000000 + k % 1000000 * 1001000), '%Y-%m-%dT%H:%M:%S.%g+00:00') AS iso, round(epoch_us(t1) / 60000000.0::DOUBLE - epoch_us(t0) / 60000000.0::DOUBLE, 2) AS minutes, strftime(day, '%Y-%m') AS season, CAST(CAST(date_trunc('month', day) AS DATE) AS VARCHAR) AS starts,
+  CAST(CAST(date_trunc('month', day) + INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS ends, CASE WHEN k % 2 = 0 THEN 1600000000000 + k END AS banned, CASE WHEN k % 3 = 0 THEN epoch_ms(t0) END AS noted, list_max(list_filter([60, 180, 300, 900, 1800, 3600, 14400], lambda i: (k % 9 + 1) * 1800 % i = 0 AND (k % 9 + 1) * 1800 >= i * 24)) AS sampling,
   CASE k % 5 WHEN 0 THEN 'market' WHEN 1 THEN CASE WHEN k % 2 = 0 THEN 'limit_pullback' ELSE 'stop_breakdown' END WHEN 2 THEN CASE WHEN k % 2 = 1 THEN 'limit_pullback' ELSE 'stop_breakout' END ELSE 'market' END AS order_type,
   CASE WHEN k % 6 = 0 THEN 0 ELSE round((k % 25) / (k % 6)::DOUBLE * 100, 6) END AS share, regexp_replace(printf('%.3f', (k % 40) / 20.0::DOUBLE), '\\.?0+$', '') AS level, 'x' || (k % 3) AS field, CASE WHEN k % 4 = 0 THEN -1 ELSE (k % 11)::DOUBLE END AS number,
   k % 90 + CASE WHEN k % 4 = 0 THEN 0 ELSE k % 11 END::DOUBLE AS flat_sum, sha256('{{"day":"' || day || '","k":' || k || ',"none":null}}') AS digest, CASE k % 3 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' END AS image FROM a"""
@@ -164,8 +164,8 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         scalars.iso_of_millis(F.lit(1_700_000_000_000) + k % 1_000_000 * 1001).alias("iso"),
         scalars.minutes_between(F.col("t0"), F.col("t1")).alias("minutes"),
         season["code"].alias("season"),
-        season["starts"].alias("starts"),
-        season["ends"].alias("ends"),
+        season["starts"].cast("string").alias("starts"),
+        season["ends"].cast("string").alias("ends"),
         scalars.ban_until(F.when(k % 2 == 0, F.concat(F.lit("IP banned until "), (k + 1_600_000_000_000).cast("string"), F.lit("."))).otherwise("ok")).alias("banned"),
         scalars.millis(scalars.note_stamp(note)).alias("noted"),
         scalars.sampling_interval((k % 9 + 1) * 1800, INTERVALS).alias("sampling"),

@@ -10,14 +10,14 @@ from pyspark.sql.window import Window
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
-    """left with value: the struct of right's latest row of the key at or before left's time.
+    """left with value: the struct of right's latest row of the key at or before left's time; of rows at one time the largest value.
 
     Both sides are put in one stream ordered by time, right before left at equal times; the last right row is carried on. One
     shuffle, no pair is made. right has the columns keys, at and value.
     """
     columns = left.columns
     both = left.select(*columns, F.lit(1).alias("_kind"), F.lit(None).cast(right.schema[value].dataType).alias("_v")).unionByName(right.select(*keys, at, F.lit(0).alias("_kind"), F.col(value).alias("_v")), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy(at, "_kind", "_v").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_kind = 1").select(*columns, value)
 
 

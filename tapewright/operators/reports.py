@@ -86,9 +86,9 @@ def latest_joined(left: DataFrame, right: DataFrame, key: str, order: Column, va
 
 
 def leaderboard(entries: DataFrame, ops: DataFrame, prices: DataFrame, balance: float) -> DataFrame:
-    """user_id, realised, unrealised, open and closed counts, equity and place.
+    """user_id, realised, unrealised, open and closed counts, wins, losses, invested margin of open operations, and equity.
 
-    ops: user_id, symbol, side, entry, notional, status, pnl; open operations are marked to the symbol's price where there is one.
+    ops: user_id, symbol, side, entry, margin, notional, status, pnl; open operations are marked to the symbol's price where there is one.
     """
     marked = ops.join(prices.select(F.col("symbol").alias("_s"), "price"), ops.symbol == F.col("_s"), "left").drop("_s")
     sign = F.when(F.col("side") == "long", 1).otherwise(-1)
@@ -98,12 +98,21 @@ def leaderboard(entries: DataFrame, ops: DataFrame, prices: DataFrame, balance:
         F.sum(F.when((F.col("status") == "OPEN") & F.col("price").isNotNull(), floating).otherwise(0.0)).alias("unrealised"),
         F.count_if(F.col("status") == "CLOSED").alias("n_closed"),
         F.count_if(F.col("status") == "OPEN").alias("n_open"),
+        F.count_if((F.col("status") == "CLOSED") & (F.col("pnl") > 0)).alias("wins"),
+        F.count_if((F.col("status") == "CLOSED") & (F.col("pnl") < 0)).alias("losses"),
+        F.sum(F.when(F.col("status") == "OPEN", F.col("margin")).otherwise(0.0)).alias("invested"),
     )
-    zero = {"realised": 0.0, "unrealised": 0.0, "n_closed": 0, "n_open": 0}
+    zero = {"realised": 0.0, "unrealised": 0.0, "n_closed": 0, "n_open": 0, "wins": 0, "losses": 0, "invested": 0.0}
     out = entries.join(own, "user_id", "left").fillna(zero)
     return out.withColumn("equity", balance + F.col("realised") + F.col("unrealised"))
 
 
+def first_places(board: DataFrame, most: int) -> DataFrame:
+    """The best rows of a board by equity (then user_id) with their place; only they are ranked, after a distributed top-k."""
+    best = board.orderBy(F.desc("equity"), "user_id").limit(most)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("equity"), "user_id")))
+
+
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
     """current with changes merged in: of each key the newest version stays, a tie goes to the change."""
     columns = current.columns

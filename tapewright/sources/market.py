@@ -30,11 +30,18 @@ def trades_of_events(events: DataFrame) -> DataFrame:
 
 
 def read_klines(spark: SparkSession, path: str) -> DataFrame:
-    """Bars of JSON lines that hold a symbol and a positional kline array; malformed rows go, the last of a repeated open stays."""
+    """Bars of JSON lines that hold a symbol and a positional kline array; malformed rows go, the last of a repeated open stays.
+
+    Last is the row furthest on in the file whose name is the largest.
+    """
     raw = spark.read.schema("symbol string, kline array<string>").json(path)
+    raw = raw.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     at = lambda i: F.try_element_at("kline", F.lit(i + 1))
-    rows = raw.select("symbol", at(0).try_cast("long").alias("open_ms"), *[at(i + 1).try_cast("double").alias(n) for i, n in enumerate(("open", "high", "low", "close", "volume"))], at(6).try_cast("long").alias("close_ms"))
-    return rows.dropna().dropDuplicates(["symbol", "open_ms"])
+    rows = raw.select("symbol", "file", F.struct("block", "row").alias("place"), at(0).try_cast("long").alias("open_ms"), *[at(i + 1).try_cast("double").alias(n) for i, n in enumerate(("open", "high", "low", "close", "volume"))], at(6).try_cast("long").alias("close_ms"))
+    order = F.struct("file", "place")
+    rows = rows.dropna(subset=[c for c in rows.columns if c not in ("file", "place")])
+    last = rows.groupBy("symbol", "open_ms").agg(F.max_by(F.struct("open", "high", "low", "close", "volume", "close_ms"), order).alias("b"))
+    return last.select("symbol", "open_ms", "b.*")
 
 
 def read_zip_archives(spark: SparkSession, path: str) -> DataFrame:

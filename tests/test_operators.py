@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tapewright import catalog
 from tapewright.functions import probability, scalars
-from tapewright.operators import bars, outcomes, reports, statistics
+from tapewright.operators import bars, evidence, outcomes, reports, statistics
+from tapewright.plans import market_rules
 from tapewright.sources import market
 from tapewright.streaming import lifecycle
 
@@ -114,6 +115,9 @@ def test_gapped_buckets_are_left_out(spark):
 def test_sources(spark, tmp_path):
     (tmp_path / "k.json").write_text("\n".join(json.dumps({"symbol": "S", "kline": k}) for k in (["0", "1", "2", "0.5", "1.5", "9", "59999"], ["x"], ["60000", "1", "2", "0.5", "1.5", "9", "119999"])))
     assert [r["open_ms"] for r in market.read_klines(spark, str(tmp_path / "k.json")).orderBy("open_ms").collect()] == [0, 60000]
+    lines = [f'{{"symbol": "S", "kline": [0, 1, 2, 0.5, {close}, 3, 59999]}}' for close in range(1, 40)]
+    (tmp_path / "again.json").write_text("\n".join(lines))
+    assert [r["close"] for r in market.read_klines(spark, str(tmp_path / "again.json")).collect()] == [39.0]
     for name, close in (("S-5m-2024-01.zip", "1.5"), ("S-5m-2024-02.zip", "7.5")):
         with zipfile.ZipFile(tmp_path / name, "w") as z:
             z.writestr("a.csv", f"open_time,open,high,low,close,volume,close_time\n1700000000000000,1,2,0.5,{close},3,1700000299999000\n")
@@ -122,6 +126,36 @@ def test_sources(spark, tmp_path):
     assert market.month_grid(spark, ["A", "B"], "2024-01-01", "2024-03-01").count() == 6
 
 
+def test_first_places_of_a_board(spark):
+    board = spark.createDataFrame([(1, 5.0), (2, 9.0), (3, 5.0), (4, 1.0)], "user_id long, equity double")
+    assert [(r["user_id"], r["place"]) for r in reports.first_places(board, 3).collect()] == [(2, 1), (1, 2), (3, 3)]
+
+
+def test_rules_defer_and_block(spark):
+    pair = lambda a, b: F.create_map(F.lit("tp"), F.lit(a), F.lit("sl"), F.lit(b))
+    df = spark.range(1).select(
+        market_rules.expected_value(pair(0.4, 0.6), pair(10.0, -5.0), F.lit(False)).alias("early"),
+        market_rules.expected_value(pair(0.4, 0.6), pair(10.0, -5.0), F.lit(True)).alias("value"),
+        market_rules.expected_value(pair(0.4, 0.4), pair(10.0, -5.0), F.lit(True)).alias("mass"),
+        market_rules.net_payoffs(pair(10.0, -5.0), pair(1.0, 1.0), pair(0.5, 0.5), F.create_map(F.lit("tp"), F.lit(0.0))).alias("keys"),
+        market_rules.quoted_spread(F.lit(10.0), F.lit(9.0), F.lit(0), F.lit(0)).alias("crossed"),
+        market_rules.compared_imbalances(F.lit(0.2), F.lit(-0.1)).alias("compared"),
+    )
+    r = df.first()
+    assert (r["early"]["status"], r["early"]["reason"], r["early"]["value"]) == ("deferred", "m6_probabilities_unavailable", None)
+    assert (r["value"]["status"], round(r["value"]["value"], 9)) == ("evaluated", 1.0)
+    assert r["mass"]["reason"] == "probability_mass_not_one" and r["keys"]["reason"] == "payoff_outcome_key_mismatch" and r["crossed"]["reason"] == "crossed_book"
+    assert (round(r["compared"]["difference"], 9), r["compared"]["signs"]) == (0.3, "opposite")
+
+
+def test_touches_in_one_bar_are_resolved_by_trades(spark):
+    plans = spark.createDataFrame([("a", "S", 99, "long", 9.0, 11.0), ("b", "S", 99, "short", 11.0, 9.0), ("c", "S", 199, "long", 9.0, 11.0)], "plan_id string, symbol string, at_ms long, side string, stop double, target double")
+    bars = spark.createDataFrame([("S", 100, 199, 8.0, 12.0), ("S", 200, 299, 8.5, 12.0)], "symbol string, open_ms long, close_ms long, low double, high double")
+    ticks = spark.createDataFrame([("S", 150, 2, 8.0), ("S", 150, 1, 12.0), ("S", 120, 1, 10.0), ("S", 400, 1, 8.0)], "symbol string, ts_ms long, trade_id long, price double")
+    got = {r["plan_id"]: (r["reason"], r["touched_ms"]) for r in evidence.resolved_by_trades(evidence.next_bar_touches(plans, bars), ticks, 100).collect()}
+    assert got == {"a": ("take_profit", 150), "b": ("stop_loss", 150), "c": ("ambiguous_same_candle", 200)}
+
+
 def test_stream_of_operations(spark, tmp_path):
     schema = "operation_id long, ts_ms long, price double, side string, trigger_price double, stop double, target double, expires_ms long"
     rows = [(1, 1, 101.0, "long", 100.0, 95.0, 110.0, 99), (1, 2, 99.0, "long", 100.0, 95.0, 110.0, 99), (1, 3, 111.0, "long", 100.0, 95.0, 110.0, 99), (1, 4, 90.0, "long", 100.0, 95.0, 110.0, 99), (2, 99, 99.0, "long", 90.0, 80.0, 110.0, 99)]
