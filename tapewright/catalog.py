@@ -423,15 +423,15 @@ def asof_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_PATH}, days AS (SELECT symbol || '/' || open_ms AS row_id, symbol, open_ms, disp, rv, ln(1 + hv) AS lv FROM feats WHERE n % 24 = 0), d AS (
+    f"""WITH {_PATH}, days AS (SELECT symbol || '/' || open_ms AS row_id, symbol, open_ms, disp, rv, ln(1 + hv) AS lv, n FROM feats), d AS (
   SELECT q.row_id AS query_id, r.row_id, sqrt(((q.disp - r.disp) ** 2 + (q.rv - r.rv) ** 2 + (q.lv - r.lv) ** 2) / 3) + CASE WHEN q.symbol = r.symbol THEN 0 ELSE 0.15::DOUBLE END AS dist
-  FROM days q JOIN days r ON r.open_ms < q.open_ms), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, row_id)::INT AS rank FROM d)
+  FROM days q JOIN days r ON q.n % 24 = 0 AND r.open_ms < q.open_ms), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, row_id)::INT AS rank FROM d)
 SELECT query_id, rank, row_id, round(dist, 6) AS dist FROM k WHERE rank <= 5"""
 )
 def nearest_analogs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest earlier days of each day by path features, other symbols at a penalty."""
-    days = I.path_features(hourly(spark, sf_dir)).where("n % 24 = 0").select(F.concat_ws("/", "symbol", F.col("open_ms").cast("string")).alias("row_id"), "symbol", "open_ms", "displacement", "realised_variance", F.ln(1 + F.col("horizon_volume")).alias("lv"))
-    asked = days.select(F.col("row_id").alias("query_id"), F.col("symbol").alias("q_symbol"), F.col("open_ms").alias("q_ms"), F.col("displacement").alias("q_disp"), F.col("realised_variance").alias("q_rv"), F.col("lv").alias("q_lv"))
+    """The five nearest of all earlier bars by path features, of every 24th bar (the stated query set); other symbols at a penalty."""
+    days = I.path_features(hourly(spark, sf_dir)).select("n", F.concat_ws("/", "symbol", F.col("open_ms").cast("string")).alias("row_id"), "symbol", "open_ms", "displacement", "realised_variance", F.ln(1 + F.col("horizon_volume")).alias("lv"))
+    asked = days.where("n % 24 = 0").select(F.col("row_id").alias("query_id"), F.col("symbol").alias("q_symbol"), F.col("open_ms").alias("q_ms"), F.col("displacement").alias("q_disp"), F.col("realised_variance").alias("q_rv"), F.col("lv").alias("q_lv"))
     gap = sum(((F.col(a) - F.col(b)) ** 2 for a, b in (("q_disp", "displacement"), ("q_rv", "realised_variance"), ("q_lv", "lv"))), F.lit(0.0))
     dist = F.sqrt(gap / 3) + F.when(F.col("q_symbol") == F.col("symbol"), 0.0).otherwise(0.15)
     return rounded(joins.nearest_in_blocks(asked, days, dist, F.col("open_ms") < F.col("q_ms"), 5, days.count()))

@@ -37,13 +37,28 @@ def calibration(df: DataFrame, probability: str, hit: Column, bins: int = 10) ->
     return out.withColumn("ece_part", F.col("n") / F.sum("n").over(everything) * F.abs(F.col("mean_p") - F.col("rate")))
 
 
+#: Ranges of p values that are ranked by themselves.
+RANGES = 4096
+
+
 def benjamini_hochberg(tests: DataFrame, name: str, p: str) -> DataFrame:
-    """Step-up adjusted p values of a table of tests (one row for each)."""
-    everything = Window.partitionBy(F.lit(1))
-    ranked = tests.withColumn("_r", F.row_number().over(everything.orderBy(p, name))).withColumn("_m", F.count("*").over(everything))
-    raw = F.least(F.lit(1.0), F.col(p) * F.col("_m") / F.col("_r"))
-    onward = everything.orderBy("_r").rowsBetween(0, Window.unboundedFollowing)
-    return ranked.withColumn("_raw", raw).withColumn("q", F.min("_raw").over(onward)).select(name, p, "q")
+    """Step-up adjusted p values of a table of tests (one row for each).
+
+    Ranks and running minima go in two levels, within RANGES equal ranges of p and over the ranges, so no task sees all tests
+    (unless most have one p).
+    """
+    place = F.least(F.floor(F.col(p) * RANGES), F.lit(RANGES - 1)).cast("int")
+    placed = tests.select(name, p, place.alias("_b"))
+    everything = Window.partitionBy(F.lit(1)).orderBy("_b")  # a row for each range
+    sizes = placed.groupBy("_b").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_b", (F.sum("_n").over(everything) - F.col("_n")).alias("_ahead"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_m"))
+    within = Window.partitionBy("_b").orderBy(p, name)
+    ranked = placed.join(F.broadcast(sizes), "_b").withColumn("_r", F.row_number().over(within) + F.col("_ahead"))
+    ranked = ranked.withColumn("_raw", F.least(F.lit(1.0), F.col(p) * F.col("_m") / F.col("_r")))
+    behind = ranked.groupBy("_b").agg(F.min("_raw").alias("_low"))
+    behind = behind.select("_b", F.min("_low").over(everything.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    onward = F.min("_raw").over(within.rowsBetween(0, Window.unboundedFollowing))
+    return ranked.withColumn("_own", onward).join(F.broadcast(behind), "_b").select(name, p, F.least("_own", "_later").alias("q"))
 
 
 def block_bootstrap(blocks: DataFrame, block: str, value: str, draws: int, seed: int) -> DataFrame:
