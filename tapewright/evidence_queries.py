@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewright.catalog import _BARS, HOUR, hourly, query, rounded, trades
 from tapewright.functions import probability as P
-from tapewright.functions import scalars
+from tapewright.functions import predicates, scalars
 from tapewright.operators import evidence
 
 #: Sampling intervals in seconds, and periods by name.
@@ -178,3 +178,61 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         scalars.payload_digest({"k": k, "none": F.lit(None).cast("long"), "day": F.col("day")}).alias("digest"),
         scalars.image_type(image).alias("image"),
     )
+
+
+_RESULTS = f"""WITH {_O}, a AS (SELECT k, CASE WHEN k % 2 = 0 THEN 'long' ELSE 'short' END AS side, CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END AS s, (k % 30 + 80)::DOUBLE AS price, CASE WHEN k % 31 = 0 THEN 0 ELSE (k % 23 + 84)::DOUBLE END AS entry, (k % 23 + 84)::DOUBLE AS e0, priority,
+  ['take_profit', 'stop_loss', 'manual', 'contest_expired'][k % 4 + 1] AS reason, ['manual_protected', 'manual_left_profit', 'manual_better_than_plan', 'manual_worse_than_plan', 'plan_unresolved', 'other'][k % 6 + 1] AS seen,
+  ['take_profit', 'stop_loss', 'no_plan_touch', 'ambiguous_same_candle', 'stop_loss'][k % 5 + 1] AS touch, ['take_profit', 'stop_loss', 'no_plan_touch', 'ambiguous_boundary_candle', NULL, 'take_profit', 'stop_loss'][k % 7 + 1] AS later FROM o
+), b AS (SELECT *, e0 - s * CASE WHEN k % 13 = 0 THEN -3 ELSE 3 END AS stop, e0 + s * 4 AS target, CASE WHEN (k % 2 = 0) = (k % 9 <> 0) THEN 'price_lte' ELSE 'price_gte' END AS trg FROM a)"""
+
+
+@query(
+    _RESULTS
+    + """ SELECT k, CASE WHEN entry <= 0 THEN 'invalid_price' WHEN k % 9 = 0 THEN 'limit_v1_supports_pullback_orders_only' WHEN NOT s * (price - entry) > 0 THEN 'limit_trigger_already_satisfied' WHEN NOT (s * (entry - stop) > 0 AND s * (target - entry) > 0) THEN 'invalid_barrier_geometry' END AS problem,
+  CASE WHEN entry > 0 AND s * ln(price / entry) > 0 THEN round(s * ln(price / entry), 9) END AS distance, CASE WHEN k % 10 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 15 = 0 THEN 1 ELSE 0 END AS missing,
+  CASE WHEN k % 8 = 0 THEN 'side_differs' WHEN k % 12 = 0 THEN 'priority_differs' END AS differs,
+  CASE WHEN touch LIKE 'ambiguous%' THEN 'ambiguous' WHEN reason IN ('take_profit', 'stop_loss') THEN CASE WHEN touch = reason THEN 'consistent' ELSE 'mismatch' END WHEN seen = 'other' OR later IS NULL THEN 'not_comparable' WHEN later LIKE 'ambiguous%' THEN 'ambiguous'
+    WHEN later = CASE WHEN seen IN ('manual_protected', 'manual_worse_than_plan') THEN 'stop_loss' WHEN seen = 'plan_unresolved' THEN 'no_plan_touch' ELSE 'take_profit' END THEN 'consistent' ELSE 'mismatch' END AS agreement,
+  CASE WHEN reason = 'contest_expired' THEN 'contest_expiry_mark_to_market' WHEN reason <> 'manual' THEN CASE touch WHEN 'take_profit' THEN 'plan_success' WHEN 'stop_loss' THEN 'plan_failure' WHEN 'no_plan_touch' THEN 'plan_unresolved' ELSE 'ambiguous_same_candle' END
+    WHEN later IS NULL THEN 'manual_pending_or_unclassified' ELSE CASE later WHEN 'take_profit' THEN 'plan_would_succeed' WHEN 'stop_loss' THEN 'plan_would_fail' WHEN 'no_plan_touch' THEN 'plan_unresolved' ELSE 'ambiguous_same_candle' END END AS result,
+  CASE WHEN k % 20 <> 0 AND k % 5 + k % 4 + k % 3 > 0 THEN round(k % 5 / (k % 5 + k % 4 + k % 3)::DOUBLE, 9) END AS share, CASE WHEN k % 3 = 0 THEN 'closed_at,final_pnl' WHEN k % 3 = 1 THEN 'final_pnl' ELSE '' END AS later_keys,
+  CASE WHEN k % 100 <= 30 THEN 'development' WHEN k % 100 <= 60 THEN 'calibration' WHEN k % 100 <= 80 THEN 'final_test' END AS period FROM b"""
+)
+def plan_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refusals of resting orders, missing and differing fields, agreement with evidence, and reconstructed results of each order."""
+    o, k = orders(spark, sf_dir), F.col("k")
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    long = k % 2 == 0
+    s, e0 = F.when(long, 1).otherwise(-1), (k % 23 + 84).cast("double")
+    o = o.withColumns(
+        {
+            "side": F.when(long, "long").otherwise("short"),
+            "price": (k % 30 + 80).cast("double"),
+            "entry": F.when(k % 31 == 0, 0.0).otherwise(e0),
+            "stop": e0 - s * F.when(k % 13 == 0, -3).otherwise(3),
+            "target": e0 + s * 4,
+            "trg": F.when(long == (k % 9 != 0), "price_lte").otherwise("price_gte"),
+            "reason": pick(("take_profit", "stop_loss", "manual", "contest_expired")),
+            "seen": pick(("manual_protected", "manual_left_profit", "manual_better_than_plan", "manual_worse_than_plan", "plan_unresolved", "other")),
+            "touch": pick(("take_profit", "stop_loss", "no_plan_touch", "ambiguous_same_candle", "stop_loss")),
+            "later": pick(("take_profit", "stop_loss", "no_plan_touch", "ambiguous_boundary_candle", None, "take_profit", "stop_loss")),
+        }
+    )
+    c = lambda *names: [F.col(n) for n in names]
+    other = {"side": F.when(k % 8 == 0, "none").otherwise(F.col("side")), "priority": F.when(k % 12 == 0, None).otherwise(F.col("priority"))}
+    missing = predicates.missing_fields({"a": F.when(k % 10 != 0, k), "b": F.when(k % 15 == 0, "").otherwise("x")})
+    raw = F.when(k % 3 == 0, '{"a": {"final_pnl": 1, "b": "x"}, "closed_at" : null}').when(k % 3 == 1, '{"a": [{"final_pnl": 1}], "b": "closed_at"}').otherwise('{"a": "final_pnl"}')
+    shares = predicates.normalised([F.when(k % 20 != 0, (k % 5).cast("double")), (k % 4).cast("double"), (k % 3).cast("double")])
+    out = o.select(
+        "k",
+        predicates.limit_plan_problem(*c("side", "price", "entry", "stop", "target", "trg")).alias("problem"),
+        predicates.limit_distance(F.col("side"), F.col("price"), F.nullif(F.col("entry"), F.lit(0.0))).alias("distance"),
+        F.size(missing).alias("missing"),
+        predicates.recommendation_problem({n: F.col(n) for n in other}, other).alias("differs"),
+        predicates.consistency(*c("reason", "seen", "touch", "later")).alias("agreement"),
+        predicates.reconstructed_result(*c("reason", "touch", "later")).alias("result"),
+        shares[0].alias("share"),
+        F.array_join(predicates.keys_in_json(raw, ("final_pnl", "closed_at", "close_price")), ",").alias("later_keys"),
+        predicates.period_of(k % 100, {"development": 30, "calibration": 60, "final_test": 80}).alias("period"),
+    )
+    return rounded(out, 9)
