@@ -37,6 +37,7 @@ def query(sql: str | None = None) -> Callable:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import tapewright.audit_queries  # noqa: F401  (these register their queries here)
     import tapewright.evidence_queries  # noqa: F401
+    import tapewright.library_queries  # noqa: F401
     import tapewright.rule_queries  # noqa: F401
 
     return QUERIES

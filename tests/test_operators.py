@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tapewright import catalog
 from tapewright.functions import probability, scalars
 from tapewright.operators import bars, evidence, outcomes, reports, statistics
-from tapewright.plans import market_rules
+from tapewright.plans import library_rules, market_rules
 from tapewright.sources import market
 from tapewright.streaming import lifecycle
 
@@ -165,3 +165,52 @@ def test_stream_of_operations(spark, tmp_path):
     q.awaitTermination(60)
     got = sorted((r["operation_id"], r["event"], r["status"]) for r in spark.table("moves").collect())
     assert got == [(1, "take_profit", "CLOSED"), (1, "trigger", "OPEN"), (2, "expire", "EXPIRED_UNFILLED")]
+
+
+def test_technical_rules_against_a_recursion(spark):
+    bars = [("s", i, 100 + 7 * math.sin(i / 9) + i % 4, 101.5 + 7 * math.sin(i / 9) + i % 5, 98 + 7 * math.sin(i / 9) - i % 3) for i in range(208)]
+    got = library_rules.technical(spark.createDataFrame(bars, "symbol string, open_ms long, close double, high double, low double"), F.lit("short")).orderBy("open_ms").collect()
+    assert [r["ema_trend"]["status"] for r in got] == ["blocked"] * 205 + ["evaluated"] * 3
+    assert got[204]["ema_trend"]["reason"] == "insufficient_closed_candles_for_ema200_and_slope"
+    for last in (205, 207):
+        seen = bars[last - 205 : last + 1]
+        closes = [b[2] for b in seen]
+
+        def ema(period, values):
+            value = sum(values[:period]) / period
+            for x in values[period:]:
+                value += 2 / (period + 1) * (x - value)
+            return value
+
+        def wilder(values):
+            value = sum(values[:14]) / 14
+            for x in values[14:]:
+                value = (value * 13 + x) / 14
+            return value
+
+        moves = [b - a for a, b in zip(closes[:-1], closes[1:], strict=True)]
+        ranges = [seen[0][3] - seen[0][4]] + [max(b[3] - b[4], abs(b[3] - a[2]), abs(b[4] - a[2])) for a, b in zip(seen[:-1], seen[1:], strict=True)]
+        atr, up, down = wilder(ranges), wilder([max(m, 0) for m in moves]), wilder([max(-m, 0) for m in moves])
+        row = got[last]
+        assert row["rsi_wilder"]["rsi"] == pytest.approx(100 - 100 / (1 + up / down))
+        assert row["ema_trend"]["side_slope"] == pytest.approx(-(ema(50, closes) - ema(50, closes[:-6])) / atr)
+        assert row["ema_trend"]["far"] == pytest.approx(math.log(ema(50, closes) / ema(200, closes)))
+        assert row["atr_extension"]["extension"] == pytest.approx((closes[-1] - ema(20, closes)) / atr)
+
+
+def test_crowding_needs_periods_without_gaps(spark):
+    rows = [("s", i * 60, 1.0 + i % 7) for i in range(62)] + [("t", i * 60 + (60 if i > 30 else 0), 2.0) for i in range(61)] + [("t", -60, None), ("t", -120, 0.0)]
+    df = spark.createDataFrame(rows, "symbol string, open_ms long, ratio double")
+    got = {(r["symbol"], r["open_ms"]): r["crowding"] for r in library_rules.crowding_relative(df, F.lit("long"), 60).collect()}
+    assert len(got) == 123 and got["s", 59 * 60]["reason"] == "insufficient_current_plus_60_crowding_periods"
+    assert got["t", 61 * 60]["reason"] == "gapped_crowding_history"
+    last = got["s", 61 * 60]
+    prior = [1.0 + i % 7 for i in range(1, 61)]
+    assert last["status"] == "evaluated" and last["rank"] == pytest.approx((sum(x < 6 for x in prior) + 0.5 * prior.count(6.0)) / 60)
+
+
+def test_book_imbalance_of_odd_books(spark):
+    rows = [(1, True, 99.0, 2.0), (1, True, 99.0, 5.0), (1, False, 101.0, 1.0), (1, False, 0.0, 9.0), (2, True, 5.0, 1.0), (3, True, 7.0, 1.0), (3, False, 6.0, 1.0)]
+    got = {r["id"]: r["book"] for r in library_rules.book_imbalance(spark.createDataFrame(rows, "id long, bid boolean, price double, qty double"), "id", F.lit("short"), top=(1,)).collect()}
+    assert got[1]["top_1"] == pytest.approx((495 - 101) / 596) and got[1]["side_top_1"] == -got[1]["top_1"] and got[1]["within_10bps"] is None
+    assert [got[k]["status"] for k in (1, 2, 3)] == ["evaluated", "blocked", "blocked"]
