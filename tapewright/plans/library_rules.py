@@ -39,8 +39,8 @@ def technical(bars: DataFrame, side: Column) -> DataFrame:
     """EMA trend, Wilder's RSI and the distance from EMA 20 in ATRs at each bar, from its last 206 bars."""
     df = changes(bars).withColumns({"side": side, "_range": F.first(F.col("high") - F.col("low")).over(back(TECHNICAL_BARS))})
     df = df.withColumns({f"_{c}": F.collect_list(c).over(back(TECHNICAL_BARS)) for c in ("close", "change", "true_range")})
-    # the first bar of the lookback has no close before it
-    moves = F.slice("_change", 2, TECHNICAL_BARS)
+    # the lookback's first bar has no close before it; the series' first has no change, which the list leaves out
+    moves = F.slice("_change", 1 - TECHNICAL_BARS, TECHNICAL_BARS - 1)
     df = df.select(
         "symbol",
         "open_ms",

@@ -192,7 +192,7 @@ def test_technical_rules_against_a_recursion(spark):
         ranges = [seen[0][3] - seen[0][4]] + [max(b[3] - b[4], abs(b[3] - a[2]), abs(b[4] - a[2])) for a, b in zip(seen[:-1], seen[1:], strict=True)]
         atr, up, down = wilder(ranges), wilder([max(m, 0) for m in moves]), wilder([max(-m, 0) for m in moves])
         row = got[last]
-        assert row["rsi_wilder"]["rsi"] == pytest.approx(100 - 100 / (1 + up / down))
+        assert row["rsi_wilder"]["rsi"] == pytest.approx(100 - 100 / (1 + up / down), rel=1e-11)
         assert row["ema_trend"]["side_slope"] == pytest.approx(-(ema(50, closes) - ema(50, closes[:-6])) / atr)
         assert row["ema_trend"]["far"] == pytest.approx(math.log(ema(50, closes) / ema(200, closes)))
         assert row["atr_extension"]["extension"] == pytest.approx((closes[-1] - ema(20, closes)) / atr)
