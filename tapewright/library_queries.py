@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.catalog import _BARS, _CHANGES, HOUR, hourly, query, rounded
+from tapewright.catalog import _BARS, _CHANGES, HOUR, SQL, hourly, query, rounded
 from tapewright.plans import library_rules as L
 from tapewright.rule_queries import _CASES, cases
 
@@ -22,7 +22,7 @@ def flat(df: DataFrame, keys: list[str], traces: dict[str, str]) -> DataFrame:
     return rounded(df.select(*keys, *fields))
 
 
-_COUNTS = ("target_count", "stop_count", "toward", "away")
+_COUNTS = ("target_count", "stop_count", "toward", "away", "pivots", "supports", "resistances", "target_path", "stop_path")
 
 
 def _when(ok: str, fields: dict[str, str], short: str) -> str:
@@ -198,3 +198,61 @@ def waiting_order_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     wait = L.activation_trajectory(col("side"), col("change") / 4, col("median_change"), windows, col("from_ema"), (col("rsi") - 50) / 50)
     roles = L.flow_dual_role(col("side"), {n: col(x) for n, x in _BOTH.items()}, {n: col(x) for n, x in _CONTEXT.items()})
     return flat(cases(spark, sf_dir).select("k", wait.alias("wait"), roles.alias("roles")), ["k"], {"wait": "wait", "roles": "roles"})
+
+
+_PLANNED = """CASE WHEN s > 0 THEN close * 1.5::DOUBLE ELSE close * 0.75::DOUBLE END AS target, CASE WHEN s > 0 THEN close * 0.75::DOUBLE ELSE close * 1.5::DOUBLE END AS stop"""
+_MARKED = "n >= 4 AND nr = 3"
+_UP, _DOWN = "high - greatest(bl, br)", "least(tl, tr) - low"
+_HIGH, _LOW = f"({_MARKED} AND high > greatest(tl, tr))", f"({_MARKED} AND low < least(bl, br))"
+
+
+def _pivot(kind: str, price: str, much: str) -> str:
+    return f"{{'kind': '{kind}', 'n': n, 'price': {price}, 'prominence': {much}}}"
+
+
+def _nearest_level(found: str) -> str:
+    return f"list_min(list_transform({found}, lambda x: {{'distance': abs(ln(x.price / close)), 'n': x.n, 'price': x.price, 'prominence': x.prominence}}))"
+
+
+_STRUCTURE = [("n >= 24", L.FEW_CONTEXT), ("sigma > 0", L.NO_SIGMA), ("len(lv) > 0", L.NO_PIVOTS)]
+_STRUCTURED = {"pivots": "len(lv)", "supports": "len(su)", "resistances": "len(re)", "target_path": "len(ah)", "stop_path": "len(be)", "support": "ns.price", "support_sigmas": "ns.distance / sigma", "resistance": "nr_.price", "resistance_sigmas": "nr_.distance / sigma"}
+_STRUCTURED |= {f"{n}_prominence": f"list_max(list_transform({x}, lambda y: y.prominence)) / atr" for n, x in (("target", "ah"), ("stop", "be"))}
+_ZONED = {"level": "wa.price", "level_sigmas": "wa.distance / sigma", "prominence": "wa.prominence / atr", "target_path": "len(ah)", "stop_path": "len(be)"}
+_OK = "n >= 24 AND sigma > 0 AND len(lv) > 0"
+
+
+@query(
+    f"""WITH {_CHANGES}, a AS (SELECT *, {_SIDE} AS s, sqrt(sum(ret * ret) OVER (PARTITION BY symbol ORDER BY open_ms ROWS 5 PRECEDING)) AS sigma, first(high - low) OVER c AS hl, list(true_range) OVER c AS trs, max(high) OVER l AS tl, max(high) OVER r AS tr, min(low) OVER l AS bl, min(low) OVER r AS br, count(*) OVER r AS nr
+  FROM ch WINDOW c AS (PARTITION BY symbol ORDER BY open_ms ROWS 23 PRECEDING), l AS (PARTITION BY symbol ORDER BY open_ms ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), r AS (PARTITION BY symbol ORDER BY open_ms ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)
+), b AS (SELECT *, {_PLANNED}, {_wilder("list_concat([hl], trs[2:])")} AS atr, CASE WHEN {_HIGH} AND (NOT {_LOW} OR {_UP} >= {_DOWN}) THEN {_pivot("high", "high", _UP)} WHEN {_LOW} THEN {_pivot("low", "low", _DOWN)} END AS pv FROM a
+), d AS (SELECT *, list_filter(coalesce(list(pv) OVER (PARTITION BY symbol ORDER BY open_ms ROWS BETWEEN 20 PRECEDING AND 3 PRECEDING), []), lambda x: x IS NOT NULL) AS lv FROM b
+), e AS (SELECT *, list_filter(lv, lambda x: x.kind = 'low' AND x.price < close) AS su, list_filter(lv, lambda x: x.kind = 'high' AND x.price > close) AS re, list_filter(lv, lambda x: x.kind = CASE WHEN s > 0 THEN 'high' ELSE 'low' END AND x.price > least(close, target) AND x.price < greatest(close, target)) AS ah,
+  list_filter(lv, lambda x: x.kind = CASE WHEN s > 0 THEN 'low' ELSE 'high' END AND x.price > least(close, stop) AND x.price < greatest(close, stop)) AS be FROM d
+), f AS (SELECT *, {_nearest_level("su")} AS ns, {_nearest_level("re")} AS nr_ FROM e), g AS (SELECT *, CASE WHEN s > 0 THEN ns ELSE nr_ END AS wa FROM f)
+SELECT symbol, open_ms, {_status(_STRUCTURE, "structure")}, {_when(_OK, _STRUCTURED, "structure")}, {_status([(_OK, "dependency_not_evaluated")], "zone")}, {_when(_OK, _ZONED, "zone")},
+  CASE WHEN {_OK} THEN CASE WHEN s > 0 THEN 'support' ELSE 'resistance' END END AS zone_level_type, CASE WHEN {_OK} THEN wa IS NOT NULL END AS zone_has_level FROM g"""
+)
+def structural_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pivots of the last 24 bars about a plan at each hourly bar's close."""
+    return flat(_structure(spark, sf_dir), ["symbol", "open_ms"], {"structure": "structure", "zone": "zone"})
+
+
+def _structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    close = F.col("close")
+    bars = hourly(spark, sf_dir).withColumns({"side": bar_side(), "entry": close})
+    long = F.col("side") == "long"
+    near, far = close * 0.75, close * 1.5
+    return L.structural_levels(bars.withColumns({"target": F.when(long, far).otherwise(near), "stop": F.when(long, near).otherwise(far)}), 6)
+
+
+_PULLED = {"trend": "trend_side_far", "slope": "trend_side_slope", "extension": "ext_side_extension", "relative_volume": "volume_relative", "volume_rank": "volume_rank", "flow": "absorb_side_flow", "target_path": "structure_target_path", "stop_path": "structure_stop_path"}
+_ALL = " AND ".join(f"{t}_status = 'evaluated'" for t in ("trend", "ext", "volume", "absorb", "structure"))
+
+
+@query(f"""WITH t AS ({SQL["technical_family"]}), v AS ({SQL["volume_family"]}), st AS ({SQL["structural_levels"]}) SELECT t.symbol, t.open_ms, {_status([(_ALL, "dependency_not_evaluated")], "pullback")}, {_when(_ALL, _PULLED, "pullback")} FROM t JOIN v ON t.symbol = v.symbol AND t.open_ms = v.open_ms JOIN st ON t.symbol = st.symbol AND t.open_ms = st.open_ms""")
+def pullback_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trend, extension, volume, flow and structure of each hourly bar side by side."""
+    bars, key = hourly(spark, sf_dir), ["symbol", "open_ms"]
+    traces = L.technical(bars, bar_side()).join(L.volume_family(bars, 2, bar_side()), key).join(_structure(spark, sf_dir), key)
+    trace = L.pullback(bar_side(), *[F.col(c) for c in ("ema_trend", "atr_extension", "relative_volume", "absorption", "structure")])
+    return flat(traces.select(*key, trace.alias("pullback")), key, {"pullback": "pullback"})

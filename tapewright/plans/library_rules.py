@@ -32,6 +32,9 @@ ZERO_RANGE = "zero_horizon_price_range"
 NO_BOOK = "valid_uncrossed_depth_snapshot_unavailable"
 NO_CLUSTERS = "missing_liquidation_context"
 BAD_GEOMETRY = "invalid_barrier_geometry"
+FEW_CONTEXT = "insufficient_four_horizon_context"
+NO_SIGMA = "non_positive_horizon_volatility"
+NO_PIVOTS = "no_confirmed_pivots_in_four_horizon_context"
 NO_FLOW = "no_flow_or_derivatives_parent_available"
 
 
@@ -201,3 +204,55 @@ def flow_dual_role(side: Column, directional: dict[str, Column], context: dict[s
         outputs |= {f"{name}_activation_": both["activation"], f"{name}_reaction_": both["reaction"]}
     outputs |= {f"{name}_": x for name, x in context.items()}
     return ruled(outputs, [(F.coalesce(*directional.values(), *context.values()).isNotNull(), NO_FLOW)])
+
+
+def marked_pivots(bars: DataFrame, half: int) -> DataFrame:
+    """bars (with n) and each bar's pivot: kind, price and prominence in price; of a bar that is both, the more prominent one."""
+    w = Window.partitionBy("symbol").orderBy("open_ms")
+    sides = (w.rowsBetween(-half, -1), w.rowsBetween(1, half))
+    full = F.count("*").over(w.rowsBetween(-half, half)) == 2 * half + 1
+    tops, bottoms = ([f(c).over(x) for x in sides] for f, c in ((F.max, "high"), (F.min, "low")))
+    df = bars.withColumns({"_cap": F.least(*tops), "_lid": F.greatest(*tops), "_base": F.greatest(*bottoms), "_floor": F.least(*bottoms), "_full": full})
+    high, low = F.col("_full") & (F.col("high") > F.col("_lid")), F.col("_full") & (F.col("low") < F.col("_floor"))
+    up, down = F.col("high") - F.col("_base"), F.col("_cap") - F.col("low")
+    pivot = lambda kind, price, much: F.struct(F.lit(kind).alias("kind"), F.col("n").alias("n"), F.col(price).alias("price"), much.alias("prominence"))
+    found = F.when(high & (~low | (up >= down)), pivot("high", "high", up)).when(low, pivot("low", "low", down))
+    return df.withColumn("pivot", found).drop("_cap", "_lid", "_base", "_floor", "_full")
+
+
+def structural_levels(plans: DataFrame, horizon: int, half: int = 3) -> DataFrame:
+    """Confirmed pivots of the last four horizons about each bar's plan (side, entry, target, stop beside the bar), and what they
+    mean to an order that waits at the entry: a long one wants a support there, a short one a resistance.
+
+    A pivot counts only if all bars that confirm it lie within the context; nearest levels tie to the earlier one.
+    """
+    span = 4 * horizon
+    df = changes(plans).withColumns({"s": sign_of(F.col("side")), "sigma": F.sqrt(F.sum(F.col("ret") * F.col("ret")).over(back(horizon))), "_range": F.first(F.col("high") - F.col("low")).over(back(span)), "_tr": F.collect_list("true_range").over(back(span))})
+    frame = Window.partitionBy("symbol").orderBy("open_ms").rowsBetween(half + 1 - span, -half)
+    df = marked_pivots(df, half).withColumns({"levels": F.collect_list("pivot").over(frame), "atr": wilder_of(F.concat(F.array("_range"), F.slice("_tr", 2, span)), 14)})
+    entry, levels, long = F.col("entry"), F.col("levels"), F.col("s") > 0
+    supports = F.filter(levels, lambda x: (x["kind"] == "low") & (x["price"] < entry))
+    resistances = F.filter(levels, lambda x: (x["kind"] == "high") & (x["price"] > entry))
+    on_way = lambda kind, barrier: F.filter(levels, lambda x: (x["kind"] == kind) & (x["price"] > F.least(entry, barrier)) & (x["price"] < F.greatest(entry, barrier)))
+    nearest = lambda found: F.array_min(F.transform(found, lambda x: F.struct(F.abs(F.ln(x["price"] / entry)).alias("distance"), x["n"].alias("n"), x["price"].alias("price"), x["prominence"].alias("prominence"))))
+    most = lambda found: F.array_max(F.transform(found, lambda x: x["prominence"]))
+    df = df.withColumns({"supports": supports, "resistances": resistances, "ahead": on_way(F.when(long, "high").otherwise("low"), F.col("target")), "behind": on_way(F.when(long, "low").otherwise("high"), F.col("stop"))})
+    df = df.withColumns({"support": nearest(F.col("supports")), "resistance": nearest(F.col("resistances"))})
+    wanted = F.when(long, F.col("support")).otherwise(F.col("resistance"))
+    counts = {"pivots": levels, "supports": F.col("supports"), "resistances": F.col("resistances"), "target_path": F.col("ahead"), "stop_path": F.col("behind")}
+    outputs = {n: F.size(x) for n, x in counts.items()}
+    for n in ("support", "resistance"):
+        outputs |= {f"{n}_": F.col(n)["price"], f"{n}_sigmas_": F.col(n)["distance"] / F.col("sigma")}
+    outputs |= {"target_prominence_": most(F.col("ahead")) / F.col("atr"), "stop_prominence_": most(F.col("behind")) / F.col("atr")}
+    guards = [(F.col("n") >= span, FEW_CONTEXT), (F.col("sigma") > 0, NO_SIGMA), (F.size(levels) > 0, NO_PIVOTS)]
+    df = df.withColumns({"structure": ruled(outputs, guards), "wanted": wanted})
+    at = F.col("wanted")
+    zone = {"level_type_": F.when(long, "support").otherwise("resistance"), "has_level_": at.isNotNull(), "level_": at["price"], "level_sigmas_": at["distance"] / F.col("sigma"), "prominence_": at["prominence"] / F.col("atr"), "target_path": F.size("ahead"), "stop_path": F.size("behind")}
+    return df.withColumn("zone", ruled(zone, [], [F.col("structure")])).select("symbol", "open_ms", "structure", "zone")
+
+
+def pullback(side: Column, trend: Column, extension: Column, volume: Column, absorption: Column, structure: Column) -> Column:
+    """The measures of trend, extension, volume, flow and structure side by side, where all their rules are evaluated."""
+    outputs = {"trend": trend["side_far"], "slope": trend["side_slope"], "extension": extension["side_extension"], "relative_volume": volume["relative"], "volume_rank": volume["rank"]}
+    outputs |= {"flow": sign_of(side) * absorption["flow"], "target_path": structure["target_path"], "stop_path": structure["stop_path"]}
+    return ruled(outputs, [], [trend, extension, volume, absorption, structure])

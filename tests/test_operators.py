@@ -214,3 +214,43 @@ def test_book_imbalance_of_odd_books(spark):
     got = {r["id"]: r["book"] for r in library_rules.book_imbalance(spark.createDataFrame(rows, "id long, bid boolean, price double, qty double"), "id", F.lit("short"), top=(1,)).collect()}
     assert got[1]["top_1"] == pytest.approx((495 - 101) / 596) and got[1]["side_top_1"] == -got[1]["top_1"] and got[1]["within_10bps"] is None
     assert [got[k]["status"] for k in (1, 2, 3)] == ["evaluated", "blocked", "blocked"]
+
+
+def test_structural_levels_against_brute_force(spark):
+    bars = [("s", i, 100 + 9 * math.sin(i * 1.3) + i % 4, 102.5 + 9 * math.sin(i * 1.3) + i % 5, 97.5 + 9 * math.sin(i * 1.3) - i % 3) for i in range(30)]
+    df = spark.createDataFrame(bars, "symbol string, open_ms long, close double, high double, low double")
+    plans = df.withColumns({"side": F.lit("short"), "entry": F.col("close"), "target": F.col("close") * 0.9, "stop": F.col("close") * 1.1})
+    got = library_rules.structural_levels(plans, 4).orderBy("open_ms").collect()
+    assert [r["structure"]["status"] for r in got] == ["blocked"] * 15 + ["evaluated"] * 15
+    for last in range(15, 30):
+        seen, entry = bars[last - 15 : last + 1], bars[last][2]
+        found = []
+        for i in range(3, 13):
+            left, right, (_, _, _, high, low) = seen[i - 3 : i], seen[i + 1 : i + 4], seen[i]
+            ways = []
+            if all(high > b[3] for b in left + right):
+                ways.append((high - max(min(b[4] for b in left), min(b[4] for b in right)), "high", high))
+            if all(low < b[4] for b in left + right):
+                ways.append((min(max(b[3] for b in left), max(b[3] for b in right)) - low, "low", low))
+            if ways:
+                found.append(max(ways, key=lambda w: w[0]))
+        s, z = got[last]["structure"], got[last]["zone"]
+        assert s["pivots"] == len(found)
+        assert s["target_path"] == sum(kind == "low" and entry * 0.9 < p < entry for _, kind, p in found)
+        assert s["stop_path"] == sum(kind == "high" and entry < p < entry * 1.1 for _, kind, p in found)
+        above = [p for _, kind, p in found if kind == "high" and p > entry]
+        assert z["level_type"] == "resistance" and z["level"] == (min(above) if above else None) == s["resistance"]
+
+
+def test_zones_and_roles_of_odd_orders(spark):
+    cluster = F.array(F.struct(F.lit(101.0).alias("price"), F.lit(5.0).alias("notional")))
+    none = cluster.cast("array<struct<price:double,notional:double>>")
+    zone = lambda side, target, stop, above: library_rules.liquidation_zone(F.lit(side), F.lit(100.0), F.lit(target), F.lit(stop), F.lit(0.02), above, F.filter(none, lambda c: F.lit(False)))
+    good = one(spark, zone("long", 103.0, 99.0, cluster))
+    assert good["target_mass"] == 5 and good["stop_count"] == 0 and good["target_share"] == 1 and good["nearest_target"] == 101
+    assert one(spark, zone("long", 100.5, 99.0, cluster))["target_share"] is None
+    assert one(spark, zone("short", 103.0, 99.0, cluster))["reason"] == "invalid_barrier_geometry"
+    assert one(spark, zone("long", 103.0, 99.0, F.when(F.lit(False), cluster)))["reason"] == "missing_liquidation_context"
+    gone = F.lit(None).cast("double")
+    assert one(spark, library_rules.flow_dual_role(F.lit("long"), {"flow": gone}, {"crowd": gone}))["status"] == "blocked"
+    assert one(spark, library_rules.flow_dual_role(F.lit("long"), {"flow": F.lit(0.5)}, {"crowd": gone}))["flow_activation"] == -0.5
