@@ -22,7 +22,7 @@ def flat(df: DataFrame, keys: list[str], traces: dict[str, str]) -> DataFrame:
     return rounded(df.select(*keys, *fields))
 
 
-_COUNTS = ("target_count", "stop_count", "toward", "away", "pivots", "supports", "resistances", "target_path", "stop_path")
+_COUNTS = ("approach_count", "overshoot_count", "target_count", "stop_count", "toward", "away", "pivots", "supports", "resistances", "target_path", "stop_path")
 
 
 def _when(ok: str, fields: dict[str, str], short: str) -> str:
@@ -167,15 +167,34 @@ SELECT k, {_status([("NOT none", L.NO_CLUSTERS), (_ZONE_OK, L.BAD_GEOMETRY)], "z
 )
 def liquidation_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters about each order's entry, counted on the way to its barriers; some orders have none or wrong barriers."""
+    zone = L.liquidation_zone(*[F.col(c) for c in ("side", "entry", "target", "stop")], F.lit(0.0625), F.col("up"), F.col("down"))
+    return flat(_zone_plans(spark, sf_dir).select("k", zone.alias("zone")), ["k"], {"zone": "zone"})
+
+
+def _zone_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, entry, s = F.col("k"), F.col("entry"), F.col("s")
     one = lambda price, n: F.struct(price.alias("price"), n.cast("double").alias("notional"))
     up = F.array(one(entry * (1 + (k % 5 + 1) / 64.0), k % 11), one(entry * (1 + (k % 9 + 1) / 32.0), k % 7), one(entry * (1 + 3 / 256.0), F.lit(2)))
     down = F.array(one(entry * (1 - (k % 4 + 1) / 64.0), k % 13), one(entry * (1 - (k % 7 + 1) / 32.0), k % 5))
     some = k % 37 != 0
     target, stop = entry * (1 + s * 0.0625), entry * (1 - s * 0.03125) * F.when(k % 31 == 0, 2).otherwise(1)
-    c = cases(spark, sf_dir).select("k", "side", "entry", target.alias("target"), stop.alias("stop"), F.when(some, up).alias("up"), F.when(some, down).alias("down"))
-    zone = L.liquidation_zone(F.col("side"), F.col("entry"), F.col("target"), F.col("stop"), F.lit(0.0625), F.col("up"), F.col("down"))
-    return flat(c.select("k", zone.alias("zone")), ["k"], {"zone": "zone"})
+    return cases(spark, sf_dir).select("k", "side", "entry", target.alias("target"), stop.alias("stop"), (entry * (1 + s * (k % 6) / 32.0)).alias("price"), (entry * (1 - s / 32.0)).alias("wait"), (entry * (1 - s / 4.0)).alias("far"), F.when(some, up).alias("up"), F.when(some, down).alias("down"))
+
+
+_WAYS = {"approach": ("own", "-s * (c.price - wait) <= 0 AND -s * (c.price - wait) >= -s * (price - wait)"), "overshoot": ("own", "-s * (c.price - wait) > 0 AND -s * (c.price - wait) <= -s * (far - wait)"), "target": ("other", "-s * (c.price - wait) < 0 AND -s * (c.price - wait) >= -s * (target - wait)")}
+_WAY_OUT = {f"{n}_{f}": x for n in _WAYS for f, x in (("count", f"len({n}_)"), ("mass", f"{n}_m"), ("nearest", f"{n}_n.price"), ("sigmas", f"{n}_n.distance"))} | {"target_share": "target_m / nullif(overshoot_m + target_m, 0)"}
+
+
+@query(
+    f"""WITH {_CASES}, {_ZONE_PLAN}, y AS (SELECT *, entry * (1 + s * (k % 6) / 32.0::DOUBLE) AS price, entry * (1 - s / 32.0::DOUBLE) AS wait, entry * (1 - s / 4.0::DOUBLE) AS far, CASE WHEN s > 0 THEN down ELSE up END AS own, CASE WHEN s > 0 THEN up ELSE down END AS other FROM z
+), x AS (SELECT *, {", ".join(f"list_filter({a}, lambda c: {c}) AS {n}_" for n, (a, c) in _WAYS.items())} FROM y
+), w AS (SELECT *, {", ".join(f"coalesce(list_sum(list_transform({n}_, lambda c: c.notional)), 0) AS {n}_m, {_nearest(f'{n}_', 'wait')} AS {n}_n" for n in _WAYS)} FROM x)
+SELECT k, {_status([("NOT none", L.NO_CLUSTERS)], "path")}, {_when("NOT none", _WAY_OUT, "path")} FROM w"""
+)
+def liquidation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters on each waiting order's approach, overshoot and way to the target."""
+    path = L.liquidation_path(*[F.col(c) for c in ("side", "price", "wait", "target", "far")], F.lit(0.0625), F.col("up"), F.col("down"))
+    return flat(_zone_plans(spark, sf_dir).select("k", path.alias("path")), ["k"], {"path": "path"})
 
 
 _E = "CASE WHEN k % 41 <> 0 THEN CAST(k % 19 - 9 AS DOUBLE) / 16 END"
@@ -256,3 +275,13 @@ def pullback_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     traces = L.technical(bars, bar_side()).join(L.volume_family(bars, 2, bar_side()), key).join(_structure(spark, sf_dir), key)
     trace = L.pullback(bar_side(), *[F.col(c) for c in ("ema_trend", "atr_extension", "relative_volume", "absorption", "structure")])
     return flat(traces.select(*key, trace.alias("pullback")), key, {"pullback": "pullback"})
+
+
+_N = "(volume_status = 'evaluated')::INT + (squeeze_status = 'evaluated')::INT + (absorb_status = 'evaluated')::INT"
+
+
+@query(f"""WITH v AS ({SQL["volume_family"]}) SELECT symbol, {_N} AS evaluated, CASE {_N} WHEN 3 THEN 'evaluated' WHEN 0 THEN 'blocked' ELSE 'partially_evaluated' END AS state, count(*) AS bars FROM v GROUP BY ALL""")
+def family_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many bars of each symbol have all, some or none of the volume rules."""
+    state = L.family_state([F.col(c) for c in ("relative_volume", "compression", "absorption")])
+    return L.volume_family(hourly(spark, sf_dir), 2, bar_side()).groupBy("symbol", state["evaluated"].alias("evaluated"), state["state"].alias("state")).agg(F.count("*").alias("bars"))

@@ -256,3 +256,39 @@ def pullback(side: Column, trend: Column, extension: Column, volume: Column, abs
     outputs = {"trend": trend["side_far"], "slope": trend["side_slope"], "extension": extension["side_extension"], "relative_volume": volume["relative"], "volume_rank": volume["rank"]}
     outputs |= {"flow": sign_of(side) * absorption["flow"], "target_path": structure["target_path"], "stop_path": structure["stop_path"]}
     return ruled(outputs, [], [trend, extension, volume, absorption, structure])
+
+
+def liquidation_path(side: Column, price: Column, entry: Column, target: Column, stop: Column, sigma: Column, above: Column, below: Column) -> Column:
+    """Clusters on the way from the price to a waiting order's entry, from there on to its stop, and to its target.
+
+    Clusters below hold long positions, those above short ones. The entry itself belongs to the approach alone.
+    """
+    long = side == "long"
+    own, other = F.when(long, below).otherwise(above), F.when(long, above).otherwise(below)
+    # distance from the entry against the order's side, so that both sides read alike
+    against = lambda x: -sign_of(side) * (x - entry)
+    summed = {
+        "approach": F.filter(own, lambda c: (against(c["price"]) <= 0) & (against(c["price"]) >= against(price))),
+        "overshoot": F.filter(own, lambda c: (against(c["price"]) > 0) & (against(c["price"]) <= against(stop))),
+        "target": F.filter(other, lambda c: (against(c["price"]) < 0) & (against(c["price"]) >= against(target))),
+    }
+    outputs, mass = {}, {}
+    for name, found in summed.items():
+        mass[name] = F.aggregate(found, F.lit(0.0), lambda acc, c: acc + c["notional"])
+        near = F.array_min(F.transform(found, lambda c: F.struct((F.abs(F.ln(c["price"] / entry)) / sigma).alias("distance"), c["price"].alias("price"))))
+        outputs |= {f"{name}_count": F.size(found), f"{name}_mass": mass[name], f"{name}_nearest_": near["price"], f"{name}_sigmas_": near["distance"]}
+    after = mass["overshoot"] + mass["target"]
+    outputs["target_share_"] = F.when(after > 0, mass["target"] / after)
+    return ruled(outputs, [(above.isNotNull() & below.isNotNull(), NO_CLUSTERS), ((F.least(price, entry, target, stop, sigma) > 0) & side.isin("long", "short"), BAD_GEOMETRY)])
+
+
+def family_state(traces: list[Column]) -> Column:
+    """A family's state: whether all, some or none of its rules are evaluated, and their number."""
+    n = sum((F.when(t["status"] == "evaluated", 1).otherwise(0) for t in traces), F.lit(0))
+    state = F.when(n == len(traces), "evaluated").when(n > 0, "partially_evaluated").otherwise("blocked")
+    return F.struct(state.alias("state"), n.alias("evaluated"))
+
+
+def required_bars(horizon_s: int, interval_s: int) -> int:
+    """Bars that rules against 60 earlier horizons need: 61 horizons of returns, and the bar before them."""
+    return (REFERENCE + 1) * (horizon_s // interval_s) + 1

@@ -254,3 +254,7 @@ def test_zones_and_roles_of_odd_orders(spark):
     gone = F.lit(None).cast("double")
     assert one(spark, library_rules.flow_dual_role(F.lit("long"), {"flow": gone}, {"crowd": gone}))["status"] == "blocked"
     assert one(spark, library_rules.flow_dual_role(F.lit("long"), {"flow": F.lit(0.5)}, {"crowd": gone}))["flow_activation"] == -0.5
+
+
+def test_required_bars():
+    assert library_rules.required_bars(86400, 3600) == 61 * 24 + 1
