@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import langid, license, maxscore, media, mixing, packing, simhash, substring, urlfilter, warc
+from tapewright.llm import filteraudit, langid, license, maxscore, media, mixing, packing, simhash, substring, urlfilter, vectorcodes, warc
 from tapewright.llm.common import table
 
 
@@ -58,7 +58,28 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op11_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.code_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_media, op2_maxscore, op3_pack, op4_rlz, op5_urlfilter, op6_warc, op7_language, op8_simhash, op9_licenses, op10_mix)
+    for f in (
+        op1_media,
+        op2_maxscore,
+        op3_pack,
+        op4_rlz,
+        op5_urlfilter,
+        op6_warc,
+        op7_language,
+        op8_simhash,
+        op9_licenses,
+        op10_mix,
+        op11_vectorcodes,
+        op12_filteraudit,
+    )
 }

@@ -81,4 +81,81 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
 FROM own JOIN firsts USING (digest)
 """
 
-SQL = {"op2_maxscore": OP2, "op4_rlz": OP4, "op5_urlfilter": OP5, "op6_warc": OP6}
+
+
+def _assigned(name: str, book: str) -> str:
+    """Each part's nearest entry of a codebook table (p, e, x), ties to the lower e."""
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT r, p, x, near.d AS d, near.e AS e FROM (
+    SELECT r, t.p, any_value(t.x) AS x,
+           min({{'d': CAST(list_sum(list_transform(range(1, len(t.x) + 1), lambda i: (t.x[i] - b.x[i]) * (t.x[i] - b.x[i]))) AS BIGINT), 'e': b.e}}) AS near
+    FROM parts t JOIN {book} b ON t.p = b.p GROUP BY r, t.p))"""
+
+
+def _updated(name: str, book: str, assigned: str) -> str:
+    """The codebook after a round: means of the parts that chose an entry, rounded down; unused entries stay."""
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM {book} b LEFT JOIN (
+    SELECT p, e, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS x FROM (
+      SELECT p, e, i, CAST(sum(x[i]) AS DOUBLE) AS total, count(*) AS n FROM {assigned}, unnest(range(1, len(x) + 1)) AS t(i) GROUP BY p, e, i)
+    GROUP BY p, e) m ON b.p = m.p AND b.e = m.e)"""
+
+
+OP11 = f"""
+WITH good AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), wide AS (
+  SELECT CAST(ceil(max(len(v)) / 16) AS BIGINT) AS w FROM good
+), parts AS MATERIALIZED (
+  SELECT r, vec_id, p, list_transform(range(1, w + 1), lambda k: coalesce(v[p * w + k], 0)) AS x FROM good, wide, unnest(range(16)) AS t(p)
+), book0 AS MATERIALIZED (
+  SELECT p, e - 1 AS e, x FROM (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) AS e, x FROM parts
+    WHERE r IN (SELECT min(r) FROM good JOIN (SELECT vec_id, min(v) AS v FROM good WHERE vec_id IS NOT NULL GROUP BY vec_id) USING (vec_id, v) GROUP BY vec_id))
+  WHERE e <= 64
+),{_assigned("near0", "book0")},{_updated("book1", "book0", "near0")},{_assigned("near1", "book1")},{_updated("book2", "book1", "near1")},{_assigned("near2", "book2")},
+coded AS (
+  SELECT r, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near2 GROUP BY r
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x[i] AS VARCHAR), ',' ORDER BY p, e, i)) FROM book2, unnest(range(1, len(x) + 1)) AS t(i)) AS codebooks_sha256
+FROM good JOIN coded USING (r)
+"""
+
+OP12 = r"""
+WITH said AS (
+  SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), firsts AS (
+  SELECT text, min(doc_id) AS first FROM texts GROUP BY text
+), flags AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         {'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words), 'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text),
+          'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > first, false)} AS f
+  FROM texts JOIN firsts USING (text) LEFT JOIN said USING (doc_id)
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l
+), orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), bits AS (
+  SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda l: CASE l WHEN 'A' THEN f.A WHEN 'B' THEN f.B WHEN 'C' THEN f.C WHEN 'D' THEN f.D ELSE f.E END) AS failed FROM flags
+), played AS (
+  SELECT part, good, toxic, failed, filter_order, step, substr(filter_order, step, 1) AS own,
+         coalesce(list_min(list_transform(failed, lambda l: instr(filter_order, l))), 6) AS first
+  FROM bits, orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), counts AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, own, count(*) FILTER (first > step) AS kept, count(*) FILTER (first = step) AS removed,
+         count(*) FILTER (first < step AND list_contains(failed, own)) AS redundant, count(*) FILTER (failed = [own]) AS unique_fails,
+         count(*) FILTER (first = step AND good) AS good_lost, count(*) FILTER (first = step AND toxic) AS toxic_lost
+  FROM played GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counts
+"""
+
+SQL = {"op2_maxscore": OP2, "op4_rlz": OP4, "op5_urlfilter": OP5, "op6_warc": OP6, "op11_vectorcodes": OP11, "op12_filteraudit": OP12}
