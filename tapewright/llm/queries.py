@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import filteraudit, langid, license, maxscore, media, mixing, packing, simhash, substring, urlfilter, vectorcodes, warc
+from tapewright.llm import filteraudit, htmltext, langid, license, maxscore, media, mixing, packing, simhash, substring, urlfilter, vectorcodes, warc
 from tapewright.llm.common import table
 
 
@@ -66,6 +66,10 @@ def op12_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,5 +85,6 @@ QUERIES = {
         op10_mix,
         op11_vectorcodes,
         op12_filteraudit,
+        op13_htmltext,
     )
 }

@@ -158,4 +158,18 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 FROM counts
 """
 
-SQL = {"op2_maxscore": OP2, "op4_rlz": OP4, "op5_urlfilter": OP5, "op6_warc": OP6, "op11_vectorcodes": OP11, "op12_filteraudit": OP12}
+#: The tables' pages mark their article, so there the main text is that element's blocks.
+OP13 = r"""
+WITH own AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|<footer>|$)', 1) AS body FROM pages
+), cut AS (
+  SELECT page_id, url, string_split(regexp_replace(regexp_replace(body, '</?(p|h1)>', chr(1), 'g'), '</?b>|<br>', ' ', 'g'), chr(1)) AS blocks FROM own
+), plain AS (
+  SELECT page_id, url, list_filter(list_transform(blocks, lambda x: trim(regexp_replace(
+    replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM cut
+)
+SELECT page_id, url, coalesce(array_to_string(blocks, chr(10) || chr(10)), '') AS text,
+       CAST(length(coalesce(array_to_string(blocks, chr(10) || chr(10)), '')) AS BIGINT) AS n_chars FROM plain
+"""
+
+SQL = {"op2_maxscore": OP2, "op4_rlz": OP4, "op5_urlfilter": OP5, "op6_warc": OP6, "op11_vectorcodes": OP11, "op12_filteraudit": OP12, "op13_htmltext": OP13}
