@@ -3,8 +3,9 @@
 One pass of an Aho-Corasick automaton over the words of a text (ASCII lower case, joined by single spaces) finds the
 base phrases and the further notice phrases. Identifier tags are found by the same automaton over the lower-cased
 text; the expression after a tag is parsed with AND / OR / WITH precedences (WITH binds closest, then AND, then OR) and
-gives the labels it names. The parsed expressions are then evaluated: permissive says whether the labels of PERMISSIVE meet all of a
-text's expressions (null: it has none).
+gives the labels it names. An expression ends with its line. The parsed expressions are then evaluated by whole identifiers (families serve as labels only):
+terms is the most demanding of a text's expressions, of permissive, linking (copyleft with an exception for works that link to it) and other, and
+permissive whether it is permissive (null: no expression).
 
 Null text counts as empty: no words, no labels, score 0. Repeated rows keep one result each; an empty table gives an
 empty result; columns other than doc_id and text are ignored.
@@ -61,11 +62,22 @@ FAMILIES = (
     ("mit", "mit"),
     ("mpl", "mpl"),
 )
-#: Labels whose texts may be used; an expression is permissive if they meet it.
-PERMISSIVE = frozenset(("apache", "bsd", "bsl", "cc-by", "cc0", "isc", "mit", "unlicense"))
+#: Whole identifiers, in lower case, of licences whose terms are permissive. Any other identifier is not.
+PERMISSIVE = frozenset(
+    """0bsd afl-1.1 afl-1.2 afl-2.0 afl-2.1 afl-3.0 apache-1.0 apache-1.1 apache-2.0 artistic-2.0 beerware blueoak-1.0.0
+    bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-2-clause-views bsd-3-clause bsd-3-clause-attribution bsd-3-clause-clear bsd-3-clause-lbnl
+    bsd-3-clause-modification bsd-3-clause-open-mpi bsd-4-clause bsd-4-clause-uc bsd-source-code bsl-1.0 bzip2-1.0.6
+    cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc0-1.0 curl ecl-2.0 fsfap fsful fsfullr ftl hpnd icu ijg intel isc libpng libpng-2.0
+    mit mit-0 mit-advertising mit-cmu mit-feh mit-modern-variant ms-pl mulanpsl-1.0 mulanpsl-2.0 naist-2003 ncsa nist-pd ntp openssl pddl-1.0 php-3.0 php-3.01
+    postgresql psf-2.0 python-2.0 sgi-b-2.0 smlnj spencer-94 tcl unicode-3.0 unicode-dfs-2015 unicode-dfs-2016 unlicense upl-1.0 w3c w3c-20150513
+    wtfpl x11 xnet zlib zlib-acknowledgement zpl-2.0 zpl-2.1""".split()
+)
 #: Exceptions that allow use with works under other terms.
 LINKING = frozenset(("autoconf-exception-2.0", "autoconf-exception-3.0", "bison-exception-2.2", "classpath-exception-2.0", "font-exception-2.0", "gcc-exception-3.1", "llvm-exception"))
 
+#: Terms of expressions, from the least demanding.
+TERMS = ("permissive", "linking", "other")
+
 #: Every byte that no word holds becomes a space, A-Z become a-z; bytes of 128 and over stay.
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
@@ -121,15 +133,32 @@ def parse_expression(tokens: list[str]) -> tuple | None:
 
 
 def satisfied(tree: tuple | str, allowed: frozenset[str] | set[str] = PERMISSIVE) -> bool:
-    """Whether an expression can be met with the allowed labels: OR by either side, AND by both, WITH by its licence or a linking exception."""
+    """Whether an expression can be met with the allowed identifiers: OR by either side, AND by both, WITH by its licence.
+
+    A licence or any later version (+) counts as that version.
+    """
     if isinstance(tree, str):
-        return family(tree) in allowed
+        return tree in allowed or tree.endswith("+") and tree[:-1] in allowed
     op, left, right = tree
     if op == "with":
-        return satisfied(left, allowed) or right in LINKING
+        return satisfied(left, allowed)
     return (any if op == "or" else all)(satisfied(x, allowed) for x in (left, right))
 
 
+def linkable(tree: tuple | str) -> bool:
+    """Whether an expression can be met by permissive licences and ones with a linking exception."""
+    if isinstance(tree, str):
+        return satisfied(tree)
+    op, left, right = tree
+    if op == "with":
+        return satisfied(left) or right in LINKING
+    return (any if op == "or" else all)(linkable(x) for x in (left, right))
+
+
+def terms(tree: tuple | str) -> str:
+    return "permissive" if satisfied(tree) else "linking" if linkable(tree) else "other"
+
+
 def family(identifier: str) -> str:
     """The label of an identifier: its family's, or itself where it has none."""
     return next((label for prefix, label in FAMILIES if identifier.startswith(prefix) and _REST.match(identifier, len(prefix))), identifier.rstrip("+"))
@@ -207,7 +236,7 @@ class Scanner:
             said, tree = expression_after(lower, end + 1)
             if tree is not None:
                 expressions.append(said)
-                met.append(satisfied(tree))
+                met.append(terms(tree))
                 labels.update(family(x) for x in identifiers(tree))
                 evidence += 2
         base_labels = {x for _, x in base}
@@ -221,19 +250,20 @@ class Scanner:
             ",".join(sorted(labels)),
             weight / (weight + 1.0),
             expressions,
-            all(met) if met else None,
+            max(met, key=TERMS.index) if met else None,
+            all(x == "permissive" for x in met) if met else None,
         )
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """Licence evidence of each row of docs: counts and places of base phrases, labels, expressions and a score."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, permissive boolean"
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.bool_()]
+    schema = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, terms string, permissive boolean"
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.string(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
-        names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions", "permissive"]
+        names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions", "terms", "permissive"]
         for b in slices(batches, "text", 16_000_000):
             rows = [scanner.scan(x) for x in utf8_rows(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names)
