@@ -38,6 +38,7 @@ from pyspark.sql.window import Window
 from tapewright.llm.common import slices, stored
 
 SEQUENCE = 1024
+#: Pieces of conversations in a sequence at most.
 MAX_SEGMENTS = 64
 END_ID = 0
 #: Roles whose tokens bear loss in conversations, and the most of such tokens in a sequence.
@@ -172,9 +173,11 @@ def pack(examples: DataFrame, order: list[str], limits: dict[str, int], group_ro
     return examples.select(*columns, key.alias("_group")).groupBy("_group").applyInPandas(run, f"{kinds}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, segments: int = MAX_SEGMENTS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, segments: int = SEQUENCE) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of docs.
 
+    By default a sequence may hold a piece for each of its tokens, so texts of a few tokens fill it.
+
     A piece's first id has no earlier one to predict it from, so a piece of n ids bears loss on n - 1.
     """
     lengths = stored(piece_lengths(docs, tokenizer, sequence), "pack-lengths")
