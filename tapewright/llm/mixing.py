@@ -3,15 +3,15 @@
 Sources in code-point order (null last) have the weights WEIGHTS, repeating. They share all words by weight, up to
 CAP times a source's own words; what lies above is shared by weight again. Each source's documents form a stream of words
 that is cut into blocks of BLOCK words. Output shards of SHARD slots get their counts of the sources by a multinomial draw:
-every slot draws a source by its share of all blocks asked for. Draws leave a source some slots above or below what
+every slot draws a source by its share of all slots asked for. Draws leave a source some slots above or below what
 its target asks for, so the totals are settled at the end: slots above it are left empty, and missing ones follow in a closing shard.
 A source's k-th slot is mapped to a block by a pseudorandom permutation of its block numbers (swap-or-not rounds, another
 permutation for each pass over the source), and blocks are joined by number.
 
 Everything follows from hashes of the data and the seed, so reruns agree. Prefix sums run in three levels over hash buckets of
 documents and groups of buckets, so a source with most of the rows is spread over tasks; rows that repeat are placed as one and
-told apart afterwards. The per-source tables have a row for each source, or for each source and shard; a task holds
-one shard's draws, one source's shards, or the list of sources.
+told apart afterwards. The per-source tables have a row for each source, for each source drawn in a shard, or for each cell of a source's numbers; a task
+holds one cell's draws, one source's shards, or the list of sources. A source's last slot takes only as many words of its block as its target asks for.
 
 Null text has no words: size 0, taken 0. Null sources form one source. Repeated rows and null ids are documents of their own.
 A source without words has target 0. An empty table gives an empty result.
@@ -31,6 +31,8 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCK = 32
 SHARD = 65_536
+#: Numbers in a cell in which draws meet the sources' ranges.
+CELL = 65_536
 ROUNDS = 12
 SEED = 20
 #: Documents in a bucket of the prefix sums, on average, and buckets in a group.
@@ -85,55 +87,67 @@ def placed(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
 
 
 def quotas(sources: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int]:
-    """source_no, blocks, quota, low of each source with words, and the sum of all quotas.
+    """source_no, blocks, quota, last_words, low of each source with words, and the sum of all quotas.
 
-    quota is the number of blocks that a source's target asks for, at most CAP times the blocks it has; low is the
-    sum of the quotas of the sources before.
+    quota is the number of slots in which a source's blocks make up its target, rounded to words: all blocks in every full pass, and in the last pass
+    as many as are needed. Of the last slot's block only the first last_words words are taken, so a source of any size meets its target. The
+    source's last block may be short, so its slot in the last pass counts. low is the sum of the quotas of the sources before.
     """
-    live = sources.where("source_size > 0").select("source_no", F.ceil(F.col("source_size") / block).alias("blocks"), (F.col("target") / F.col("source_size")).alias("rate"))
-    live = live.select("source_no", "blocks", F.round(F.col("rate") * F.col("blocks")).cast("long").alias("quota"))
+    live = sources.where("source_size > 0").select("source_no", "source_size", F.ceil(F.col("source_size") / block).alias("blocks"), F.round("target").cast("long").alias("goal"))
+    live = live.withColumn("turn", F.expr("goal div source_size")).withColumn("rest", F.col("goal") % F.col("source_size"))
+    live = permuted(live.withColumn("block", F.col("blocks") - 1), backward=True)  # block: the short block's slot in the last pass
+    short = F.col("blocks") * block - F.col("source_size")
+    past = F.col("rest") > F.col("block") * block
+    used = F.ceil((F.col("rest") + F.when(past, short).otherwise(0)) / block)
+    live = live.withColumn("used", used)
+    in_last = F.col("rest") - (F.col("used") - 1) * block + F.when(F.col("used") - 1 > F.col("block"), short).otherwise(0)
+    live = live.select("source_no", "blocks", (F.col("turn") * F.col("blocks") + F.col("used")).alias("quota"), F.when(F.col("used") > 0, in_last).otherwise(F.lit(block)).cast("long").alias("last_words"))
     before = Window.partitionBy(F.lit(1)).orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
     live = stored(live.withColumn("low", F.coalesce(F.sum("quota").over(before), F.lit(0))), "mix-quotas")
     return live, live.agg(F.sum("quota")).first()[0] or 0
 
 
 def shard_counts(live: DataFrame, total: int, shard: int = SHARD) -> DataFrame:
-    """shard, source_no, n: a multinomial draw of the slots of each shard, by the sources' shares of all blocks asked for.
+    """shard, source_no, n: a multinomial draw of the slots of each shard, by the sources' shares of all slots asked for.
 
-    Every slot draws a number below the sum of all quotas and falls to the source whose range of numbers holds it.
+    Every slot draws a number below the sum of all quotas and falls to the source whose range of numbers holds it. Numbers and ranges
+    meet in cells of consecutive numbers, so a range is in as many cells as it is long, whatever the number of shards.
     """
     spark = live.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     number = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(max(1, total)))
     draws = spark.range(0, total, 1, tasks).select(F.expr(f"id div {shard}").alias("shard"), number.alias("x"), F.lit(None).cast("int").alias("source_no"))
-    bounds = live.where("quota > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, total - 1) // shard))).alias("shard"), F.col("low").alias("x"), "source_no")
-    walk = Window.partitionBy("shard").orderBy("x", F.col("source_no").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hits = draws.unionByName(bounds).withColumn("hit", F.last("source_no", ignorenulls=True).over(walk)).where("source_no is null")
+    cells = F.explode(F.sequence(F.expr(f"low div {CELL}"), F.expr(f"(low + quota - 1) div {CELL}"))).alias("cell")
+    ranges = live.where("quota > 0").select(F.lit(None).cast("long").alias("shard"), F.col("low").alias("x"), "source_no", cells)
+    walk = Window.partitionBy("cell").orderBy("x", F.col("source_no").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = draws.withColumn("cell", F.expr(f"x div {CELL}")).unionByName(ranges)
+    hits = met.withColumn("hit", F.last("source_no", ignorenulls=True).over(walk)).where("source_no is null")
     return hits.groupBy("shard", F.col("hit").alias("source_no")).agg(F.count("*").alias("n"))
 
 
 def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """shard, source_no, slot (the source's running number), turn (pass over the source) and block of every output slot."""
+    """shard, source_no, slot (the source's running number), turn (pass over the source), block and words (taken of the block) of every output slot."""
     live, total = quotas(sources, block)
     counts = stored(shard_counts(live, total, shard), "mix-counts")
     by_shard = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("first", F.coalesce(F.sum("n").over(by_shard), F.lit(0)))
-    drawn = counts.join(live, "source_no").select("shard", "source_no", "blocks", "first", F.least(F.col("n"), F.col("quota") - F.col("first")).alias("n"))
+    drawn = counts.join(live, "source_no").select("shard", "source_no", "blocks", "quota", "last_words", "first", F.least(F.col("n"), F.col("quota") - F.col("first")).alias("n"))
     had = counts.groupBy("source_no").agg(F.sum("n").alias("had"))
     # what the draws fall short of a source's quota makes up a closing shard
     short = live.join(had, "source_no", "left").withColumn("first", F.coalesce("had", F.lit(0)))
-    closing = short.select(F.lit(-(-total // shard)).cast("long").alias("shard"), "source_no", "blocks", "first", (F.col("quota") - F.col("first")).alias("n"))
+    closing = short.select(F.lit(-(-total // shard)).cast("long").alias("shard"), "source_no", "blocks", "quota", "last_words", "first", (F.col("quota") - F.col("first")).alias("n"))
     parts = drawn.unionByName(closing).where("n > 0")
     # stretches of a shard's length at most, spread over tasks before they become slots; a stated number of partitions is not coalesced
     parts = parts.withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {shard}")))).withColumn("at", F.col("first") + F.col("cut") * shard)
     tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = parts.repartition(tasks, "source_no", "shard", "cut").withColumn("slot", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + shard, F.col("first") + F.col("n")) - 1)))
-    dealt = dealt.select("shard", "source_no", "slot", "blocks", F.expr("slot div blocks").alias("turn"), (F.col("slot") % F.col("blocks")).alias("block"))
+    words = F.when(F.col("slot") == F.col("quota") - 1, F.col("last_words")).otherwise(F.lit(block)).alias("words")
+    dealt = dealt.select("shard", "source_no", "slot", "blocks", F.expr("slot div blocks").alias("turn"), (F.col("slot") % F.col("blocks")).alias("block"), words)
     return permuted(dealt).drop("blocks")
 
 
-def permuted(df: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Replace block by its image under a permutation of 0 .. blocks - 1 that source_no and turn select.
+def permuted(df: DataFrame, rounds: int = ROUNDS, backward: bool = False) -> DataFrame:
+    """Replace block by its image (backward: by what it is the image of) under a permutation of 0 .. blocks - 1 that source_no and turn select.
 
     In each round every number has a partner (a keyed reflection), and a keyed bit of the larger of the two decides
     whether they swap; both see the same bit, so each round is a permutation, and so are all together.
@@ -144,28 +158,35 @@ def permuted(df: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         return F.when(swap, partner).otherwise(now)
 
     # a fold: rounds written one after another would repeat the expression of each in the next
-    return df.withColumn("block", F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), F.col("block"), step))
+    order = F.sequence(F.lit(rounds - 1), F.lit(0), F.lit(-1)) if backward else F.sequence(F.lit(0), F.lit(rounds - 1))
+    return df.withColumn("block", F.aggregate(order, F.col("block"), step))
 
 
 def pieces(places: DataFrame, block: int = BLOCK) -> DataFrame:
-    """source_no, block, at, low, high: the words low .. high - 1 (of its own) that the document at a place has in a block."""
+    """source_no, block, ahead, at, low, high: the words low .. high - 1 (of its own) that the document at a place has in a block, behind ahead others of it."""
     end = F.col("at") + F.col("size")
     out = places.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))))
     return out.select(
         "source_no",
         "block",
+        F.greatest(F.col("at") - F.col("block") * block, F.lit(0)).alias("ahead"),
         "at",
         (F.greatest(F.col("at"), F.col("block") * block) - F.col("at")).alias("low"),
         (F.least(end, (F.col("block") + 1) * block) - F.col("at")).alias("high"),
     )
 
 
+def _within() -> Column:
+    """How many of a piece's words are among the first words of its block."""
+    return F.greatest(F.lit(0), F.least(F.col("high") - F.col("low"), F.col("words") - F.col("ahead")))
+
+
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of each row of docs."""
     places, sources = placed(docs)
     # written out: the planner would take the slots' size from the few rows that they come from, and broadcast them
-    times = stored(slots(sources).groupBy("source_no", "block").agg(F.count("*").alias("times")), "mix-times")
-    taken = pieces(places).join(times, ["source_no", "block"]).groupBy("source_no", "at").agg(F.sum((F.col("high") - F.col("low")) * F.col("times")).alias("taken"))
+    times = stored(slots(sources).groupBy("source_no", "block", "words").agg(F.count("*").alias("times")), "mix-times")
+    taken = pieces(places).join(times, ["source_no", "block"]).groupBy("source_no", "at").agg(F.sum(_within() * F.col("times")).alias("taken"))
     out = places.join(taken, ["source_no", "at"], "left").join(sources.select("source_no", "source_size", "target"), "source_no")
     return out.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"))
 
@@ -178,8 +199,9 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """
     places, sources = placed(docs)
     # written out: the planner would take the slots' size from the few rows that they come from, and broadcast them
-    chosen = stored(slots(sources).select("source_no", "block", "turn"), "mix-slots")
-    runs = pieces(places).join(chosen, ["source_no", "block"]).groupBy("source_no", "at", "turn").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("runs"), F.sum(F.col("high") - F.col("low")).alias("n"))
+    chosen = stored(slots(sources).select("source_no", "block", "turn", "words"), "mix-slots")
+    met = pieces(places).join(chosen, ["source_no", "block"]).withColumn("high", F.col("low") + _within()).where("high > low")
+    runs = met.groupBy("source_no", "at", "turn").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("runs"), F.sum(F.col("high") - F.col("low")).alias("n"))
     named = places.where("size > 0").join(runs, ["source_no", "at"]).select("doc_id", "th", "source_no", "size", "runs", "n")
     texts = docs.select(row_but_text(docs), "text", F.col("doc_id").alias("id"), text_hash().alias("hash"), F.col("source").alias("named"))
     texts = texts.join(sources.select("source", F.col("source_no").alias("no")), texts.named.eqNullSafe(F.col("source"))).select("row", "text", "id", "hash", "no")
