@@ -4,8 +4,8 @@ Linear models, one for each language family against the rest, first predict the
 machines then separate the languages within it. Features are hashed character n-grams (1 to 4 letters, words padded by a space) of the whole lower-cased
 text; a model's value is the mean of its weights over a text's n-grams, so texts of any length are scored in one pass.
 
-Training takes a bounded sample: TRAIN_ROWS rows in all, dealt evenly to all languages (one row each where there are more), of each those
-with the smallest hash of doc_id; so its size never follows the corpus. Their n-grams are counted in tasks, so the driver gets
+Training takes a bounded sample: TRAIN_ROWS rows in all, dealt evenly to the LANGUAGES commonest values of lang (ties: in their order), of each those
+with the smallest hash of doc_id; so neither its size nor the model's follows the corpus, even if lang holds junk. Rarer values are not learned. Their n-grams are counted in tasks, so the driver gets
 counts of at most 3 * BUCKETS buckets a row, however long the texts. Everything else covers all rows. Listed families bound the number of language
 pairs, and an unlisted language is one more family, so a model has a column for each family and some 140 for pairs.
 
@@ -36,6 +36,8 @@ FAMILIES = {
     "slavic": ["be", "bg", "bs", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"],
 }
 TRAIN_ROWS = 1000
+#: Values of lang that are learned at most; known languages of web corpora are fewer.
+LANGUAGES = 250
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3, 4)
 EPOCHS = 12
@@ -201,11 +203,12 @@ def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[bytes,
     """The bounded sample, as shares of n-grams: ids are chosen without their texts, then only the chosen texts are read."""
     usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     usable = usable.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    rows = max(1, rows // max(1, usable.select("lang").distinct().count()))
+    common = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(min(rows, LANGUAGES)).collect()]
+    usable, rows = usable.where(F.col("lang").isin(common)), max(1, rows // max(1, len(common)))
     mixed = F.xxhash64(F.col("doc_id").cast("string"))
     w = Window.partitionBy("lang").orderBy(mixed, "doc_id")
     chosen = usable.select("lang", "doc_id").withColumn("n", F.row_number().over(w)).where(F.col("n") <= rows).select("doc_id").distinct()
-    # at most TRAIN_ROWS ids, or one for each language
+    # at most TRAIN_ROWS ids
     picked = usable.join(F.broadcast(chosen), "doc_id", "left_semi")
     sample = picked.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.*")
 
