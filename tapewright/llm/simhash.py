@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tapewright.llm.common import WORD_PATTERN, row_but_text, row_columns, slices, splitmix, stored, utf8_rows
 from tapewright.llm.substring import rolling, word_hashes
@@ -221,8 +221,9 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(rolling(words, min(size, len(words)), 0x9E3779B97F4A7C15))
 
 
-def content_hash(words: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(words.tobytes(), SEED)
+def content_hash(lowered: bytes) -> bytes:
+    """128 bits that stand for a text's words."""
+    return xxhash.xxh3_128_digest(b" ".join(lowered.split()), SEED)
 
 
 def sketch(words: np.ndarray, size: int) -> tuple[int, bytes, np.ndarray]:
@@ -244,7 +245,7 @@ def sketch(words: np.ndarray, size: int) -> tuple[int, bytes, np.ndarray]:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, content (hash of the lower-cased words), fp, sig, bands of each row of docs that has a word."""
+    """doc_id, content (128-bit hash of the lower-cased words), fp, sig, bands of each row of docs that has a word."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "content", "fp", "sig", "bands"]
 
@@ -253,15 +254,17 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             for b in slices(batches, "text"):
                 at, rows = [], []
                 for i, text in enumerate(utf8_rows(b.column("text"))):
-                    words = word_hashes(text.lower())
+                    lowered = text.lower()
+                    words = word_hashes(lowered)
                     if len(words):
                         at.append(i)
-                        rows.append((content_hash(words), *sketch(words, size)))
-                signed = [pa.array(np.array([r[j] for r in rows], np.uint64).view(np.int64)) for j in (0, 1)]
+                        rows.append((content_hash(lowered), *sketch(words, size)))
+                contents, sigs = (pa.array([r[j] for r in rows], pa.binary()) for j in (0, 2))
+                fps = pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64))
                 bands = pa.array([r[3].view(np.int64) for r in rows], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *signed, pa.array([r[2] for r in rows], pa.binary()), bands], names)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), contents, fps, sigs, bands], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, content long, fp long, sig binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, content binary, fp long, sig binary, bands array<long>")
 
 
 def estimate_floor(similarity: float) -> float:
@@ -275,7 +278,7 @@ def group_links(group: pa.Table, similarity: float) -> list[tuple[int, int]]:
 
     Fingerprints and sketches only prune. Where the group has shingles, their exact similarity decides.
     """
-    ids, fps = group["content"].to_numpy(), group["fp"].to_numpy().view(np.uint64)
+    ids, fps = group["no"].to_numpy(), group["fp"].to_numpy().view(np.uint64)
     sigs = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(-1, SKETCH)
     floor, exact = estimate_floor(similarity), "shingles" in group.column_names
     if exact:
@@ -331,7 +334,7 @@ def links_by(dealt: DataFrame, key: str, similarity: float) -> DataFrame:
         e = np.array(sorted(found), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
-    return dealt.repartition(key, "part").sortWithinPartitions(key, "part", "content").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(key, "part").sortWithinPartitions(key, "part", "no").mapInArrow(run, "a long, b long").distinct()
 
 
 def _parts(n: Column, most: int) -> Column:
@@ -340,30 +343,31 @@ def _parts(n: Column, most: int) -> Column:
 
 
 def in_pairs(df: DataFrame, key: str) -> DataFrame:
-    """content, key, part: rows of df (content, key, parts) once for each pair of parts that theirs is in, so any two rows of a key meet."""
-    own, zero = F.pmod(F.xxhash64("content"), F.col("parts")), F.lit(0).cast("long")
+    """no, key, part: rows of df (no, key, parts) once for each pair of parts that theirs is in, so any two rows of a key meet."""
+    own, zero = F.pmod(F.xxhash64("no"), F.col("parts")), F.lit(0).cast("long")
     others = F.when(F.col("parts") == 1, F.array(zero)).otherwise(F.filter(F.sequence(zero, F.col("parts") - 1), lambda q: q != own))
-    return df.select("content", key, F.explode(F.transform(others, lambda q: F.least(own, q) * F.col("parts") + F.greatest(own, q))).alias("part"))
+    return df.select("no", key, F.explode(F.transform(others, lambda q: F.least(own, q) * F.col("parts") + F.greatest(own, q))).alias("part"))
 
 
 def shingle_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """content, class, n (distinct shingles) and shingles (their sorted hashes) of each row of members (content, first, class)."""
-    asked = docs.join(members.select(F.col("first").alias("doc_id"), "content", "class"), "doc_id").select("content", "class", "text")
+    """no, class, n (distinct shingles) and shingles (their sorted hashes) of each row of members (no, content, first, class)."""
+    asked = docs.join(members.select(F.col("first").alias("doc_id"), "no", "content", "class"), "doc_id").select("no", "content", "class", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in slices(batches, "text"):
                 at, sets = [], []
                 for i, (text, content) in enumerate(zip(utf8_rows(b.column("text")), b.column("content").to_pylist(), strict=True)):
-                    words = word_hashes(text.lower())
+                    lowered = text.lower()
+                    words = word_hashes(lowered)
                     # rows of one doc_id may have different texts
-                    if len(words) and np.uint64(content_hash(words)).astype(np.int64) == content:
+                    if len(words) and content_hash(lowered) == content:
                         at.append(i)
                         sets.append(shingles(words, size))
                 take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("content").take(take), b.column("class").take(take), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["content", "class", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column("no").take(take), b.column("class").take(take), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["no", "class", "n", "shingles"])
 
-    return asked.mapInArrow(run, "content long, class long, n long, shingles binary").dropDuplicates(["content"])
+    return asked.mapInArrow(run, "no long, class long, n long, shingles binary").dropDuplicates(["no"])
 
 
 def classed_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -378,23 +382,26 @@ def classed_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tu
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     known = stored(sketches(docs, size), "near-sketches")
     ids = known.select("doc_id", "content").distinct()
-    texts = stored(ids.groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "near-texts")
+    # a text's number is fixed once it is written, and only tells texts apart; no result depends on it
+    numbered = ids.groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).withColumn("no", F.monotonically_increasing_id())
+    texts = stored(numbered, "near-texts")
     # one row of each text; both columns are hashed, so copies of one text are dealt out
-    single = stored(known.join(texts.select("content", F.col("first").alias("doc_id")), ["content", "doc_id"], "left_semi").dropDuplicates(["content", "doc_id"]), "near-single")
-    keys = single.select("content", F.explode("bands").alias("band")).distinct()
+    single = known.join(texts.select("content", F.col("first").alias("doc_id"), "no"), ["content", "doc_id"]).dropDuplicates(["content", "doc_id"])
+    single = stored(single.select("no", "fp", "sig", "bands"), "near-single")
+    keys = single.select("no", F.explode("bands").alias("band")).distinct()
     shared = stored(keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
-    met = stored(in_pairs(keys.join(shared, "band").select("content", "band", _parts(F.col("n"), BUCKET_ROWS).alias("parts")), "band"), "near-met")
-    marks = stored(single.join(met.select("content").distinct(), "content", "left_semi").select("content", "fp", "sig"), "near-marks")
-    loose = stored(components(links_by(met.join(marks, "content").select("content", "band", "part", "fp", "sig"), "band", similarity)), "near-loose")
-    placed = texts.join(loose, texts.content == loose.node, "left").select("content", "first", F.coalesce("root", "content").alias("class"))
+    met = stored(in_pairs(keys.join(shared, "band").select("no", "band", _parts(F.col("n"), BUCKET_ROWS).alias("parts")), "band"), "near-met")
+    marks = stored(single.join(met.select("no").distinct(), "no", "left_semi").select("no", "fp", "sig"), "near-marks")
+    loose = stored(components(links_by(met.join(marks, "no").select("no", "band", "part", "fp", "sig"), "band", similarity)), "near-loose")
+    placed = texts.join(loose, texts.no == loose.node, "left").select("no", "content", "first", F.coalesce("root", "no").alias("class"))
     members = placed.join(loose.select(F.col("root").alias("class")).distinct(), "class", "left_semi")
     sets = stored(shingle_sets(docs, members, size), "near-shingles")
     classes = sets.groupBy("class").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles_in"))
     parts = F.greatest(_parts(F.col("texts"), BUCKET_ROWS), F.least("texts", _parts(F.col("shingles_in"), CLASS_SHINGLES)))
-    dealt = in_pairs(sets.select("content", "class").join(classes, "class").select("content", "class", parts.alias("parts")), "class")
-    edges = links_by(dealt.join(sets.select("content", "shingles"), "content").join(marks, "content").select("content", "class", "part", "fp", "sig", "shingles"), "class", similarity)
+    dealt = in_pairs(sets.select("no", "class").join(classes, "class").select("no", "class", parts.alias("parts")), "class")
+    edges = links_by(dealt.join(sets.select("no", "shingles"), "no").join(marks, "no").select("no", "class", "part", "fp", "sig", "shingles"), "class", similarity)
     roots = components(edges)
-    classed = texts.join(roots, texts.content == roots.node, "left").select("content", "first", "n", F.coalesce("root", "content").alias("root"))
+    classed = texts.join(roots, texts.no == roots.node, "left").select("content", "first", "n", F.coalesce("root", "no").alias("root"))
     least = classed.groupBy("root").agg(F.min(F.struct("first", "content")).alias("k"), F.sum("n").alias("members"))
     named = classed.join(least, "root").select("content", "first", F.col("k.first").alias("keeper"), F.col("k.content").alias("keeper_content"), "members")
     return ids, stored(named, "near-classes")
@@ -432,9 +439,8 @@ def with_content(rows: DataFrame) -> DataFrame:
     """rows (row, text, id; with a word each) with content, the hash of the lower-cased words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for b in slices(batches, "text"):
-                hashes = np.array([content_hash(word_hashes(x.lower())) for x in utf8_rows(b.column("text"))], np.uint64)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hashes.view(np.int64))], [*b.schema.names, "content"])
+        for b in slices(batches, "text"):
+            hashes = [content_hash(x.lower()) for x in utf8_rows(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hashes, pa.binary())], [*b.schema.names, "content"])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("content", LongType())]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("content", BinaryType())]))
