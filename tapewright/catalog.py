@@ -16,6 +16,7 @@ from tapewright.operators import indicators as I
 from tapewright.operators import joins, levels, outcomes, reports, statistics
 from tapewright.plans import rules
 from tapewright.sources.market import trades_of_events
+from tapewright.storage import stored
 
 HOUR = 3_600_000
 DAY = 24 * HOUR
@@ -37,6 +38,7 @@ def query(sql: str | None = None) -> Callable:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import tapewright.audit_queries  # noqa: F401  (these register their queries here)
     import tapewright.evidence_queries  # noqa: F401
+    import tapewright.fitting_queries  # noqa: F401
     import tapewright.library_queries  # noqa: F401
     import tapewright.rule_queries  # noqa: F401
 
@@ -68,8 +70,8 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.rollup_trades(trades(spark, sf_dir), HOUR)
 
 
-def plans_of(bars: DataFrame) -> DataFrame:
-    """A plan at the close of every bar, long and short by turns."""
+def plans_of(bars: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A plan at the close of every bar, long and short by turns; keep names columns of bars to carry on."""
     long = F.pmod(F.col("open_ms") / HOUR, F.lit(2)) == 0
     near, far = F.col("close") * 0.9, F.col("close") * 1.5
     return bars.select(
@@ -80,6 +82,7 @@ def plans_of(bars: DataFrame) -> DataFrame:
         F.col("close").alias("entry"),
         F.when(long, near).otherwise(far).alias("stop"),
         F.when(long, far).otherwise(near).alias("target"),
+        *keep,
     )
 
 
@@ -447,7 +450,7 @@ def nearest_analogs(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(least(CASE WHEN side = 'long' THEN bottom / entry - 1 ELSE 1 - top / entry END * 100, CASE WHEN top IS NULL THEN NULL ELSE 0 END), 6) AS mae, last_close FROM touched"""
 )
 def first_touch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = hourly(spark, sf_dir)
+    bars = stored(hourly(spark, sf_dir), "bars")
     df = outcomes.first_touch(plans_of(bars), bars, DAY)
     return rounded(df).withColumns({c: F.when(F.col("n_bars") > 0, F.col(c)) for c in ("mfe", "mae")})
 
@@ -458,7 +461,7 @@ def first_touch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " FROM touched"
 )
 def nested_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = hourly(spark, sf_dir)
+    bars = stored(hourly(spark, sf_dir), "bars")
     return outcomes.nested_labels(plans_of(bars), bars, [4 * HOUR, 12 * HOUR, 24 * HOUR])
 
 
@@ -469,7 +472,7 @@ def nested_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT plan_id, direction, step, round(move, 6) AS level FROM t WHERE move > top"""
 )
 def excursion_frontiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = hourly(spark, sf_dir)
+    bars = stored(hourly(spark, sf_dir), "bars")
     return rounded(outcomes.frontiers(plans_of(bars), bars, DAY))
 
 
@@ -586,13 +589,25 @@ _FP = (
 )
 
 
+PATH_FEATURES = ("realised_variance", "displacement", "variation", "efficiency", "horizon_volume")
+
+
+def moved_plans(bars: DataFrame) -> DataFrame:
+    """Plans of bars whose last day has moved, with the day's path features and sigma: one window over the bars, no join."""
+    moved = I.path_features(bars, keep=("close", "close_ms")).where("realised_variance > 0")
+    return plans_of(moved, PATH_FEATURES).withColumn("sigma", F.sqrt("realised_variance"))
+
+
+def with_first_passage(plans: DataFrame) -> DataFrame:
+    """plans (with sigma) and the barriers' log distances up and down, p_tp, p_sl, p_expiry."""
+    up, down = scalars.log_distances(F.col("side"), F.col("entry"), F.col("stop"), F.col("target"))
+    known = plans.withColumn("up", up).withColumn("down", down)
+    return known.withColumn("_p", probability.double_barrier(F.col("up"), F.col("down"), F.col("sigma"))).select("*", "_p.*").drop("_p")
+
+
 def first_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """plan_id, symbol, at_ms, p_tp, p_sl, p_expiry of every plan whose last day has moved."""
-    bars = hourly(spark, sf_dir)
-    plans = plans_of(bars).withColumn("open_ms", F.col("at_ms") - HOUR + 1)
-    known = I.path_features(bars).where("realised_variance > 0").select("symbol", "open_ms", F.sqrt("realised_variance").alias("sigma"))
-    up, down = scalars.log_distances(F.col("side"), F.col("entry"), F.col("stop"), F.col("target"))
-    return plans.join(known, ["symbol", "open_ms"]).select("plan_id", "symbol", "at_ms", "side", "sigma", probability.double_barrier(up, down, F.col("sigma")).alias("p")).select("plan_id", "symbol", "at_ms", "side", "sigma", "p.*")
+    return with_first_passage(moved_plans(hourly(spark, sf_dir))).select("plan_id", "symbol", "at_ms", "side", "sigma", "p_tp", "p_sl", "p_expiry")
 
 
 @query(f"WITH {_FP} SELECT plan_id, round(p_tp, 6) AS p_tp, round(p_sl, 6) AS p_sl, round(p_expiry, 6) AS p_expiry FROM probs")
@@ -623,9 +638,11 @@ _EVAL = (
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = hourly(spark, sf_dir)
-    labels = outcomes.first_touch(plans_of(bars), bars, DAY).where("label not in ('ambiguous', 'unresolved')").select("plan_id", "label")
-    return statistics.losses(first_passage(spark, sf_dir).join(labels, "plan_id"))
+    """Plans with first-passage probabilities, a label and losses: bars are built once, and plans carry their probabilities to the label."""
+    bars = stored(hourly(spark, sf_dir), "bars")
+    plans = with_first_passage(moved_plans(bars))
+    out = outcomes.first_touch(plans, bars, DAY, ("symbol", "at_ms", "side", "sigma", "p_tp", "p_sl", "p_expiry"))
+    return statistics.losses(out.where("label not in ('ambiguous', 'unresolved')"))
 
 
 @query(f"WITH {_EVAL} SELECT symbol, side, count(*) AS n, round(avg(brier), 5) AS brier, round(avg(log_loss), 5) AS log_loss FROM scored GROUP BY GROUPING SETS ((symbol), (side), ())")

@@ -67,22 +67,31 @@ def softmax_offsets(p: list[Column], offsets: list[Column]) -> list[Column]:
     return [x / mass for x in moved]
 
 
+def interval_hazards(up: Column, down: Column, sigma: Column, intervals: int = 24) -> Column:
+    """An array of struct(tp, sl, none): in each of equal intervals, which barrier a path that is still between them touches first."""
+    curve = F.transform(F.sequence(F.lit(0), F.lit(intervals)), lambda i: double_barrier(up, down, sigma, i / F.lit(float(intervals))))
+
+    def one(grid: Column, i: Column) -> Column:
+        before, after = F.element_at(grid, i), F.element_at(grid, i + 1)
+        alive = before["p_expiry"]
+        tp = F.when(alive > 1e-10, (after["p_tp"] - before["p_tp"]) / alive).otherwise(0.0)
+        sl = F.when(alive > 1e-10, (after["p_sl"] - before["p_sl"]) / alive).otherwise(0.0)
+        return F.struct(F.greatest(tp, F.lit(0.0)).alias("tp"), F.greatest(sl, F.lit(0.0)).alias("sl"), F.greatest(1 - tp - sl, F.lit(0.0)).alias("none"))
+
+    return let(curve, lambda grid: F.transform(F.sequence(F.lit(1), F.lit(intervals)), lambda i: one(grid, i)))
+
+
 def competing_risks(up: Column, down: Column, sigma: Column, eta_tp: Column, eta_sl: Column, intervals: int = 24) -> Column:
     """struct(p_tp, p_sl, p_expiry) after evidence: each interval's cause-specific hazards from the baseline curve, moved by log-odds
     eta, then cumulative incidence."""
-    curve = F.transform(F.sequence(F.lit(0), F.lit(intervals)), lambda i: double_barrier(up, down, sigma, i / F.lit(float(intervals))))
     start = F.struct(F.lit(0.0).alias("tp"), F.lit(0.0).alias("sl"), F.lit(1.0).alias("alive"))
 
-    def step(grid: Column, acc: Column, i: Column) -> Column:
-        before, after = F.element_at(grid, i), F.element_at(grid, i + 1)
-        alive = before["p_expiry"]
-        h_tp = F.when(alive > 1e-10, (after["p_tp"] - before["p_tp"]) / alive).otherwise(0.0)
-        h_sl = F.when(alive > 1e-10, (after["p_sl"] - before["p_sl"]) / alive).otherwise(0.0)
-        w_tp, w_sl, w_no = F.greatest(h_tp, F.lit(0.0)) * F.exp(eta_tp), F.greatest(h_sl, F.lit(0.0)) * F.exp(eta_sl), F.greatest(1 - h_tp - h_sl, F.lit(0.0))
-        mass = w_tp + w_sl + w_no
-        return F.struct((acc["tp"] + acc["alive"] * w_tp / mass).alias("tp"), (acc["sl"] + acc["alive"] * w_sl / mass).alias("sl"), (acc["alive"] * w_no / mass).alias("alive"))
+    def step(acc: Column, h: Column) -> Column:
+        w_tp, w_sl = h["tp"] * F.exp(eta_tp), h["sl"] * F.exp(eta_sl)
+        mass = w_tp + w_sl + h["none"]
+        return F.struct((acc["tp"] + acc["alive"] * w_tp / mass).alias("tp"), (acc["sl"] + acc["alive"] * w_sl / mass).alias("sl"), (acc["alive"] * h["none"] / mass).alias("alive"))
 
-    out = let(curve, lambda grid: F.aggregate(F.sequence(F.lit(1), F.lit(intervals)), start, lambda acc, i: step(grid, acc, i)))
+    out = F.aggregate(interval_hazards(up, down, sigma, intervals), start, step)
     return let(out, lambda o: F.struct(o["tp"].alias("p_tp"), o["sl"].alias("p_sl"), o["alive"].alias("p_expiry")))
 
 

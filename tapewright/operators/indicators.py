@@ -88,8 +88,8 @@ def recursive_indicators(bars: DataFrame, lookback: int = 60, period: int = 14)
     )
 
 
-def path_features(bars: DataFrame, horizon: int = 24) -> DataFrame:
-    """Realised variance, displacement, variation and signed efficiency of the last horizon returns, and the horizon's volume."""
+def path_features(bars: DataFrame, horizon: int = 24, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Realised variance, displacement, variation and signed efficiency of the last horizon returns, and the horizon's volume; keep names columns of bars to carry on."""
     frame = back(horizon)
     moved, path = F.sum("ret").over(frame), F.sum(F.abs("ret")).over(frame)
     return changes(bars).select(
@@ -101,6 +101,7 @@ def path_features(bars: DataFrame, horizon: int = 24) -> DataFrame:
         path.alias("variation"),
         F.when(path > 0, moved / path).alias("efficiency"),
         F.sum("volume").over(frame).alias("horizon_volume"),
+        *keep,
     ).where(F.col("n") > horizon)
 
 
