@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tapewright.functions import probability, scalars
 from tapewright.operators import bars as B
 from tapewright.operators import indicators as I
-from tapewright.operators import joins, levels, outcomes, reports, statistics
+from tapewright.operators import analogs, joins, levels, outcomes, reports, statistics
 from tapewright.plans import rules
 from tapewright.sources.market import trades_of_events
 from tapewright.storage import stored
@@ -37,6 +37,7 @@ def query(sql: str | None = None) -> Callable:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import tapewright.audit_queries  # noqa: F401  (these register their queries here)
+    import tapewright.engine_queries  # noqa: F401
     import tapewright.evidence_queries  # noqa: F401
     import tapewright.fitting_queries  # noqa: F401
     import tapewright.library_queries  # noqa: F401
@@ -434,11 +435,10 @@ SELECT query_id, rank, row_id, round(dist, 6) AS dist FROM k WHERE rank <= 5"""
 )
 def nearest_analogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of all earlier bars by path features, of every 24th bar (the stated query set); other symbols at a penalty."""
-    days = I.path_features(hourly(spark, sf_dir)).select("n", F.concat_ws("/", "symbol", F.col("open_ms").cast("string")).alias("row_id"), "symbol", "open_ms", "displacement", "realised_variance", F.ln(1 + F.col("horizon_volume")).alias("lv"))
-    asked = days.where("n % 24 = 0").select(F.col("row_id").alias("query_id"), F.col("symbol").alias("q_symbol"), F.col("open_ms").alias("q_ms"), F.col("displacement").alias("q_disp"), F.col("realised_variance").alias("q_rv"), F.col("lv").alias("q_lv"))
-    gap = sum(((F.col(a) - F.col(b)) ** 2 for a, b in (("q_disp", "displacement"), ("q_rv", "realised_variance"), ("q_lv", "lv"))), F.lit(0.0))
-    dist = F.sqrt(gap / 3) + F.when(F.col("q_symbol") == F.col("symbol"), 0.0).otherwise(0.15)
-    return rounded(joins.nearest_in_blocks(asked, days, dist, F.col("open_ms") < F.col("q_ms"), 5, days.count()))
+    v = F.array("displacement", "realised_variance", F.ln(1 + F.col("horizon_volume"))).alias("v")
+    days = stored(I.path_features(hourly(spark, sf_dir)).select("n", F.concat_ws("/", "symbol", F.col("open_ms").cast("string")).alias("row_id"), "symbol", F.col("open_ms").alias("at_ms"), v), "days")
+    tree = analogs.Boxes(days, 3)
+    return rounded(tree.nearest(days.where("n % 24 = 0").withColumnRenamed("row_id", "query_id"), 5, 0.15))
 
 
 # ---- outcomes

@@ -61,9 +61,13 @@ def nested_labels(plans: DataFrame, bars: DataFrame, horizons_ms: list[int]) ->
     return whole.select("plan_id", *labels)
 
 
-def frontiers(plans: DataFrame, bars: DataFrame, horizon_ms: int) -> DataFrame:
-    """plan_id, direction, step, level: the bars at which a path's largest log move up or down grows."""
-    path = touches(plans, bars, horizon_ms).withColumn("step", F.row_number().over(Window.partitionBy("plan_id").orderBy("close_ms")))
+def frontiers(plans: DataFrame, bars: DataFrame, horizon_ms: int, step_ms: int | None = None) -> DataFrame:
+    """plan_id, direction, step, level: the bars at which a path's largest log move up or down grows.
+
+    Steps count a path's bars, or units of step_ms since the plan, which do not depend on missing bars.
+    """
+    count = F.row_number().over(Window.partitionBy("plan_id").orderBy("close_ms")) if step_ms is None else F.ceil((F.col("close_ms") - F.col("at_ms")) / step_ms).cast("int")
+    path = touches(plans, bars, horizon_ms).withColumn("step", count)
     moves = path.select("plan_id", "step", F.explode(F.array(F.struct(F.lit("up").alias("direction"), F.ln(F.col("high") / F.col("entry")).alias("move")), F.struct(F.lit("down").alias("direction"), F.ln(F.col("entry") / F.col("low")).alias("move")))).alias("m")).select("plan_id", "step", "m.*")
     before = Window.partitionBy("plan_id", "direction").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     top = F.coalesce(F.max("move").over(before), F.lit(0.0))

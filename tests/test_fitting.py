@@ -135,6 +135,6 @@ def test_fit_of_an_empty_table(spark):
 
 def test_stored_tables_are_read_again_and_cleared(spark):
     df = storage.stored(spark.range(10), "ten")
-    assert df.count() == 10 and df.schema == spark.range(10).schema
+    assert df.count() == 10 and df.dtypes == spark.range(10).dtypes
     path = df.inputFiles()[0].removeprefix("file://")
     assert os.path.exists(path) and storage.clear(spark) >= 1 and not os.path.exists(path)
