@@ -40,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import tapewright.engine_queries  # noqa: F401
     import tapewright.evidence_queries  # noqa: F401
     import tapewright.fitting_queries  # noqa: F401
+    import tapewright.inference_queries  # noqa: F401
     import tapewright.library_queries  # noqa: F401
     import tapewright.rule_queries  # noqa: F401
 
