@@ -9,6 +9,7 @@ from tapewright.catalog import _BARS, HOUR, hourly, query, rounded, trades
 from tapewright.functions import probability as P
 from tapewright.functions import predicates, scalars
 from tapewright.operators import evidence
+from tapewright.rule_queries import _CASES, cases
 
 #: Sampling intervals in seconds, and periods by name.
 INTERVALS = (60, 180, 300, 900, 1800, 3600, 14_400)
@@ -95,31 +96,30 @@ def partition_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_O}, a AS (SELECT k, (k % 30) / 100.0::DOUBLE AS a1, (k % 20) / 80.0::DOUBLE AS b1, (k % 17) / 60.0::DOUBLE AS a2, (k % 13) / 50.0::DOUBLE AS b2, (k % 50) / 60.0::DOUBLE AS act, (k % 90 + 10)::DOUBLE AS price, (k % 70 + 20)::DOUBLE AS entry,
-    CASE k % 3 WHEN 0 THEN NULL WHEN 1 THEN 'price_lte' ELSE 'price_gte' END AS trg FROM o
+    f"""WITH {_CASES}, a AS (SELECT k, n_trades AS nt, volume AS vol_, tp / 2 AS a1, sl / 3 AS b1, wins / 60.0::DOUBLE AS a2, losses / 50.0::DOUBLE AS b2, n_trades / (n_trades + 3.0::DOUBLE) AS act, entry AS price, coalesce(prev, entry) AS entry,
+    CASE n_trades WHEN 1 THEN NULL WHEN 2 THEN 'price_lte' ELSE 'price_gte' END AS trg FROM c
 ), b AS (SELECT *, 1 - a1 - b1 AS s1, a1 + (1 - a1 - b1) * a2 AS tp2, b1 + (1 - a1 - b1) * b2 AS sl2 FROM a)
 SELECT k, round(s1, 9) AS none1, round(tp2, 9) AS tp2, round(sl2, 9) AS sl2, round(1 - tp2 - sl2, 9) AS none2, CASE WHEN s1 > 0 THEN round(a2, 9) END AS back_tp, round(act * a1, 9) AS tree_tp, round(act * (1 - a1 - b1) + 1 - act, 9) AS tree_unresolved,
-  abs(a1 + b1 + s1 - 1) <= 1e-9 AND a1 >= 0 AND b1 >= 0 AND s1 >= 0 AND k % 7 <> 0 AS fair, round(0.1::DOUBLE + 0.5::DOUBLE * a1 - 2 * b1, 9) AS predictor, round(0.5::DOUBLE * (a1 - 0.2::DOUBLE) / 0.1::DOUBLE, 9) AS part_a,
-  round(k % 40 / (k % 40 + 25.0::DOUBLE) * 0.8::DOUBLE + (1 - k % 40 / (k % 40 + 25.0::DOUBLE)) * 0.5::DOUBLE, 9) AS pooled_a,
+  abs(a1 + b1 + s1 - 1) <= 1e-9 AND a1 >= 0 AND b1 >= 0 AND s1 >= 0 AND nt <> 3 AS fair, round(0.1::DOUBLE + 0.5::DOUBLE * a1 - 2 * b1, 9) AS predictor, round(0.5::DOUBLE * (a1 - 0.2::DOUBLE) / 0.1::DOUBLE, 9) AS part_a,
+  round(vol_ / (vol_ + 25.0::DOUBLE) * 0.8::DOUBLE + (1 - vol_ / (vol_ + 25.0::DOUBLE)) * 0.5::DOUBLE, 9) AS pooled_a,
   CASE WHEN trg IS NULL THEN 'active_at_analysis' WHEN trg = 'price_lte' AND price <= entry OR trg = 'price_gte' AND price >= entry THEN 'pending_trigger_already_satisfied' ELSE 'waiting_for_trigger' END AS activation,
   CASE WHEN trg IS NULL THEN 0 WHEN NOT (trg = 'price_lte' AND price <= entry OR trg = 'price_gte' AND price >= entry) THEN round(abs(ln(entry / price)) / 0.05::DOUBLE, 9) END AS activation_z,
-  arg_min_period AS period FROM b JOIN (SELECT h, first(name ORDER BY round(abs(ln(h / s)), 12), -s) AS arg_min_period FROM (SELECT DISTINCT (k % 8 + 1) * 3600.0::DOUBLE AS h FROM o) AS hs,
-  (SELECT unnest(['5m', '15m', '30m', '1h', '2h', '4h', '6h', '12h', '1d']) AS name, unnest([300, 900, 1800, 3600, 7200, 14400, 21600, 43200, 86400]) AS s) AS ps GROUP BY h) AS near ON near.h = (k % 8 + 1) * 3600.0::DOUBLE"""
+  arg_min_period AS period FROM b JOIN (SELECT h, first(name ORDER BY round(abs(ln(h / s)), 12), -s) AS arg_min_period FROM (SELECT DISTINCT nt * 3600.0::DOUBLE AS h FROM a) AS hs,
+  (SELECT unnest(['5m', '15m', '30m', '1h', '2h', '4h', '6h', '12h', '1d']) AS name, unnest([300, 900, 1800, 3600, 7200, 14400, 21600, 43200, 86400]) AS s) AS ps GROUP BY h) AS near ON near.h = nt * 3600.0::DOUBLE"""
 )
 def stage_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stages to curves and back, trees, predictors, pooling, resting entries and nearest periods of each order."""
-    o = orders(spark, sf_dir)
-    k = F.col("k")
-    o = o.select("k", (k % 30 / 100.0).alias("a1"), (k % 20 / 80.0).alias("b1"), (k % 17 / 60.0).alias("a2"), (k % 13 / 50.0).alias("b2"), (k % 50 / 60.0).alias("act"))
+    """Stages to curves and back, trees, predictors, pooling, resting entries and nearest periods of each case."""
+    nt = F.col("nt")
+    o = cases(spark, sf_dir).select("k", F.col("n_trades").alias("nt"), F.col("volume").alias("vol_"), (F.col("tp") / 2).alias("a1"), (F.col("sl") / 3).alias("b1"), (F.col("wins") / 60.0).alias("a2"), (F.col("losses") / 50.0).alias("b2"), (F.col("n_trades") / (F.col("n_trades") + 3.0)).alias("act"), F.col("entry").alias("price"), F.coalesce("prev", "entry").alias("entry"))
     stage = lambda tp, sl: F.struct(tp.alias("tp"), sl.alias("sl"), (1 - tp - sl).alias("none"))
     o = o.withColumn("curve", P.cumulative_stages(F.array(stage(F.col("a1"), F.col("b1")), stage(F.col("a2"), F.col("b2")))))
     o = o.withColumn("back", P.conditional_stages(F.col("curve")))
     first = F.element_at("curve", 1)
-    spread = F.create_map(F.lit("tp"), F.col("a1"), F.when(k % 7 == 0, "other").otherwise("sl"), F.col("b1"), F.lit("none"), first["none"])
+    spread = F.create_map(F.lit("tp"), F.col("a1"), F.when(nt == 3, "other").otherwise("sl"), F.col("b1"), F.lit("none"), first["none"])
     maps = lambda **v: F.create_map(*[x for n, c in v.items() for x in (F.lit(n), c if not isinstance(c, float) else F.lit(c))])
     features = maps(a=F.col("a1"), b=F.col("b1"))
-    trigger = F.when(k % 3 == 1, "price_lte").when(k % 3 == 2, "price_gte")
-    way = P.activation_distance(F.lit("long"), trigger, (k % 90 + 10).cast("double"), (k % 70 + 20).cast("double"), F.lit(0.05))
+    trigger = F.when(nt == 2, "price_lte").when(nt > 2, "price_gte")
+    way = P.activation_distance(F.lit("long"), trigger, F.col("price"), F.col("entry"), F.lit(0.05))
     out = o.select(
         "k",
         first["none"].alias("none1"),
@@ -132,10 +132,10 @@ def stage_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
         P.is_distribution(spread, ["tp", "sl", "none"]).alias("fair"),
         P.linear_predictor(maps(intercept=0.1, a=0.5, b=-2.0), features).alias("predictor"),
         P.contributions(maps(a=0.5, b=-2.0), features, maps(a=0.2, b=0.1), maps(a=0.1, b=0.0))["a"].alias("part_a"),
-        P.pooled(maps(a=0.5), maps(a=0.8), k % 40, 25.0)["a"].alias("pooled_a"),
+        P.pooled(maps(a=0.5), maps(a=0.8), F.col("vol_"), 25.0)["a"].alias("pooled_a"),
         way["status"].alias("activation"),
         way["z"].alias("activation_z"),
-        P.nearest_period(PERIODS, (k % 8 + 1) * 3600.0).alias("period"),
+        P.nearest_period(PERIODS, nt * 3600.0).alias("period"),
     )
     return rounded(out, 9)
 

@@ -149,9 +149,9 @@ def order_book_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(L.book_imbalance(levels, "book_id", side), ["book_id"], {"book": "book"})
 
 
-_ZONE_PLAN = """z AS (SELECT k, side, entry, s, entry * (1 + s * 0.0625::DOUBLE) AS target, entry * (1 - s * 0.03125::DOUBLE) * CASE WHEN k % 31 = 0 THEN 2 ELSE 1 END AS stop, 0.0625::DOUBLE AS sigma, k % 37 = 0 AS none,
-  [{'price': entry * (1 + (k % 5 + 1) / 64.0::DOUBLE), 'notional': CAST(k % 11 AS DOUBLE)}, {'price': entry * (1 + (k % 9 + 1) / 32.0::DOUBLE), 'notional': CAST(k % 7 AS DOUBLE)}, {'price': entry * (1 + 3 / 256.0::DOUBLE), 'notional': 2::DOUBLE}] AS up,
-  [{'price': entry * (1 - (k % 4 + 1) / 64.0::DOUBLE), 'notional': CAST(k % 13 AS DOUBLE)}, {'price': entry * (1 - (k % 7 + 1) / 32.0::DOUBLE), 'notional': CAST(k % 5 AS DOUBLE)}] AS down FROM c)"""
+_ZONE_PLAN = """z AS (SELECT *, entry * (1 + s * 0.5::DOUBLE) AS target, entry * (1 - s * 0.25::DOUBLE) * CASE WHEN close_at_high THEN 2 ELSE 1 END AS stop, 0.25::DOUBLE AS sigma, n_trades = 1 AS none,
+  [{'price': hi, 'notional': volume}, {'price': mean20 * 1.1::DOUBLE, 'notional': CAST(n_trades AS DOUBLE)}, {'price': coalesce(old, entry * 1.25::DOUBLE), 'notional': 2::DOUBLE}] AS up,
+  [{'price': lo, 'notional': volume}, {'price': mean20 * 0.9::DOUBLE, 'notional': CAST(n_trades AS DOUBLE)}] AS down FROM (SELECT *, entry = high AND n_trades > 3 AS close_at_high FROM c))"""
 _ZONE_OK = "NOT none AND CASE WHEN side = 'long' THEN stop < entry AND entry < target ELSE target < entry AND entry < stop END"
 _ZONE_OUT = {"target_count": "len(ta)", "stop_count": "len(sa)", "target_mass": "tm", "stop_mass": "sm", "target_share": "tm / nullif(tm + sm, 0)", "nearest_target": "tn.price", "nearest_target_sigmas": "tn.distance", "nearest_stop": "sn.price", "nearest_stop_sigmas": "sn.distance"}
 
@@ -166,19 +166,20 @@ def _nearest(found: str, barrier: str) -> str:
 SELECT k, {_status([("NOT none", L.NO_CLUSTERS), (_ZONE_OK, L.BAD_GEOMETRY)], "zone")}, {_when(_ZONE_OK, _ZONE_OUT, "zone")} FROM x"""
 )
 def liquidation_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters about each order's entry, counted on the way to its barriers; some orders have none or wrong barriers."""
-    zone = L.liquidation_zone(*[F.col(c) for c in ("side", "entry", "target", "stop")], F.lit(0.0625), F.col("up"), F.col("down"))
+    """Clusters about each case's entry, counted on the way to its barriers; some cases have none or wrong barriers."""
+    zone = L.liquidation_zone(*[F.col(c) for c in ("side", "entry", "target", "stop")], F.lit(0.25), F.col("up"), F.col("down"))
     return flat(_zone_plans(spark, sf_dir).select("k", zone.alias("zone")), ["k"], {"zone": "zone"})
 
 
 def _zone_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, entry, s = F.col("k"), F.col("entry"), F.col("s")
+    col, entry, s = F.col, F.col("entry"), F.col("s")
     one = lambda price, n: F.struct(price.alias("price"), n.cast("double").alias("notional"))
-    up = F.array(one(entry * (1 + (k % 5 + 1) / 64.0), k % 11), one(entry * (1 + (k % 9 + 1) / 32.0), k % 7), one(entry * (1 + 3 / 256.0), F.lit(2)))
-    down = F.array(one(entry * (1 - (k % 4 + 1) / 64.0), k % 13), one(entry * (1 - (k % 7 + 1) / 32.0), k % 5))
-    some = k % 37 != 0
-    target, stop = entry * (1 + s * 0.0625), entry * (1 - s * 0.03125) * F.when(k % 31 == 0, 2).otherwise(1)
-    return cases(spark, sf_dir).select("k", "side", "entry", target.alias("target"), stop.alias("stop"), (entry * (1 + s * (k % 6) / 32.0)).alias("price"), (entry * (1 - s / 32.0)).alias("wait"), (entry * (1 - s / 4.0)).alias("far"), F.when(some, up).alias("up"), F.when(some, down).alias("down"))
+    up = F.array(one(col("hi"), col("volume")), one(col("mean20") * 1.1, col("n_trades")), one(F.coalesce("old", entry * 1.25), F.lit(2)))
+    down = F.array(one(col("lo"), col("volume")), one(col("mean20") * 0.9, col("n_trades")))
+    some = col("n_trades") > 1
+    target, stop = entry * (1 + s * 0.5), entry * (1 - s * 0.25) * F.when((entry == col("high")) & (col("n_trades") > 3), 2).otherwise(1)
+    price, wait, far = F.coalesce("next_close", entry), entry * (1 - s / 8.0), entry * (1 - s / 2.0)
+    return cases(spark, sf_dir).select("k", "side", "entry", target.alias("target"), stop.alias("stop"), price.alias("price"), wait.alias("wait"), far.alias("far"), F.when(some, up).alias("up"), F.when(some, down).alias("down"))
 
 
 _WAYS = {"approach": ("own", "-s * (c.price - wait) <= 0 AND -s * (c.price - wait) >= -s * (price - wait)"), "overshoot": ("own", "-s * (c.price - wait) > 0 AND -s * (c.price - wait) <= -s * (far - wait)"), "target": ("other", "-s * (c.price - wait) < 0 AND -s * (c.price - wait) >= -s * (target - wait)")}
@@ -186,18 +187,18 @@ _WAY_OUT = {f"{n}_{f}": x for n in _WAYS for f, x in (("count", f"len({n}_)"), (
 
 
 @query(
-    f"""WITH {_CASES}, {_ZONE_PLAN}, y AS (SELECT *, entry * (1 + s * (k % 6) / 32.0::DOUBLE) AS price, entry * (1 - s / 32.0::DOUBLE) AS wait, entry * (1 - s / 4.0::DOUBLE) AS far, CASE WHEN s > 0 THEN down ELSE up END AS own, CASE WHEN s > 0 THEN up ELSE down END AS other FROM z
+    f"""WITH {_CASES}, {_ZONE_PLAN}, y AS (SELECT *, coalesce(next_close, entry) AS price, entry * (1 - s / 8.0::DOUBLE) AS wait, entry * (1 - s / 2.0::DOUBLE) AS far, CASE WHEN s > 0 THEN down ELSE up END AS own, CASE WHEN s > 0 THEN up ELSE down END AS other FROM z
 ), x AS (SELECT *, {", ".join(f"list_filter({a}, lambda c: {c}) AS {n}_" for n, (a, c) in _WAYS.items())} FROM y
 ), w AS (SELECT *, {", ".join(f"coalesce(list_sum(list_transform({n}_, lambda c: c.notional)), 0) AS {n}_m, {_nearest(f'{n}_', 'wait')} AS {n}_n" for n in _WAYS)} FROM x)
 SELECT k, {_status([("NOT none", L.NO_CLUSTERS)], "path")}, {_when("NOT none", _WAY_OUT, "path")} FROM w"""
 )
 def liquidation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters on each waiting order's approach, overshoot and way to the target."""
-    path = L.liquidation_path(*[F.col(c) for c in ("side", "price", "wait", "target", "far")], F.lit(0.0625), F.col("up"), F.col("down"))
+    path = L.liquidation_path(*[F.col(c) for c in ("side", "price", "wait", "target", "far")], F.lit(0.25), F.col("up"), F.col("down"))
     return flat(_zone_plans(spark, sf_dir).select("k", path.alias("path")), ["k"], {"path": "path"})
 
 
-_E = "CASE WHEN k % 41 <> 0 THEN CAST(k % 19 - 9 AS DOUBLE) / 16 END"
+_E = "CASE WHEN n > 24 THEN from_ema END"
 _TRAJECTORY = {"path": "-s * change / 4", "reaction_path": "s * change / 4", "displacement": "-s * median_change", "reaction_displacement": "s * median_change", "toward": "len(list_filter(es, lambda x: -s * x > 0))", "away": "len(list_filter(es, lambda x: -s * x < 0))", "slope": "-s * from_ema", "rsi": "-s * (rsi - 50) / 50"}
 _BOTH = {"flow": "taker", "cvd": "cvd"}
 _CONTEXT = {"interest": "interest", "funding": "funding", "crowd": "crowd"}
@@ -206,14 +207,14 @@ _ROLES = {f"{n}_{role}": f"{sign}s * {x}" for n, x in _BOTH.items() for role, si
 
 
 @query(
-    f"""WITH {_CASES}, t AS (SELECT *, [CAST(k % 5 - 2 AS DOUBLE), {_E}, CAST(k % 3 - 1 AS DOUBLE)] AS es, ({_E}) IS NOT NULL AS ok FROM c)
+    f"""WITH {_CASES}, t AS (SELECT *, [change, {_E}, median_change] AS es, ({_E}) IS NOT NULL AS ok FROM c)
 SELECT k, {_status([("ok", "trajectory_parent_output_invalid")], "wait")}, {_when("ok", _TRAJECTORY, "wait")}, CASE WHEN ok THEN CASE WHEN -s * change > 0 THEN 'toward_direction' WHEN -s * change < 0 THEN 'against_direction' ELSE 'flat' END END AS wait_path_relation,
   {_status([(_ANY, L.NO_FLOW)], "roles")}, {_when(_ANY, _ROLES, "roles")} FROM t"""
 )
 def waiting_order_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What waits for an order's entry: path and flow measures as its activation and its reaction read them."""
-    k, col = F.col("k"), F.col
-    windows = F.array((k % 5 - 2).cast("double"), F.when(k % 41 != 0, (k % 19 - 9).cast("double") / 16), (k % 3 - 1).cast("double"))
+    col = F.col
+    windows = F.array(col("change"), F.when(col("n") > 24, col("from_ema")), col("median_change"))
     wait = L.activation_trajectory(col("side"), col("change") / 4, col("median_change"), windows, col("from_ema"), (col("rsi") - 50) / 50)
     roles = L.flow_dual_role(col("side"), {n: col(x) for n, x in _BOTH.items()}, {n: col(x) for n, x in _CONTEXT.items()})
     return flat(cases(spark, sf_dir).select("k", wait.alias("wait"), roles.alias("roles")), ["k"], {"wait": "wait", "roles": "roles"})

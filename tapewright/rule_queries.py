@@ -1,6 +1,6 @@
-"""Queries of the scores and of the rules on market context and money, over orders and hourly bars, with their SQL twins.
+"""Queries of the scores and of the rules on market context and money, over hourly bars, with their SQL twins.
 
-Measures that the tables lack are made from order keys and bar numbers by the same small fractions in both engines.
+A case is a plan at a bar's close; its measures are taken from the bars about it, by expressions that both engines read.
 """
 
 from __future__ import annotations
@@ -13,44 +13,77 @@ from tapewright.catalog import _BARS, HOUR, hourly, query, rounded
 from tapewright.functions import scoring as S
 from tapewright.plans import market_rules as M
 
-#: Columns of a case by name, in SQL that both engines read; k is the order's key.
+_W = "PARTITION BY symbol ORDER BY open_ms"
+_LAST = f"OVER ({_W} ROWS BETWEEN {{}} PRECEDING AND CURRENT ROW)"
+#: What a bar knows of the bars about it, in SQL that both engines read: first of the bars' own columns, then of these.
+NEIGHBOURS = {
+    "n": f"row_number() OVER ({_W})",
+    "prev": f"lag(close) OVER ({_W})",
+    "prev4": f"lag(close, 4) OVER ({_W})",
+    "old": f"lag(close, 24) OVER ({_W})",
+    "next_high": f"lead(high) OVER ({_W})",
+    "next_low": f"lead(low) OVER ({_W})",
+    "next_close": f"lead(close) OVER ({_W})",
+    "hi": f"max(high) {_LAST.format(23)}",
+    "lo": f"min(low) {_LAST.format(23)}",
+    "mean20": f"avg(close) {_LAST.format(19)}",
+    "buy": f"sum(taker_buy_quote) {_LAST.format(23)}",
+    "traded": f"sum(quote_volume) {_LAST.format(23)}",
+    "vol": f"sum(volume) {_LAST.format(23)}",
+}
+MOVES = {
+    "ups": f"CAST(sum(CASE WHEN close > prev THEN 1 ELSE 0 END) {_LAST.format(23)} AS BIGINT)",
+    "downs": f"CAST(sum(CASE WHEN close < prev THEN 1 ELSE 0 END) {_LAST.format(23)} AS BIGINT)",
+    "gain": f"avg(greatest(close - prev, CAST(0 AS DOUBLE))) {_LAST.format(13)}",
+    "loss": f"avg(greatest(prev - close, CAST(0 AS DOUBLE))) {_LAST.format(13)}",
+    "span": f"avg(high - low) {_LAST.format(13)}",
+    "old_vol": f"lag(vol, 24) OVER ({_W})",
+    "risers": "avg(CASE WHEN close > prev THEN 100 ELSE CAST(0 AS DOUBLE) END) OVER (PARTITION BY open_ms)",
+    "moved": "avg((close - prev) / prev) OVER (PARTITION BY open_ms)",
+    "alive": "count(*) OVER (PARTITION BY open_ms)",
+}
+_STACK = "CASE WHEN close > {0} * CAST(1.1 AS DOUBLE) THEN 'bullish' WHEN close < {0} * CAST(0.9 AS DOUBLE) THEN 'bearish' ELSE 'mixed' END"
+_RSI_14 = "CASE WHEN n > 14 THEN CASE WHEN loss = 0 THEN CAST(100 AS DOUBLE) ELSE 100 - 100 / (1 + gain / loss) END END"
+#: Columns of a case by name, from the bar whose close opens it; k is the case's key.
 MEASURES = {
-    "side": "CASE WHEN k % 2 = 0 THEN 'long' ELSE 'short' END",
-    "horizon": "CASE k % 4 WHEN 0 THEN 'intraday_short' WHEN 1 THEN 'intraday_wide' WHEN 2 THEN 'short_swing' ELSE 'other' END",
-    "entry": "CAST(k % 50 + 100 AS DOUBLE)",
-    "margin": "CASE WHEN k % 13 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(k % 5 * 50 + 100 AS DOUBLE) END",
-    "leverage": "CAST(k % 10 + 1 AS DOUBLE)",
-    "reward_pct": "CAST(k % 9 AS DOUBLE) / CAST(2.3 AS DOUBLE)",
-    "risk_pct": "CAST(k % 7 + 1 AS DOUBLE) / CAST(4.1 AS DOUBLE)",
-    "funding": "CASE WHEN k % 11 <> 0 THEN CAST(k % 13 - 6 AS DOUBLE) / 131 END",
-    "funding_recent": "CASE WHEN k % 17 <> 0 THEN CAST(k % 5 - 2 AS DOUBLE) / 64 END",
-    "taker": "CASE WHEN k % 19 <> 0 THEN CAST(k % 23 AS DOUBLE) / 16 END",
-    "crowd": "CASE WHEN k % 29 <> 0 THEN CAST(k % 31 AS DOUBLE) / 8 END",
-    "cvd": "CASE WHEN k % 23 <> 0 THEN CAST(k % 41 - 20 AS DOUBLE) / 64 END",
-    "greed": "CASE WHEN k % 37 <> 0 THEN CAST(k % 101 AS DOUBLE) END",
-    "change": "CAST(k % 27 - 13 AS DOUBLE) / 8",
-    "interest": "CASE WHEN k % 43 <> 0 THEN CAST(k % 21 - 10 AS DOUBLE) / 8 END",
-    "advancers": "CASE WHEN k % 47 <> 0 THEN CAST(k % 51 * 2 AS DOUBLE) END",
-    "median_change": "CAST(k % 15 - 7 AS DOUBLE) / 8",
-    "range_pct": "CAST(k % 33 AS DOUBLE) / 16",
-    "atr": "CAST(k % 18 AS DOUBLE) / 64",
-    "barrier_pct": "CASE WHEN k % 16 <> 0 THEN CAST(k % 12 AS DOUBLE) / 4 END",
-    "rsi": "CASE WHEN k % 53 <> 0 THEN CAST(k % 97 AS DOUBLE) END",
-    "from_ema": "CASE WHEN k % 59 <> 0 THEN CAST(k % 61 - 30 AS DOUBLE) / 32 END",
-    "spread": "CAST(k % 9 AS DOUBLE) / 137",
-    "tp": "CAST(k % 40 + 30 AS DOUBLE) / 100",
-    "sl": "CAST(60 - k % 40 AS DOUBLE) / 100",
-    "wins": "k % 67",
-    "losses": "k % 29",
-    "mean_r": "CASE WHEN k % 3 <> 0 THEN CAST(k % 9 - 4 AS DOUBLE) / 4 END",
-    "s5": "CASE k % 3 WHEN 0 THEN 'bullish' WHEN 1 THEN 'bearish' ELSE 'mixed' END",
-    "s15": "CASE CAST(floor(k / 3) AS BIGINT) % 3 WHEN 0 THEN 'bullish' WHEN 1 THEN 'bearish' ELSE 'mixed' END",
-    "s60": "CASE CAST(floor(k / 9) AS BIGINT) % 3 WHEN 0 THEN 'bullish' WHEN 1 THEN 'bearish' ELSE 'mixed' END",
-    "s240": "CASE CAST(floor(k / 27) AS BIGINT) % 3 WHEN 0 THEN 'bullish' WHEN 1 THEN 'bearish' ELSE 'mixed' END",
-    "reason": "CASE k % 7 WHEN 0 THEN 'take_profit' WHEN 1 THEN 'stop_loss' WHEN 2 THEN 'manual' WHEN 3 THEN 'cut_loss' WHEN 4 THEN 'contest_expired' WHEN 5 THEN 'emotion' ELSE 'time_expired' END",
-    "observation": "CASE k % 6 WHEN 0 THEN 'manual_protected' WHEN 1 THEN 'manual_left_profit' WHEN 2 THEN 'manual_better_than_plan' WHEN 3 THEN 'manual_worse_than_plan' WHEN 4 THEN 'plan_unresolved' END",
-    "trigger": "CASE WHEN k % 5 = 0 THEN k END",
+    "side": "CASE WHEN close >= mean20 THEN 'long' ELSE 'short' END",
+    "horizon": "CASE WHEN n_trades >= 4 THEN 'intraday_short' WHEN n_trades = 3 THEN 'intraday_wide' WHEN n_trades = 2 THEN 'short_swing' ELSE 'other' END",
+    "entry": "close",
+    "margin": "CASE WHEN close = low AND close = high THEN CAST(0 AS DOUBLE) ELSE volume * 10 END",
+    "leverage": "CAST(n_trades AS DOUBLE)",
+    "reward_pct": "(hi - close) / close * 4",
+    "risk_pct": "(close - lo) / close * 4 + CAST(0.2 AS DOUBLE)",
+    "funding": "CASE WHEN n_trades > 1 THEN (taker_buy_quote / quote_volume - CAST(0.5 AS DOUBLE)) / 10 END",
+    "funding_recent": "CASE WHEN n > 24 THEN (buy / traded - CAST(0.5 AS DOUBLE)) / 10 END",
+    "taker": "CASE WHEN traded > buy THEN buy / (traded - buy) END",
+    "crowd": "CASE WHEN n >= 24 THEN volume / (vol / 24) END",
+    "cvd": "CASE WHEN n >= 24 THEN 2 * buy / traded - 1 END",
+    "greed": _RSI_14,
+    "change": "coalesce((close - prev) / prev * 10, CAST(0 AS DOUBLE))",
+    "interest": "CASE WHEN old_vol > 0 THEN vol / old_vol - 1 END",
+    "advancers": "CASE WHEN alive >= 3 THEN risers END",
+    "median_change": "coalesce(moved, CAST(0 AS DOUBLE))",
+    "range_pct": "(hi - lo) / close / 2",
+    "atr": "span / close / 8",
+    "barrier_pct": "CASE WHEN hi > close THEN (hi - close) / close * 3 END",
+    "rsi": _RSI_14,
+    "from_ema": "CASE WHEN n >= 20 THEN close / mean20 - 1 END",
+    "spread": "(high - low) / close / 8",
+    "tp": "CASE WHEN hi > lo THEN CAST(0.3 AS DOUBLE) + CAST(0.4 AS DOUBLE) * (close - lo) / (hi - lo) ELSE CAST(0.5 AS DOUBLE) END",
+    "sl": "CASE WHEN hi > lo THEN CAST(0.6 AS DOUBLE) - CAST(0.4 AS DOUBLE) * (close - lo) / (hi - lo) ELSE CAST(0.4 AS DOUBLE) END",
+    "wins": "ups",
+    "losses": "downs",
+    "mean_r": "CASE WHEN hi > lo THEN 2 * (close - old) / (hi - lo) END",
+    "s5": _STACK.format("prev"),
+    "s15": _STACK.format("prev4"),
+    "s60": _STACK.format("mean20"),
+    "s240": _STACK.format("old"),
+    "reason": "CASE WHEN next_close IS NULL THEN 'contest_expired' WHEN next_high >= close * CAST(1.3 AS DOUBLE) THEN 'take_profit' WHEN next_low <= close * CAST(0.8 AS DOUBLE) THEN 'stop_loss' WHEN n_trades = 1 THEN 'manual' WHEN n_trades = 2 THEN 'cut_loss' WHEN close = high THEN 'emotion' ELSE 'time_expired' END",
+    "observation": "CASE WHEN next_close IS NULL THEN 'plan_unresolved' WHEN next_close > close * CAST(1.2 AS DOUBLE) THEN 'manual_left_profit' WHEN next_close < close * CAST(0.85 AS DOUBLE) THEN 'manual_protected' WHEN next_close > close THEN 'manual_worse_than_plan' WHEN n_trades > 2 THEN 'manual_better_than_plan' END",
+    "trigger": "CASE WHEN n_trades >= 5 THEN n_trades END",
 }
+#: Further columns of a case as they are, for queries that take levels and paths from them.
+CARRIED = ("symbol", "open_ms", "n", "hi", "lo", "mean20", "old", "prev", "high", "low", "volume", "n_trades", "next_high", "next_low", "next_close")
 
 
 def doubles(sql: str, *names: str) -> str:
@@ -58,13 +91,28 @@ def doubles(sql: str, *names: str) -> str:
     return f"SELECT * REPLACE ({', '.join(f'CAST({n} AS DOUBLE) AS {n}' for n in names)}) FROM ({sql}) AS q"
 
 
-_CASES = "raw AS (SELECT o_orderkey AS k FROM orders), c AS (SELECT k, " + ", ".join(f"{sql} AS {name}" for name, sql in MEASURES.items()) + ", CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END AS s FROM raw)"
+_KEY = "CAST(floor(open_ms / 3600000) AS BIGINT) * 128 + ascii(symbol)"
+_CASES = (
+    _BARS
+    + ", b1 AS (SELECT *, "
+    + ", ".join(f"{sql} AS {name}" for name, sql in NEIGHBOURS.items())
+    + " FROM bars), raw AS (SELECT *, "
+    + ", ".join(f"{sql} AS {name}" for name, sql in MOVES.items())
+    + f" FROM b1), c AS (SELECT {_KEY} AS k, "
+    + ", ".join(f"{sql} AS {name}" for name, sql in MEASURES.items())
+    + ", CASE WHEN close >= mean20 THEN 1 ELSE -1 END AS s, "
+    + ", ".join(CARRIED)
+    + " FROM raw)"
+)
 _V5, _V15, _V60, _V240 = (f"CASE {x} WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END" for x in ("s5", "s15", "s60", "s240"))
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"))
-    df = keys.select("k", *[F.expr(sql).alias(name) for name, sql in MEASURES.items()])
+    """A case for each hourly bar: measures of the bars up to it, and what the next one did."""
+    b = hourly(spark, sf_dir)
+    for columns in (NEIGHBOURS, MOVES):
+        b = b.select("*", *[F.expr(sql).alias(name) for name, sql in columns.items()])
+    df = b.select(F.expr(_KEY).alias("k"), *[F.expr(sql).alias(name) for name, sql in MEASURES.items()], *CARRIED)
     stacks = F.create_map(F.lit("5m"), F.col("s5"), F.lit("15m"), F.col("s15"), F.lit("1h"), F.col("s60"), F.lit("4h"), F.col("s240"))
     return df.withColumns({"s": S.sign_of(F.col("side")), "stacks": stacks})
 
@@ -91,7 +139,7 @@ FROM c""",
     )
 )
 def legacy_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores and costs of single measures, one row for each order."""
+    """Scores and costs of single measures, one row for each case."""
     c, (s,) = cases(spark, sf_dir), col("s")
     return rounded(
         c.select(
