@@ -245,18 +245,21 @@ def expected_value(margin: Column, leverage: Column, target: Column, stop: Colum
     )
 
 
+# The weights, start values and limits of the three scores; sums run in this order, as doubles round by it.
+
+
 def quality_score(reward_risk: Column, of_notional: Column, fibonacci: Column, price_risk_pct: Column, cut: Column) -> Column:
-    raw = to_percent(reward_risk, 0.8, 3.2) * 0.16 + to_percent(of_notional, -0.8, 1.2) * 0.22 + (fibonacci - 50) * 0.12 - F.least(F.lit(22.0), price_risk_pct * 4.5) + 42
+    raw = 42 + to_percent(reward_risk, 0.8, 3.2) * 0.16 + to_percent(of_notional, -0.8, 1.2) * 0.22 + (fibonacci - 50) * 0.12 - F.least(F.lit(22.0), price_risk_pct * 4.5)
     return F.greatest(F.lit(0.0), F.bround(clamp(raw, 0.0, 100.0)) - cut)
 
 
-def execution_risk(volatility: Column, level: Column, liquidity: Column, spread_pct: Column, added: Column) -> Column:
-    return F.bround(clamp(volatility * 220 + level * 300 + liquidity * 250 + added + to_percent(spread_pct, 0, 0.08) * 0.35 + 30, 0.0, 100.0))
+def execution_risk(volatility: Column, level: Column, fibonacci: Column, liquidity: Column, added: Column, spread_pct: Column) -> Column:
+    return F.bround(clamp(30 + volatility * 220 + level * 300 + fibonacci + liquidity * 250 + added + to_percent(spread_pct, 0, 0.08) * 0.35, 0.0, 100.0))
 
 
 def confidence_score(contradiction: Column, higher: Column, bias: Column, flow: Column, cvd: Column, adjustment: Column, cut: Column) -> Column:
-    lost = F.bround(contradiction * 700) + F.when(higher != 0, 12).otherwise(0) + F.when(flow * cvd < 0, 12).otherwise(0)
-    return clamp(F.bround(bias * 420) + F.bround(adjustment.cast("double")) - lost - cut + 70, 15.0, 95.0)
+    aligned = 70 - F.bround(contradiction * 700) - F.when(higher != 0, 12).otherwise(0) + F.bround(bias * 420) - F.when(flow * cvd < 0, 12).otherwise(0)
+    return clamp(aligned + F.bround(adjustment.cast("double")) - cut, 15.0, 95.0)
 
 
 def grade(target: Column, risk: Column, value_score: Column) -> Column:

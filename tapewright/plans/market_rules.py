@@ -16,6 +16,9 @@ READY_STATES = ("available", "not_applicable", "blocked")
 MAX_AGE_MS = 30_000
 
 
+# The reasons in this module's guards, with their statuses.
+
+
 def ruled(outputs: dict[str, Column], guards: list[tuple], parents: list[Column] = ()) -> Column:
     """A trace: status, reason and outputs; guards are (condition, reason) or (condition, reason, status)."""
     checks = [*((p["status"] == "evaluated", "dependency_not_evaluated", "blocked") for p in parents), *((*g, "blocked")[:3] for g in guards)]

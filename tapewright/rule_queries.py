@@ -248,7 +248,7 @@ def money(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = j.withColumns(
         {
             "quality": S.quality_score(F.col("reward_pct") / F.col("risk_pct"), F.col("ev.of_notional"), F.lit(55.0), F.col("risk_pct"), none),
-            "execution": S.execution_risk(F.col("atr"), F.when(F.col("rating.barrier_penalty") > 0, 0.025).otherwise(0.0), none, F.col("spread"), none),
+            "execution": S.execution_risk(F.col("atr"), F.when(F.col("rating.barrier_penalty") > 0, 0.025).otherwise(0.0), none, none, none, F.col("spread")),
             "sure": S.confidence_score(*col("contradiction", "higher", "bias", "flow", "cvd_flow"), F.col("rating.confidence_adjustment"), none),
             "value_score": S.to_percent(F.col("ev.of_notional"), -1.0, 1.6),
         }
