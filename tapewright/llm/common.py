@@ -41,6 +41,32 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a map of hashes: broadcast as at most BITS / 64 rows, whatever the number of keys.
+BITS = 1 << 25
+
+
+def _bit(*keys: str) -> Column:
+    return F.xxhash64(*keys).bitwiseAND(F.lit(BITS - 1))
+
+
+def bit_map(df: DataFrame, *keys: str) -> DataFrame:
+    """word, bits: a map of the hashes of df's keys, of a fixed size."""
+    at = df.select(_bit(*keys).alias("at"))
+    bit = F.expr("shiftleft(1L, CAST(at & 63 AS INT))")
+    return stored(at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")), "bit-map")
+
+
+def by_bit_map(rows: DataFrame, words: DataFrame, *keys: str, also: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows whose keys may be in the map's, and those whose keys surely are not (or for which also is false).
+
+    Only the former have to meet the keys in a shuffle. With far more keys than bits all rows may be in it, which costs time but no result.
+    """
+    own = words.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
+    met = (F.shiftright(_bit(*keys), 6) == F.col("_word")) & (F.expr("shiftright(_bits, CAST(xxhash64({0}) & 63 AS INT)) & 1".format(", ".join(f"`{k}`" for k in keys))) == 1)
+    met = met if also is None else met & also
+    return rows.join(F.broadcast(own), met, "left_semi"), rows.join(F.broadcast(own), met, "left_anti")
+
+
 def text_hash(text: Column | str = "text") -> Column:
     """64 bits of a text; with doc_id it tells rows apart (null text: like empty)."""
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))

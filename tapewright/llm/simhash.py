@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tapewright.llm.common import WORD_PATTERN, row_but_text, row_columns, slices, splitmix, stored, utf8_rows
+from tapewright.llm.common import WORD_PATTERN, bit_map, by_bit_map, row_but_text, row_columns, slices, splitmix, stored, utf8_rows
 from tapewright.llm.substring import rolling, word_hashes
 
 TAU = 2
@@ -351,7 +351,10 @@ def in_pairs(df: DataFrame, key: str) -> DataFrame:
 
 def shingle_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """no, class, n (distinct shingles) and shingles (their sorted hashes) of each row of members (no, content, first, class)."""
-    asked = docs.join(members.select(F.col("first").alias("doc_id"), "no", "content", "class"), "doc_id").select("no", "content", "class", "text")
+    wanted = members.select(F.col("first").alias("doc_id"), "no", "content", "class")
+    # most texts are no members and need not be shuffled
+    perhaps, _ = by_bit_map(docs, bit_map(wanted, "doc_id"), "doc_id")
+    asked = perhaps.join(wanted, "doc_id").select("no", "content", "class", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -394,7 +397,7 @@ def classed_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tu
     marks = stored(single.join(met.select("no").distinct(), "no", "left_semi").select("no", "fp", "sig"), "near-marks")
     loose = stored(components(links_by(met.join(marks, "no").select("no", "band", "part", "fp", "sig"), "band", similarity)), "near-loose")
     placed = texts.join(loose, texts.no == loose.node, "left").select("no", "content", "first", F.coalesce("root", "no").alias("class"))
-    members = placed.join(loose.select(F.col("root").alias("class")).distinct(), "class", "left_semi")
+    members = stored(placed.join(loose.select(F.col("root").alias("class")).distinct(), "class", "left_semi"), "near-members")
     sets = stored(shingle_sets(docs, members, size), "near-shingles")
     classes = sets.groupBy("class").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles_in"))
     parts = F.greatest(_parts(F.col("texts"), BUCKET_ROWS), F.least("texts", _parts(F.col("shingles_in"), CLASS_SHINGLES)))
@@ -421,18 +424,21 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     that share both one stays. Rows with a null doc_id and texts without a word are no copies of anything and stay.
     An empty table gives an empty result; other columns are passed on.
     """
-    _, texts = classed_texts(docs, size, similarity)
+    ids, texts = classed_texts(docs, size, similarity)
     keep = stored(texts.where("content = keeper_content").select(F.col("first").alias("doc_id"), "content"), "near-keep")
     judged = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False))
     rows = docs.select(row_but_text(docs), F.col("doc_id").alias("id"), "text", judged.alias("judged"))
     again = stored(rows.where("judged").groupBy("id").count().where("count > 1").select("id"), "near-again")
-    kept = rows.where("judged").join(keep.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+    # only rows whose id has a text that goes, or has several rows, need to meet what is kept
+    gone = ids.join(keep, ["doc_id", "content"], "left_anti").select(F.col("doc_id").alias("id"))
+    doubtful, others = by_bit_map(rows, bit_map(gone.unionByName(again), "id"), "id", also=F.col("judged"))
+    kept = doubtful.join(keep.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
     if again.limit(1).count():
         # only ids with several rows need their contents hashed
-        many = with_content(rows.where("judged").join(again, "id", "left_semi").select("row", "text", "id"))
+        many = with_content(doubtful.join(again, "id", "left_semi").select("row", "text", "id"))
         many = many.join(keep.withColumnRenamed("doc_id", "id"), ["id", "content"], "left_semi").dropDuplicates(["id", "content"])
         kept = kept.join(again, "id", "left_anti").select("row", "text").unionByName(many.select("row", "text"))
-    return rows.where("not judged").select("row", "text").unionByName(kept.select("row", "text")).select(*row_columns(docs.columns))
+    return others.select("row", "text").unionByName(kept.select("row", "text")).select(*row_columns(docs.columns))
 
 
 def with_content(rows: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from tapewright.llm.common import row_but_text, row_columns, slices, splitmix, stored, text_hash, utf8_rows
+from tapewright.llm.common import bit_map, by_bit_map, row_but_text, row_columns, slices, splitmix, stored, text_hash, utf8_rows
 
 WINDOW = 50
 GRAM = 10
@@ -312,8 +312,11 @@ def parsed(docs: DataFrame, make: Callable[[bytes, list[bytes], np.ndarray], tup
         schema = schema.add(name, kind)
     schema = schema.add("cells", ArrayType(StructType().add("ref", "long").add("at", "integer").add("stop", "integer").add("digest", "binary")))
     for seed in range(TRIES):
-        pieces = reference_pieces(docs, window, gram, seed)
-        marked = own.join(pieces, (own.id == pieces.doc_id) & (own.hash == pieces.th), "left").select("row", "text", "pieces")
+        pieces = stored(reference_pieces(docs, window, gram, seed), "rlz-pieces")
+        # texts without a piece stay where they are
+        perhaps, others = by_bit_map(own, bit_map(pieces.select(F.col("doc_id").alias("id"), F.col("th").alias("hash")), "id", "hash"), "id", "hash")
+        marked = perhaps.join(pieces, (perhaps.id == pieces.doc_id) & (perhaps.hash == pieces.th), "left").select("row", "text", "pieces")
+        marked = marked.unionByName(others.select("row", "text", F.lit(None).cast(pieces.schema["pieces"].dataType).alias("pieces")))
         out = stored(marked.mapInArrow(run, schema), "rlz-parsed")
         if proven(docs, out.select(F.explode("cells").alias("c")).select("c.*")):
             return out.drop("cells")
