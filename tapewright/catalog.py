@@ -42,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import tapewright.fitting_queries  # noqa: F401
     import tapewright.inference_queries  # noqa: F401
     import tapewright.library_queries  # noqa: F401
+    import tapewright.overlay_queries  # noqa: F401
     import tapewright.rule_queries  # noqa: F401
 
     return QUERIES
@@ -616,9 +617,21 @@ def first_passage_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(first_passage(spark, sf_dir).select("plan_id", "p_tp", "p_sl", "p_expiry"))
 
 
-@query()
+_RISKS = (
+    _FP
+    + """, grid AS (SELECT plan_id, i, a, b, pi() * pi() / 2 * sigma * sigma * i / 24 / ((a + b) * (a + b)) AS decay FROM geo, (SELECT unnest(range(1, 25)) AS i)), pts AS (
+  SELECT plan_id, i, least(1, greatest(0, b / (a + b) - 2 / pi() * list_sum(list_transform(range(1, terms + 1), lambda n: CASE WHEN n % 2 = 1 THEN 1 ELSE -1 END * sin(n * pi() * b / (a + b)) * exp(-decay * n * n) / n)))) AS p_tp,
+         least(1, greatest(0, a / (a + b) - 2 / pi() * list_sum(list_transform(range(1, terms + 1), lambda n: sin(n * pi() * b / (a + b)) * exp(-decay * n * n) / n)))) AS p_sl FROM (SELECT *, greatest(8, ceil(sqrt(31.0 / decay)))::INT AS terms FROM grid)), seq AS (
+  SELECT *, coalesce(lag(p_tp) OVER t, 0) AS q_tp, coalesce(lag(p_sl) OVER t, 0) AS q_sl, CASE WHEN i = 1 THEN 1 ELSE greatest(0, 1 - lag(p_tp) OVER t - lag(p_sl) OVER t) END AS q FROM pts WINDOW t AS (PARTITION BY plan_id ORDER BY i)), hz AS (
+  SELECT plan_id, i, CASE WHEN q > 1e-10 THEN (p_tp - q_tp) / q ELSE 0 END AS tp, CASE WHEN q > 1e-10 THEN (p_sl - q_sl) / q ELSE 0 END AS sl FROM seq), wt AS (
+  SELECT plan_id, i, greatest(tp, 0) * exp(0.2::DOUBLE) AS w1, greatest(sl, 0) * exp(-0.1::DOUBLE) AS w2, greatest(1 - tp - sl, 0) AS w3 FROM hz), alive AS (
+  SELECT *, coalesce(product(w3 / (w1 + w2 + w3)) OVER (PARTITION BY plan_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS left_ FROM wt)"""
+)
+
+
+@query(f"WITH {_RISKS} SELECT plan_id, round(sum(left_ * w1 / (w1 + w2 + w3)), 6) AS p_tp, round(sum(left_ * w2 / (w1 + w2 + w3)), 6) AS p_sl, round(product(w3 / (w1 + w2 + w3)), 6) AS p_expiry FROM alive GROUP BY plan_id")
 def competing_risk_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-passage curves of every plan in 24 intervals, moved by a little evidence for the target (tested without evidence against the plain curve)."""
+    """First-passage curves of every plan in 24 intervals, moved by a little evidence for the target."""
     rows = first_passage(spark, sf_dir).select("plan_id", "side", "sigma")
     up = F.when(F.col("side") == "long", F.ln(F.lit(1.5))).otherwise(-F.ln(F.lit(0.9)))
     down = F.when(F.col("side") == "long", -F.ln(F.lit(0.9))).otherwise(F.ln(F.lit(1.5)))
@@ -698,8 +711,8 @@ def bootstrap_daily_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = ["plan_geometry", "realized_volatility", "normalized_barriers", "path_structure", "prior_extrema", "volatility_rank", "hierarchy", "regime"]
 
 
-def rule_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = hourly(spark, sf_dir).withColumn("entry", F.col("close")).withColumn("stop", F.col("close") * 0.9).withColumn("target", F.col("close") * 1.5)
+def rule_traces(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
+    bars = (hourly(spark, sf_dir) if bars is None else bars).withColumn("entry", F.col("close")).withColumn("stop", F.col("close") * 0.9).withColumn("target", F.col("close") * 1.5)
     return rules.core_rules(bars)
 
 
@@ -716,7 +729,16 @@ def rule_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.select("symbol", "open_ms", "realized_volatility.sigma", "normalized_barriers.z_tp", "path_structure.efficiency", "prior_extrema.top", "prior_extrema.bottom", F.col("regime.status").alias("regime_status"), F.col("regime.reason").alias("regime_reason")))
 
 
-@query()
+_STATES = f"""WITH {_CHANGES}, pf AS (SELECT symbol, open_ms, n, sum(ret * ret) OVER w AS v, sum(abs(ret)) OVER w AS p FROM ch WINDOW w AS (PARTITION BY symbol ORDER BY open_ms ROWS 23 PRECEDING)), k AS (
+  SELECT *, count(CASE WHEN n > 24 THEN v END) OVER (PARTITION BY symbol, n % 24 ORDER BY open_ms ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS k FROM pf), s AS (
+  SELECT n > 24 AND v > 0 AS vol, n > 24 AND v > 0 AND k = 10 AS rank FROM k), r AS (
+  SELECT rule, vol, rank, CASE rule WHEN 'plan_geometry' THEN 1 WHEN 'prior_extrema' THEN 1 WHEN 'realized_volatility' THEN vol::INT WHEN 'volatility_rank' THEN rank::INT WHEN 'regime' THEN rank::INT ELSE vol::INT END AS ok
+  FROM s, (SELECT unnest(['plan_geometry', 'realized_volatility', 'normalized_barriers', 'path_structure', 'prior_extrema', 'volatility_rank', 'hierarchy', 'regime']) AS rule))
+SELECT rule, CASE ok WHEN 1 THEN 'evaluated' ELSE 'blocked' END AS status, CASE WHEN ok = 1 THEN '-' WHEN rule = 'realized_volatility' THEN 'not_enough_bars' WHEN rule = 'volatility_rank' AND vol THEN 'reference_too_short' ELSE 'dependency_not_evaluated' END AS reason,
+  count(*) AS n FROM r GROUP BY ALL"""
+
+
+@query(_STATES)
 def rule_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rule_counts(rule_traces(spark, sf_dir), RULES)
 

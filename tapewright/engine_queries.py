@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.catalog import _CHANGES, DAY, HOUR, hourly, plans_of, query, rounded
+from tapewright.catalog import _CHANGES, DAY, HOUR, hourly, moved_plans, plans_of, query, rounded, with_first_passage
 from tapewright.functions import scalars
 from tapewright.operators import analogs, engines, outcomes, stages
 from tapewright.storage import stored
@@ -188,3 +188,13 @@ def empirical_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def empirical_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges of the empirical engine's week by draws from its posteriors (a generator, so no SQL; tested by its moments)."""
     return rounded(engines.empirical_ranges(empirical_stages(spark, sf_dir), list(BOUNDS)))
+
+
+# ---- an independent solver
+
+
+@query()
+def finite_difference_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-passage probabilities of every plan by finite differences, a check on the series (equal within 3e-4; tested against it)."""
+    plans = with_first_passage(moved_plans(hourly(spark, sf_dir)))
+    return rounded(engines.solved_by_differences(plans.repartition(spark.sparkContext.defaultParallelism, "plan_id"), "plan_id"))

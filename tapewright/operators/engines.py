@@ -106,3 +106,52 @@ def empirical_ranges(posteriors: DataFrame, stages: list[str], draws: int = DRAW
             yield pa.RecordBatch.from_arrays([b.column("query_id"), *(pa.array([r[i] for r in found], pa.float64()) for i in range(6))], ["query_id", *columns])
 
     return posteriors.select("query_id", *[f"alpha_{s}" for s in stages]).mapInArrow(run, "query_id string, " + ", ".join(f"{c} double" for c in columns))
+
+
+# ---- an independent solver
+
+
+def finite_differences(up: np.ndarray, down: np.ndarray, sigma: np.ndarray, cells: int = 240, steps: int = 1200) -> np.ndarray:
+    """Probabilities (rows, 3) of touching the upper or the lower barrier first, or neither, by implicit differences of the heat equation.
+
+    All rows share the grid's shape, so each step solves one tridiagonal system for all of them at once by elimination and back substitution.
+    """
+    ratio = sigma * sigma / 2 / steps / ((up + down) / cells) ** 2
+    n = cells - 1
+    scaled, pivots = np.zeros((n, len(up))), np.zeros((n, len(up)))
+    before = np.zeros(len(up))
+    for i in range(n):
+        pivots[i] = 1 / (1 + 2 * ratio + ratio * before)
+        before = scaled[i] = -ratio * pivots[i]
+    # both barriers' chances side by side: 1 at the barrier itself, 0 at the other one
+    now = np.zeros((n, 2, len(up)))
+    for _ in range(steps):
+        now[-1, 0] += ratio
+        now[0, 1] += ratio
+        now[0] *= pivots[0]
+        for i in range(1, n):
+            now[i] = (now[i] + ratio * now[i - 1]) * pivots[i]
+        for i in range(n - 2, -1, -1):
+            now[i] -= scaled[i] * now[i + 1]
+    at = down / ((up + down) / cells)
+    low = np.minimum(at.astype(int), cells - 1)
+    share, rows = at - low, np.arange(len(up))
+    whole = np.concatenate([np.stack([np.zeros(len(up)), np.ones(len(up))])[None], now, np.stack([np.ones(len(up)), np.zeros(len(up))])[None]])
+    p = (1 - share) * whole[low, :, rows].T + share * whole[low + 1, :, rows].T
+    return np.stack([p[0], p[1], np.maximum(0.0, 1 - p[0] - p[1])], axis=1)
+
+
+def solved_by_differences(plans: DataFrame, key: str, cells: int = 240, steps: int = 1200) -> DataFrame:
+    """key, p_tp, p_sl, p_expiry of plans (key, up, down, sigma) by finite differences; null for distances or a sigma that are not positive and finite."""
+    kind = plans.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("up", "down", "sigma")]
+            good = np.all([np.isfinite(v) & (np.nan_to_num(v) > 0) for v in x], axis=0)
+            p = np.full((b.num_rows, 3), np.nan)
+            if good.any():
+                p[good] = finite_differences(*[v[good] for v in x], cells, steps)
+            yield pa.RecordBatch.from_arrays([b.column(key), *(pa.array(p[:, i], pa.float64(), from_pandas=True) for i in range(3))], [key, "p_tp", "p_sl", "p_expiry"])
+
+    return plans.select(key, "up", "down", "sigma").mapInArrow(run, f"`{key}` {kind}, p_tp double, p_sl double, p_expiry double")

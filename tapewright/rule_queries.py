@@ -338,26 +338,12 @@ def legacy_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 DAY_BARS, SKEW_LIMIT_MS = 24, 500
 
 
-@query(
-    f"""WITH {_BARS}, w AS (SELECT *, row_number() OVER t AS n, lag(open_ms, 23) OVER t AS from_ms, lag(close_ms, 24) OVER t AS old_ms, lag(volume, 24) OVER t AS old_volume, lag(close, 24) OVER t AS old_close,
-    sum(taker_buy_quote) OVER d AS buy, sum(quote_volume - taker_buy_quote) OVER d AS sell FROM bars
-  WINDOW t AS (PARTITION BY symbol ORDER BY open_ms), d AS (PARTITION BY symbol ORDER BY open_ms ROWS 23 PRECEDING)
-), f AS (SELECT *, (n % 13 - 6) / 10000.0::DOUBLE AS rate, sum(CASE WHEN open_ms % 28800000 = 0 THEN (n % 13 - 6) / 10000.0::DOUBLE ELSE 0 END) OVER (PARTITION BY symbol ORDER BY open_ms RANGE BETWEEN 86399999 PRECEDING AND CURRENT ROW) AS load FROM w
-), r AS (SELECT *, CASE WHEN buy + sell <= 0 THEN 'zero_activity' WHEN from_ms = open_ms - 82800000 THEN 'ok' ELSE 'incomplete_window_coverage' END AS a, CASE WHEN close_ms - old_ms = 86400000 THEN 'ok' ELSE 'open_interest_alignment_error' END AS o,
-    CASE WHEN n % 7 * 100 <= 500 THEN 'ok' ELSE 'basis_capture_skew_exceeded' END AS b, CASE WHEN (n % 40) * 1000 <= 30000 THEN 'ok' ELSE 'stale_quoted_book' END AS q FROM f)
-SELECT symbol, open_ms, nullif(a, 'ok') AS imbalance_reason, CASE WHEN a = 'ok' THEN round((buy - sell) / (buy + sell), 6) END AS imbalance, nullif(o, 'ok') AS interest_reason, CASE WHEN o = 'ok' THEN round(ln(volume / old_volume), 6) END AS interest,
-  CASE WHEN o = 'ok' AND old_close IS NOT NULL THEN 'price_' || CAST(sign(ln(close / old_close)) AS INT) || '_oi_' || CAST(sign(ln(volume / old_volume)) AS INT) END AS state,
-  nullif(b, 'ok') AS basis_reason, CASE WHEN b = 'ok' THEN round(ln((low + high) / (open + open * 1.001::DOUBLE)), 6) END AS basis, round(ln(close / open), 6) AS premium, round(rate / 8, 9) AS per_hour, round(load, 9) AS load, CAST(3 AS BIGINT) AS scheduled,
-  open_ms - open_ms % 28800000 + 28800000 AS next_ms, CASE WHEN a <> 'ok' OR o <> 'ok' OR n % 2 = 0 AND b <> 'ok' THEN 'blocked' ELSE 'evaluated' END AS context_status,
-  CASE WHEN NOT (a <> 'ok' OR o <> 'ok' OR n % 2 = 0 AND b <> 'ok') THEN round(CASE WHEN n % 2 = 0 THEN ln((low + high) / (open + open * 1.001::DOUBLE)) ELSE ln(close / open) END, 6) END AS context_basis,
-  nullif(q, 'ok') AS spread_reason, CASE WHEN q = 'ok' THEN round((high - low) / ((low + high) / 2), 6) END AS spread_fraction FROM r"""
-)
-def market_context_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imbalance, open interest, basis, premium, funding, their context and the quoted spread at every bar."""
+def market_context(bars: DataFrame) -> DataFrame:
+    """bars with the traces imbalance, interest, basis, mark, funding, spread, state and context."""
     t = Window.partitionBy("symbol").orderBy("open_ms")
     day = t.rowsBetween(1 - DAY_BARS, 0)
     behind = t.rangeBetween(1 - DAY_BARS * HOUR, 0)
-    b = hourly(spark, sf_dir).withColumn("n", F.row_number().over(t))
+    b = bars.withColumn("n", F.row_number().over(t))
     b = b.withColumn("rate", (F.col("n") % 13 - 6) / 10_000.0)
     event = F.when(F.col("open_ms") % (8 * HOUR) == 0, F.col("rate")).otherwise(0.0)
     b = b.withColumns(
@@ -383,6 +369,34 @@ def market_context_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     source = F.when(F.col("n") % 2 == 0, "spot_futures").otherwise("mark_index")
     b = b.withColumns({"state": M.price_interest_state(F.ln(F.col("close") / F.col("old.close")), F.col("interest")), "context": M.derivatives_context(*col("imbalance", "interest", "funding"), source, *col("basis", "mark"))})
+    return b
+
+
+_CONTEXT = f"""{_BARS}, w AS (SELECT *, row_number() OVER t AS n, lag(open_ms, 23) OVER t AS from_ms, lag(close_ms, 24) OVER t AS old_ms, lag(volume, 24) OVER t AS old_volume, lag(close, 24) OVER t AS old_close,
+    sum(taker_buy_quote) OVER d AS buy, sum(quote_volume - taker_buy_quote) OVER d AS sell FROM bars
+  WINDOW t AS (PARTITION BY symbol ORDER BY open_ms), d AS (PARTITION BY symbol ORDER BY open_ms ROWS 23 PRECEDING)
+), f AS (SELECT *, (n % 13 - 6) / 10000.0::DOUBLE AS rate, sum(CASE WHEN open_ms % 28800000 = 0 THEN (n % 13 - 6) / 10000.0::DOUBLE ELSE 0 END) OVER (PARTITION BY symbol ORDER BY open_ms RANGE BETWEEN 86399999 PRECEDING AND CURRENT ROW) AS load FROM w
+), r AS (SELECT *, CASE WHEN buy + sell <= 0 THEN 'zero_activity' WHEN from_ms = open_ms - 82800000 THEN 'ok' ELSE 'incomplete_window_coverage' END AS a, CASE WHEN close_ms - old_ms = 86400000 THEN 'ok' ELSE 'open_interest_alignment_error' END AS o,
+    CASE WHEN n % 7 * 100 <= 500 THEN 'ok' ELSE 'basis_capture_skew_exceeded' END AS b, CASE WHEN (n % 40) * 1000 <= 30000 THEN 'ok' ELSE 'stale_quoted_book' END AS q FROM f)"""
+#: Measures of the context as they are, for queries that go on from them.
+SQL_CONTEXT = (
+    f"WITH {_CONTEXT} SELECT symbol, open_ms, n_trades, rate, CASE WHEN a = 'ok' THEN (buy - sell) / (buy + sell) END AS imbalance_raw, CASE WHEN o = 'ok' THEN ln(volume / old_volume) END AS interest_raw,"
+    " CASE WHEN o = 'ok' AND old_close IS NOT NULL THEN 'known' END AS state, ln(close / old_close) AS moved, CASE WHEN b = 'ok' THEN ln((low + high) / (open + open * 1.001::DOUBLE)) END AS basis_raw, ln(close / open) AS premium_raw FROM r"
+)
+
+
+@query(
+    f"""WITH {_CONTEXT}
+SELECT symbol, open_ms, nullif(a, 'ok') AS imbalance_reason, CASE WHEN a = 'ok' THEN round((buy - sell) / (buy + sell), 6) END AS imbalance, nullif(o, 'ok') AS interest_reason, CASE WHEN o = 'ok' THEN round(ln(volume / old_volume), 6) END AS interest,
+  CASE WHEN o = 'ok' AND old_close IS NOT NULL THEN 'price_' || CAST(sign(ln(close / old_close)) AS INT) || '_oi_' || CAST(sign(ln(volume / old_volume)) AS INT) END AS state,
+  nullif(b, 'ok') AS basis_reason, CASE WHEN b = 'ok' THEN round(ln((low + high) / (open + open * 1.001::DOUBLE)), 6) END AS basis, round(ln(close / open), 6) AS premium, round(rate / 8, 9) AS per_hour, round(load, 9) AS load, CAST(3 AS BIGINT) AS scheduled,
+  open_ms - open_ms % 28800000 + 28800000 AS next_ms, CASE WHEN a <> 'ok' OR o <> 'ok' OR n % 2 = 0 AND b <> 'ok' THEN 'blocked' ELSE 'evaluated' END AS context_status,
+  CASE WHEN NOT (a <> 'ok' OR o <> 'ok' OR n % 2 = 0 AND b <> 'ok') THEN round(CASE WHEN n % 2 = 0 THEN ln((low + high) / (open + open * 1.001::DOUBLE)) ELSE ln(close / open) END, 6) END AS context_basis,
+  nullif(q, 'ok') AS spread_reason, CASE WHEN q = 'ok' THEN round((high - low) / ((low + high) / 2), 6) END AS spread_fraction FROM r"""
+)
+def market_context_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imbalance, open interest, basis, premium, funding, their context and the quoted spread at every bar."""
+    b = market_context(hourly(spark, sf_dir))
     out = b.select(
         "symbol",
         "open_ms",

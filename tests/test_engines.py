@@ -145,3 +145,58 @@ def test_draws_follow_their_posterior():
     assert np.abs(drawn.sum(axis=1) - 1).max() < 1e-12 and np.abs(drawn.mean(axis=0) - want).max() < 3e-3
     assert (engines.cumulative_draws("plan", alphas) == engines.cumulative_draws("plan", alphas)).all()
     assert (engines.cumulative_draws("other", alphas) != engines.cumulative_draws("plan", alphas)).any()
+
+
+def test_finite_differences_agree_with_the_series(spark):
+    from tapewright.functions import probability
+
+    rows = [(f"{u}/{d}/{s}", u, d, s) for u in (0.02, 0.1, 0.4) for d in (0.02, 0.1, 0.4) for s in (0.03, 0.1, 0.5)]
+    odd = [("null", None, 0.1, 0.1), ("zero", 0.0, 0.1, 0.1), ("nan", 0.1, 0.1, float("nan"))]
+    df = spark.createDataFrame(rows + odd, "k string, up double, down double, sigma double").repartition(2)
+    series = {r["k"]: r["p"] for r in df.select("k", probability.double_barrier(F.col("up"), F.col("down"), F.col("sigma")).alias("p")).collect()}
+    for r in engines.solved_by_differences(df, "k").collect():
+        if r["k"] in ("null", "zero", "nan"):
+            assert r["p_tp"] is None
+        else:
+            assert max(abs(r[c] - series[r["k"]][c]) for c in ("p_tp", "p_sl", "p_expiry")) < 1e-3
+            if min(float(x) for x in r["k"].split("/")[:2]) > 0.02:
+                assert max(abs(r[c] - series[r["k"]][c]) for c in ("p_tp", "p_sl", "p_expiry")) < 3e-4, r["k"]
+
+
+def test_overlay_of_rules(spark):
+    from tapewright.plans import overlay
+
+    measures = ("efficiency", "volatility_rank", "imbalance", "interest", "displacement", "basis", "premium", "funding")
+    rows = [("long", "intraday_wide", 0.4, 0.9, -0.3, 0.01, 0.02, 0.001, -0.002, 0.0003, "evaluated"), ("short", "short_swing", 0.4, 0.9, -0.3, -0.01, -0.02, 0.001, -0.002, 0.0003, "blocked"), ("short", "other", *[0.1] * 8, "evaluated")]
+    df = spark.createDataFrame(rows, "side string, horizon string, " + ", ".join(f"{m} double" for m in measures) + ", funding_status string")
+    found = overlay.signals(F.col("side") == "long", {m: F.col(m) for m in measures})
+    statuses = {n: F.col("funding_status") if n == "funding" else F.lit("evaluated") for n in overlay.WEIGHTS}
+    p = F.struct(F.lit(0.3).alias("tp"), F.lit(0.5).alias("sl"), F.lit(0.2).alias("none"))
+    df = df.withColumn("rules", overlay.active_rules(F.col("horizon"), statuses, found)).withColumn("p", p).withColumn("after", overlay.folded(F.col("p"), F.col("rules")))
+    got = df.withColumn("parts", overlay.contributions(F.col("p"), F.col("rules"), F.col("after"))).collect()
+
+    def by_hand(r, without=None):
+        d = 1.0 if r["side"] == "long" else -1.0
+        clip = lambda x: max(-1.0, min(1.0, x))
+        sign = lambda x: (x > 0) - (x < 0)
+        s = {"path_structure": clip(d * r["efficiency"]), "regime": clip(d * r["efficiency"] * (2 * r["volatility_rank"] - 1)), "imbalance": clip(d * r["imbalance"]), "interest": math.tanh(50 * abs(r["interest"])), "price_interest": clip(d * sign(r["displacement"]) * math.tanh(50 * r["interest"])), "basis": -d * math.tanh(100 * r["basis"]), "premium": -d * math.tanh(200 * r["premium"]), "funding": -d * math.tanh(r["funding"] / 0.0005)}
+        tp, sl, none = 0.3, 0.5, 0.2
+        for rule, weight in overlay.WEIGHTS.items():
+            if rule == without or rule == "funding" and r["funding_status"] != "evaluated":
+                continue
+            e, resolved = weight * overlay.SHARES[r["horizon"]][rule] * s[rule], tp + sl
+            if rule == "interest":
+                after = resolved * math.exp(e) / (resolved * math.exp(e) + none * math.exp(-e))
+                tp, sl, none = after * tp / resolved, after * sl / resolved, 1 - after
+            else:
+                share = tp * math.exp(e) / (tp * math.exp(e) + sl * math.exp(-e))
+                tp, sl = resolved * share, resolved * (1 - share)
+        return tp, sl, none
+
+    assert got[2]["after"] is None and got[2]["rules"] is None
+    for r in got[:2]:
+        after = by_hand(r)
+        assert tuple(r["after"]) == pytest.approx(after) and abs(sum(r["after"]) - 1) < 1e-12
+        assert [x["rule"] for x in r["parts"]] == [n for n in overlay.WEIGHTS if n != "funding" or r["funding_status"] == "evaluated"]
+        for part in r["parts"]:
+            assert (part["tp"], part["sl"], part["none"]) == pytest.approx(tuple(a - b for a, b in zip(after, by_hand(r, part["rule"]), strict=True)), abs=1e-12)
