@@ -8,7 +8,7 @@ The as-of join is an equi-join on the domain and a salt with a range condition.
 (host, day) pairs first, so a host with most of the captures costs a row for each day; entries are copied once
 for each salt.
 
-Captures with a null or odd URL have a null host and no decision. Null domains or days in a list are no entries; of several entries of one
+Captures with a null or odd URL have a null host and no decision; so have captures without a fetch day. Null domains or days in a list are no entries; of several entries of one
 domain and day the strictest holds (block, allow, remove). Repeated captures keep a row each. Empty tables give empty
 results (an empty list: no decisions). Other columns of captures are ignored.
 """
@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tapewright.llm.common import stored
+
 SALTS = 8
 #: What an entry says, strictest first.
 ACTIONS = ("block", "allow", "remove")
@@ -48,7 +50,8 @@ def evaluate(captures: DataFrame, entries: DataFrame, salts: int = SALTS) -> Dat
     asked = asked.select("host", "fetch_day", F.posexplode(suffixes).alias("depth", "domain")).withColumn("salt", F.pmod(F.xxhash64("host", "fetch_day"), F.lit(salts)).cast("int"))
     spans = validity_intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     active = asked.join(spans, (asked.domain == spans.domain) & (asked.salt == spans.salt) & (F.col("fetch_day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetch_day") < F.col("valid_to"))))
-    said = active.groupBy("host", "fetch_day").agg(F.min_by(F.struct(asked.domain.alias("domain"), "action", "valid_from"), "depth").alias("e"))
+    # written out: the join below then has a plain exchange on either side, and a host with most captures of a day can be split
+    said = stored(active.groupBy("host", "fetch_day").agg(F.min_by(F.struct(asked.domain.alias("domain"), "action", "valid_from"), "depth").alias("e")), "url-said")
     return seen.join(said, ["host", "fetch_day"], "left").select("page_id", "host", "fetch_day", "e.domain", "e.action", "e.valid_from")
 
 
