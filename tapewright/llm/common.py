@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,19 +11,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright import storage
+
 #: Words are runs of bytes other than space and tab..carriage return; bytes.split() and this pattern agree.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        # a session without the setting is a single machine, as in tests
-        root = "file://" + os.path.join(tempfile.gettempdir(), "tapewright-shared")
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and the session local."""
+    root = storage.shared_root(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    return root
 
 
 def work_dir(spark: SparkSession, name: str) -> str:

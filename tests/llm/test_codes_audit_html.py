@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tapewright.llm import filteraudit, htmltext, vectorcodes
 
@@ -196,3 +197,31 @@ def test_main_text_of_rows(spark):
     said = "\n\n".join(WANT)
     assert got == [(0, "", 0), (1, said, len(said)), (1, said, len(said)), (2, "", 0), (3, "word " * 499_999 + "word", 2_499_999)]
     assert htmltext.extract(df.limit(0)).count() == 0
+
+
+# ---- shared helpers
+
+
+def test_bit_maps_lose_no_key(spark):
+    from tapewright.llm import common
+
+    rows = spark.range(2000).selectExpr("if(id % 50 = 0, null, id) as id", "cast(id % 7 as string) as t", "id % 3 = 0 as fine")
+    keys = spark.range(0, 2000, 9).selectExpr("id", "cast(id % 7 as string) as t").unionByName(spark.createDataFrame([(None, "1")], "id long, t string"))
+    words = common.bit_map(keys, "id", "t")
+    assert words.count() <= common.BITS // 64
+    met, others = common.by_bit_map(rows, words, "id", "t")
+    asked = {(r["id"], r["t"]) for r in keys.collect()}
+    inside, outside = [(r["id"], r["t"]) for r in met.collect()], [(r["id"], r["t"]) for r in others.collect()]
+    assert len(inside) + len(outside) == 2000 and not asked & set(outside) and len(inside) < 300
+    fine, rest = common.by_bit_map(rows, words, "id", "t", also=F.col("fine"))
+    assert fine.where("not fine").count() == 0 and fine.count() + rest.count() == 2000
+    none = common.bit_map(keys.limit(0), "id", "t")
+    assert common.by_bit_map(rows, none, "id", "t")[0].count() == 0
+
+
+def test_captures_without_a_day_have_no_decision(spark):
+    from tapewright.llm import urlfilter
+
+    captures = spark.createDataFrame([(1, "http://a.org/x", None), (2, "http://a.org/x", "2024-02-01")], "page_id long, url string, day string").selectExpr("page_id", "url", "cast(day as date) as fetch_day")
+    entries = spark.createDataFrame([("a.org", "2024-01-01", "block")], "domain string, day string, action string").selectExpr("domain", "cast(day as date) as day", "action")
+    assert {r["page_id"]: r["action"] for r in urlfilter.evaluate(captures, entries).collect()} == {1: None, 2: "block"}
