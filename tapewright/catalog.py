@@ -36,7 +36,8 @@ def query(sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import tapewright.audit_queries  # noqa: F401  (these register their queries here)
+    import tapewright.ablation_queries  # noqa: F401  (these register their queries here)
+    import tapewright.audit_queries  # noqa: F401
     import tapewright.engine_queries  # noqa: F401
     import tapewright.evidence_queries  # noqa: F401
     import tapewright.fitting_queries  # noqa: F401

@@ -200,3 +200,31 @@ def test_overlay_of_rules(spark):
         assert [x["rule"] for x in r["parts"]] == [n for n in overlay.WEIGHTS if n != "funding" or r["funding_status"] == "evaluated"]
         for part in r["parts"]:
             assert (part["tp"], part["sl"], part["none"]) == pytest.approx(tuple(a - b for a, b in zip(after, by_hand(r, part["rule"]), strict=True)), abs=1e-12)
+
+
+def test_ablations_equal_a_loop(spark):
+    from tapewright.operators import ablations
+
+    units, signs = ["up", "down", "against", "late", "wide", "wider"], [1.0, 1.0, -1.0]
+    rng = random.Random(8)
+    rows = [([rng.choice([0.0, None, rng.uniform(-0.2, 0.3)]) for _ in units], rng.choice(["mixto", "otro"]), rng.uniform(0, 3), rng.uniform(1, 9), rng.uniform(1, 9), 0.5) for _ in range(60)]
+
+    def replay(v, regime, range_pct):
+        score = 0.5 + v[0] + v[1] - v[2]
+        tp = min(0.74, max(0.22, min(0.74, max(0.26, score)) + v[3]))
+        base = 0.12 if regime == "mixto" else 0.10 if v[2] >= 0.03 else 0.08 if range_pct < 1.2 else 0.06
+        middle = min(0.22, max(0.04, min(0.20, base + v[4]) + v[5]))
+        return tp, max(0.05, 1 - tp - middle), middle
+
+    df = spark.createDataFrame(rows, "components array<double>, regime string, range_pct double, win double, loss double, cost double").repartition(3)
+    got = {r["unit"]: r for r in ablations.ablations(df, units, signs, "against").collect()}
+    for i, u in enumerate(units):
+        want = [0] * 6
+        for c, regime, range_pct, win, loss, cost in rows:
+            v = [x or 0.0 for x in c]
+            a, b = replay(v, regime, range_pct), replay([0.0 if j == i else x for j, x in enumerate(v)], regime, range_pct)
+            ev = [p[0] * win - p[1] * loss - p[2] * cost for p in (a, b)]
+            for j, hit in enumerate((v[i] != 0, *(abs(x - y) >= 0.0001 for x, y in zip(a, b, strict=True)), (ev[0] >= 0) != (ev[1] >= 0), abs(a[0] - b[0]))):
+                want[j] += hit
+        r = got[u]
+        assert (r["cases"], r["active"], r["tp_changed"], r["sl_changed"], r["range_changed"], r["ev_sign_changed"]) == (60, *want[:5]) and r["sum_tp"] == pytest.approx(want[5])
