@@ -36,48 +36,57 @@ def bar_of(raw: object) -> tuple | None:
         return None
 
 
-class Reader(DataSourceReader):
-    """Options: hosts and symbols (comma separated), interval, interval_ms, start_ms, end_ms; limit (1500), timeout_s (10), rounds (3: how often all hosts are
-    tried), backoff_s (1, doubled each round; the longest wait a host may ask for), mode (permissive or failfast), template."""
+class Hosts:
+    """Answers of whatever host gives one. Hosts are tried in another order for each request, so load is spread; after all of them failed comes a wait."""
 
     def __init__(self, options: dict[str, str]) -> None:
-        self.options = dict(options)
         self.hosts = [h.rstrip("/") for h in options["hosts"].split(",") if h]
-        self.limit = min(PAGE, int(options.get("limit", PAGE)))
-
-    def partitions(self) -> list[Page]:
-        o = self.options
-        step = int(o["interval_ms"])
-        start, end, width = int(o["start_ms"]) // step * step, int(o["end_ms"]), step * self.limit
-        pages = [(s, at) for s in o["symbols"].split(",") if s for at in range(start, end + 1, width)]
-        return [Page(s, max(at, int(o["start_ms"])), min(at + width - 1, end), i) for i, (s, at) in enumerate(pages)]
+        self.timeout, self.rounds, self.backoff = float(options.get("timeout_s", 10)), int(options.get("rounds", 3)), float(options.get("backoff_s", 1))
 
-    def fetch(self, page: Page) -> list:
-        """The page's arrays from the first host that gives them; hosts are tried in another order for each page, so load is spread."""
-        o, errors = self.options, []
-        path = o.get("template", TEMPLATE).format(symbol=urllib.parse.quote(page.symbol.upper()), interval=o["interval"], limit=self.limit, start=page.start, end=page.end)
-        backoff = float(o.get("backoff_s", 1))
-        for attempt in range(int(o.get("rounds", 3))):
-            wait = backoff * 2**attempt
+    def get(self, path: str, number: int, kinds: tuple[type, ...]) -> object:
+        """The answer to path, if it is of one of kinds; number shifts the order of hosts."""
+        errors: list[str] = []
+        for attempt in range(self.rounds):
+            wait = self.backoff * 2**attempt
             for i in range(len(self.hosts)):
-                host = self.hosts[(page.number + i) % len(self.hosts)]
+                host = self.hosts[(number + i) % len(self.hosts)]
                 try:
-                    with urllib.request.urlopen(urllib.request.Request(host + path, headers={"Accept": "application/json"}), timeout=float(o.get("timeout_s", 10))) as answer:
+                    with urllib.request.urlopen(urllib.request.Request(host + path, headers={"Accept": "application/json"}), timeout=self.timeout) as answer:
                         found = json.loads(answer.read().decode("utf-8"))
-                    if isinstance(found, list):
+                    if isinstance(found, kinds):
                         return found
-                    errors.append(f"{host}: no list")
+                    errors.append(f"{host}: another kind of answer")
                 except urllib.error.HTTPError as e:
                     errors.append(f"{host}: HTTP {e.code}")
                     asked = e.headers.get("Retry-After", "")
                     if e.code in WAIT and asked.isdigit():
-                        wait = min(max(wait, float(asked)), backoff * 2 ** int(o.get("rounds", 3)))
+                        wait = min(max(wait, float(asked)), self.backoff * 2**self.rounds)
                 except (OSError, ValueError) as e:
                     errors.append(f"{host}: {type(e).__name__}")
-            if attempt + 1 < int(o.get("rounds", 3)):
+            if attempt + 1 < self.rounds:
                 time.sleep(wait)
         raise RuntimeError(f"no host gave {path}: " + " | ".join(errors[-len(self.hosts) :]))
 
+
+class Reader(DataSourceReader):
+    """Options: hosts and symbols (comma separated), interval, interval_ms, start_ms, end_ms; limit (1500), timeout_s (10), rounds (3: how often all hosts are
+    tried), backoff_s (1, doubled each round; the longest wait a host may ask for), mode (permissive or failfast), template."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.options = dict(options)
+        self.limit = min(PAGE, int(options.get("limit", PAGE)))
+
+    def partitions(self) -> list[Page]:
+        o = self.options
+        step = int(o["interval_ms"])
+        start, end, width = int(o["start_ms"]) // step * step, int(o["end_ms"]), step * self.limit
+        pages = [(s, at) for s in o["symbols"].split(",") if s for at in range(start, end + 1, width)]
+        return [Page(s, max(at, int(o["start_ms"])), min(at + width - 1, end), i) for i, (s, at) in enumerate(pages)]
+
+    def fetch(self, page: Page) -> list:
+        path = self.options.get("template", TEMPLATE).format(symbol=urllib.parse.quote(page.symbol.upper()), interval=self.options["interval"], limit=self.limit, start=page.start, end=page.end)
+        return Hosts(self.options).get(path, page.number, (list,))
+
     def read(self, partition: Page) -> Iterator[tuple]:
         try:
             found = self.fetch(partition)
@@ -92,6 +101,39 @@ class Reader(DataSourceReader):
                 yield (partition.symbol, *bar, partition.start, None)
 
 
+class AnswerReader(DataSourceReader):
+    """One answer for each symbol, as text. Options as of klines, but template (with {symbol}) and no pages."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.options = dict(options)
+
+    def partitions(self) -> list[Page]:
+        return [Page(s, 0, 0, i) for i, s in enumerate(x for x in self.options["symbols"].split(",") if x)]
+
+    def read(self, partition: Page) -> Iterator[tuple]:
+        path = self.options["template"].format(symbol=urllib.parse.quote(partition.symbol.upper()))
+        try:
+            found = Hosts(self.options).get(path, partition.number, (list, dict))
+        except RuntimeError as e:
+            if self.options.get("mode", "permissive") == "failfast":
+                raise
+            yield partition.symbol, None, None, str(e)
+            return
+        yield partition.symbol, int(time.time() * 1000), json.dumps(found), None
+
+
+class AnswerSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "answers"
+
+    def schema(self) -> str:
+        return "symbol string, received_ms long, body string, error string"
+
+    def reader(self, schema: object) -> AnswerReader:
+        return AnswerReader(self.options)
+
+
 class KlineSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -120,3 +162,9 @@ def provider_bars(rows: DataFrame) -> DataFrame:
 def missing_pages(rows: DataFrame) -> DataFrame:
     """The pages that no host gave, to be asked for again."""
     return rows.where("error is not null").select("symbol", "page_ms", "error")
+
+
+def read_answers(spark: SparkSession, **options: object) -> DataFrame:
+    """symbol, received_ms, body and error: what a provider says of each symbol; no answer is a row with an error (mode permissive)."""
+    spark.dataSource.register(AnswerSource)
+    return spark.read.format("answers").options(**{k: str(v) for k, v in options.items()}).load()

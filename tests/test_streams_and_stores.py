@@ -12,7 +12,7 @@ from urllib.parse import parse_qs, urlparse
 import pytest
 from pyspark.sql import functions as F
 
-from tapewright.sources import provider, snapshots
+from tapewright.sources import derivatives, provider, snapshots
 from tapewright.streaming import lifecycle
 
 TICK = "operation_id long, ts_ms long, price double, side string, trigger_price double, stop double, target double, expires_ms long"
@@ -165,3 +165,51 @@ def test_pages_come_from_whatever_host_answers(spark, hosts):
     assert provider.missing_pages(spark.createDataFrame(found, rows.schema)).count() == 6  # of the symbol that no host has
     with pytest.raises(Exception, match="no host gave"):
         provider.read_provider(spark, **{**options, "hosts": hosts[0], "mode": "failfast", "rounds": 1}).collect()
+
+
+ANSWERS = {
+    "/depth": {"bids": [["99.5", "2"], ["99", "1"], ["odd", "1"], []], "asks": [["100.5", "3"]], "E": 1},
+    "/quote": {"bidPrice": "99.5", "bidQty": "2", "askPrice": "100.5", "askQty": "x", "time": 7},
+    "/funding": [{"fundingTime": 8, "fundingRate": "0.0001", "markPrice": ""}, {"fundingTime": 16, "fundingRate": "0.0002"}, {"fundingTime": 16, "fundingRate": "0.0002"}, None, {"fundingRate": "1"}],
+    "/info": [{"symbol": "BB", "fundingIntervalHours": 4}, {"symbol": "AA", "fundingIntervalHours": 8}],
+    "/mood": {"data": [{"timestamp": "3", "value": "40"}, {"timestamp": "2", "value": "30"}]},
+}
+
+
+class Answers(BaseHTTPRequestHandler):
+    def do_GET(self):
+        path = urlparse(self.path)
+        missing = parse_qs(path.query)["symbol"][0] == "NONE"
+        self.send_response(404 if missing else 200)
+        self.end_headers()
+        if not missing:
+            self.wfile.write(json.dumps(ANSWERS[path.path]).encode())
+
+    def log_message(self, *args):
+        pass
+
+
+def test_answers_become_tables(spark):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def asked(path):
+        rows = provider.read_answers(spark, hosts=f"http://127.0.0.1:{server.server_port}", symbols="aa,NONE", template=path + "?symbol={symbol}", rounds=1)
+        found = rows.collect()
+        assert [r["symbol"] for r in found if r["error"]] == ["NONE"]
+        return spark.createDataFrame(found, rows.schema)
+
+    D = derivatives
+    levels = sorted((r["bid"], r["level"], r["price"], r["qty"]) for r in D.book_levels(asked("/depth")).collect())
+    assert levels == [(False, 1, 100.5, 3.0), (True, 1, 99.5, 2.0), (True, 2, 99.0, 1.0)]
+    quote = D.single(asked("/quote"), D.QUOTE).collect()
+    assert [(r["symbol"], r["bid"], r["ask"], r["ask_qty"], r["at_ms"]) for r in quote] == [("aa", 99.5, 100.5, None, 7)]
+    funding = D.series(asked("/funding"), D.FUNDING_SERIES)
+    assert sorted((r["at_ms"], r["rate"], r["mark"]) for r in funding.collect()) == [(8, 0.0001, None), (16, 0.0002, None)]
+    assert [(r["at_ms"], r["rate"]) for r in D.latest(funding).collect()] == [(16, 0.0002)]
+    info = {"hours": ("fundingIntervalHours", "long")}
+    assert [(r["symbol"], r["hours"]) for r in D.own_item(asked("/info"), info).collect()] == [("aa", 8)]
+    assert sorted((r["at_s"], r["value"]) for r in D.series(asked("/mood"), D.MOOD_SERIES, "data").collect()) == [(2, 30.0), (3, 40.0)]
+    assert D.single(asked("/info"), D.QUOTE).count() == 0 and D.series(asked("/quote"), D.FUNDING_SERIES).count() == 0
+    assert [D.nearest_depth(x) for x in (1, 7, 8, 30, 60, 9999)] == [5, 5, 10, 20, 50, 1000]
+    server.shutdown()
