@@ -86,10 +86,9 @@ SELECT g.part, g.priority, count(r.part) AS n, count(*) FILTER (odd_key AND fift
 def partition_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each partition by date and priority, with those that fail both checks; combinations without rows count 0."""
     o = orders(spark, sf_dir)
-    # one row of two dates
-    cut = F.broadcast(evidence.date_cuts(o, "day").withColumn("one", F.lit(1)))
+    ends = [F.lit(d) for d in evidence.date_cuts(o, "day").first() or (None, None)]  # two dates
     wrong = evidence.problems({"key": F.col("k") % 3 != 0, "fifth": F.col("k") % 5 != 0})
-    rows = o.withColumn("one", F.lit(1)).join(cut, "one").select(evidence.partition_of(F.col("day"), F.col("development_end"), F.col("calibration_end")).alias("part"), "priority", wrong.alias("wrong"))
+    rows = o.select(evidence.partition_of(F.col("day"), *ends).alias("part"), "priority", wrong.alias("wrong"))
     axes = {"part": ["development", "calibration", "final_test"], "priority": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "none"]}
     bad = evidence.dense_counts(rows.where(F.size("wrong") == 2).select("part", "priority"), axes).withColumnRenamed("n", "both_wrong")
     return evidence.dense_counts(rows, axes).join(bad, list(axes))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tapewright.storage import stored
+
 CLASSES = ("take_profit", "stop_loss", "expiry")
 
 
@@ -48,7 +50,7 @@ def benjamini_hochberg(tests: DataFrame, name: str, p: str) -> DataFrame:
     (unless most have one p).
     """
     place = F.least(F.floor(F.col(p) * RANGES), F.lit(RANGES - 1)).cast("int")
-    placed = tests.select(name, p, place.alias("_b"))
+    placed = stored(tests.select(name, p, place.alias("_b")), "tests")  # read by ranks and minima, and tests may be costly
     everything = Window.partitionBy(F.lit(1)).orderBy("_b")  # a row for each range
     sizes = placed.groupBy("_b").agg(F.count("*").alias("_n"))
     sizes = sizes.select("_b", (F.sum("_n").over(everything) - F.col("_n")).alias("_ahead"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_m"))
