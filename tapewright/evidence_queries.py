@@ -10,6 +10,7 @@ from tapewright.functions import probability as P
 from tapewright.functions import predicates, scalars
 from tapewright.operators import evidence
 from tapewright.rule_queries import _CASES, cases
+from tapewright.storage import stored
 
 #: Sampling intervals in seconds, and periods by name.
 INTERVALS = (60, 180, 300, 900, 1800, 3600, 14_400)
@@ -37,11 +38,29 @@ SELECT t.plan_id, t.symbol, touched, CASE touched WHEN 'both' THEN coalesce(f.re
 )
 def resolved_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each plan's next bar touches first; bars that touch both levels are resolved by their trades."""
-    bars = hourly(spark, sf_dir)
+    bars = stored(hourly(spark, sf_dir), "bars")
+    return evidence.resolved_by_trades(evidence.next_bar_touches(close_plans(bars, 0.05), bars), trades(spark, sf_dir), HOUR)
+
+
+def close_plans(bars: DataFrame, share: float) -> DataFrame:
+    """Plans at every bar's close with both levels a share away, long and short by turns."""
     long = F.pmod(F.col("open_ms") / HOUR, F.lit(2)) == 0
-    down, up = F.col("close") * 0.95, F.col("close") * 1.05
-    plans = bars.select(F.concat_ws("/", "symbol", F.col("open_ms").cast("string")).alias("plan_id"), "symbol", F.col("close_ms").alias("at_ms"), F.when(long, "long").otherwise("short").alias("side"), F.when(long, down).otherwise(up).alias("stop"), F.when(long, up).otherwise(down).alias("target"))
-    return evidence.resolved_by_trades(evidence.next_bar_touches(plans, bars), trades(spark, sf_dir), HOUR)
+    down, up = F.col("close") * (1 - share), F.col("close") * (1 + share)
+    return bars.select(F.concat_ws("/", "symbol", F.col("open_ms").cast("string")).alias("plan_id"), "symbol", F.col("close_ms").alias("at_ms"), F.when(long, "long").otherwise("short").alias("side"), F.when(long, down).otherwise(up).alias("stop"), F.when(long, up).otherwise(down).alias("target"))
+
+
+@query(
+    f"""WITH {_BARS}, p AS (SELECT symbol || '/' || open_ms AS plan_id, symbol, close_ms AS at_ms, CASE WHEN (open_ms // 3600000) % 2 = 0 THEN 'long' ELSE 'short' END AS side, close * 0.75::DOUBLE AS down, close * 1.25::DOUBLE AS up FROM bars
+), h AS (SELECT p.*, b.open_ms, b.close_ms, b.low <= down AS lo, b.high >= up AS hi, row_number() OVER (PARTITION BY plan_id ORDER BY b.close_ms) AS r FROM p JOIN bars b ON b.symbol = p.symbol AND b.close_ms > p.at_ms AND b.close_ms <= p.at_ms + 86400000 WHERE b.low <= down OR b.high >= up
+), t AS (SELECT *, CASE WHEN lo AND hi THEN 'both' WHEN lo = (side = 'long') THEN 'stop_loss' ELSE 'take_profit' END AS touched FROM h WHERE r = 1
+), f AS (SELECT t.plan_id, arg_min(CASE WHEN (x.price <= t.down) = (side = 'long') THEN 'stop_loss' ELSE 'take_profit' END, x.ts_ms * 1000000 + x.trade_id) AS reason, min(x.ts_ms) AS ts_ms
+  FROM t JOIN trades x ON x.symbol = t.symbol AND x.ts_ms BETWEEN t.open_ms AND t.close_ms AND (x.price <= t.down OR x.price >= t.up) WHERE touched = 'both' GROUP BY t.plan_id)
+SELECT t.plan_id, t.symbol, touched, CASE touched WHEN 'both' THEN coalesce(f.reason, 'ambiguous_same_candle') ELSE touched END AS reason, CASE WHEN touched = 'both' THEN coalesce(f.ts_ms, open_ms) ELSE open_ms END AS touched_ms FROM t LEFT JOIN f USING (plan_id)"""
+)
+def path_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each plan touches first within a day, on whatever bar that is; bars that touch both levels are resolved by their trades."""
+    bars = stored(hourly(spark, sf_dir), "bars")
+    return evidence.resolved_by_trades(evidence.path_touches(close_plans(bars, 0.25), bars, 24 * HOUR), trades(spark, sf_dir), HOUR)
 
 
 @query(

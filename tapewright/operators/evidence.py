@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapewright.functions.scalars import bar_hits
+from tapewright.operators.outcomes import touches
 
 
 def next_bar_touches(plans: DataFrame, bars: DataFrame) -> DataFrame:
@@ -20,18 +21,29 @@ def next_bar_touches(plans: DataFrame, bars: DataFrame) -> DataFrame:
     return plans.join(b, ["symbol", "at_ms"]).withColumn("touched", touched)
 
 
-def resolved_by_trades(touches: DataFrame, trades: DataFrame, bucket_ms: int) -> DataFrame:
-    """touches with reason and touched_ms: of a bar that touches both levels, the first trade that touches either decides.
+def path_touches(plans: DataFrame, bars: DataFrame, horizon_ms: int) -> DataFrame:
+    """plans with the first bar within the horizon that touches a level, however far on, and what it touches: stop_loss, take_profit or both.
+
+    One aggregation over the interval join; plans whose levels are not touched have no row.
+    """
+    path = touches(plans.withColumn("entry", F.lit(None).cast("double")), bars, horizon_ms).where("at_stop or at_target")
+    touched = F.when(F.col("at_stop") & F.col("at_target"), "both").when(F.col("at_stop"), "stop_loss").otherwise("take_profit")
+    first = path.groupBy("plan_id").agg(F.min_by(F.struct("symbol", "at_ms", "side", "stop", "target", "open_ms", "close_ms", touched.alias("touched")), "close_ms").alias("f"))
+    return first.select("plan_id", "f.*")
+
+
+def resolved_by_trades(touched: DataFrame, trades: DataFrame, bucket_ms: int) -> DataFrame:
+    """touched (as next_bar_touches and path_touches give it) with reason and touched_ms: of a bar that touches both levels, the first trade that touches either decides.
 
     Only such bars meet trades, on symbol and bucket; among trades of one time the smaller trade_id is first. A bar that no
     trade resolves stays ambiguous. All others have their own touch at the bar's open.
     """
-    unclear = touches.where("touched = 'both'").select("plan_id", "symbol", "open_ms", "close_ms", "side", "stop", "target").withColumn("_b", F.floor(F.col("open_ms") / bucket_ms))
+    unclear = touched.where("touched = 'both'").select("plan_id", "symbol", "open_ms", "close_ms", "side", "stop", "target").withColumn("_b", F.floor(F.col("open_ms") / bucket_ms))
     ticks = trades.select("symbol", "ts_ms", "trade_id", "price").withColumn("_b", F.floor(F.col("ts_ms") / bucket_ms))
     at_stop, at_target = bar_hits(F.col("side"), F.col("price"), F.col("price"), F.col("stop"), F.col("target"))
     met = unclear.join(ticks, ["symbol", "_b"]).where(F.col("ts_ms").between(F.col("open_ms"), F.col("close_ms")) & (at_stop | at_target))
     first = met.groupBy("plan_id").agg(F.min_by(F.struct(F.when(at_stop, "stop_loss").otherwise("take_profit").alias("reason"), F.col("ts_ms").alias("touched_ms")), F.struct("ts_ms", "trade_id")).alias("first"))
-    out = touches.join(first, "plan_id", "left")
+    out = touched.join(first, "plan_id", "left")
     reason = F.when(F.col("touched") == "both", F.coalesce("first.reason", F.lit("ambiguous_same_candle"))).when(F.col("touched") != "none", F.col("touched"))
     at = F.when(F.col("first").isNotNull(), F.col("first.touched_ms")).when(reason.isNotNull(), F.col("open_ms"))
     return out.select("plan_id", "symbol", "touched", reason.alias("reason"), at.alias("touched_ms"))
