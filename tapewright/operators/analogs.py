@@ -103,14 +103,13 @@ class Boxes:
     def pairs(self, queries: DataFrame, k: int, penalty: float = 0.0) -> DataFrame:
         """query_id, row_id, dist of the rows in cells within each query's bound: all that are compared in the end."""
         asked = queries.where(sound("v")).select("query_id", F.col("symbol").alias("q_symbol"), F.col("at_ms").alias("q_ms"), F.col("v").alias("q"))
-        asked = stored(asked, "analog-queries")
         first = asked.withColumn("bound", F.lit(float("inf"))).withColumn("node", F.lit(0).cast("long"))
         # the top level is the only child level of an imagined root
         for level in range(len(self.levels)):
             each = Window.partitionBy("query_id").orderBy("least", "node")
             first = self._below(first, level, penalty).withColumn("_r", F.row_number().over(each)).where(F.col("_r") <= BEAM).drop("_r", "least")
         near = self._compared(first, penalty).withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "row_id"))).where(F.col("_r") == k)
-        bounds = stored(near.select("query_id", F.col("dist").alias("bound")), "analog-bounds")
+        bounds = near.select("query_id", F.col("dist").alias("bound"))
         within = asked.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))).withColumn("node", F.lit(0).cast("long"))
         for level in range(len(self.levels)):
             within = self._below(within, level, penalty)
